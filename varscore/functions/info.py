@@ -4,6 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from varscore.constants import SCORE_FORMAT, SCORE_INFO_ID, STAR_RULES
+from varscore.functions.once import let
 
 
 def parse_info(info: Column) -> Column:
@@ -58,7 +59,33 @@ def strip_chr(chrom: Column) -> Column:
 
 
 def score_text(score: Column) -> Column:
-    return F.format_string(SCORE_FORMAT, score)
+    """Score with four decimals, rounded from its exact binary value with ties to even, as C and Python print it.
+
+    The built-in formatter rounds the shortest decimal form half up, which differs for values such as 0.00015.
+    Here the score is held against the nearest midpoint between two results; when it equals the midpoint as a
+    double, the sign of the exact difference decides, found by splitting the double into two short halves.
+    """
+    size = F.abs(score)
+    parts = F.struct(
+        size.alias("size"), F.floor(size * 10000).alias("below"), (size * 134217729.0).alias("scaled")
+    )
+
+    def rounded(p):
+        size, odd, high = p["size"], p["below"] * 2 + 1, p["scaled"] - (p["scaled"] - p["size"])
+        middle = odd.cast("double") / 20000
+        excess = (high * 20000 - odd.cast("double")) + (size - high) * 20000
+        on_middle = (excess > 0) | ((excess == 0) & (p["below"] % 2 == 1))
+        return p["below"] + ((size > middle) | ((size == middle) & on_middle)).cast("long")
+
+    def text(units):
+        fraction = F.lpad((units % 10000).cast("string"), 4, "0")
+        return F.concat(F.floor(units / 10000).cast("string"), F.lit("."), fraction)
+
+    negative = F.when(score == 0, F.startswith(score.cast("string"), F.lit("-"))).otherwise(score < 0)
+    sign = F.when(negative, "-").otherwise("")
+    # Beyond this size (and for NaN) doubles have no more than four decimals to round.
+    printed = F.concat(sign, let(let(parts, rounded), text))
+    return F.when(size < 1e9, printed).otherwise(F.format_string(SCORE_FORMAT, score))
 
 
 def score_info(score: Column, info_id: str = SCORE_INFO_ID) -> Column:

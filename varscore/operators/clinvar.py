@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from varscore.constants import BENIGN_LABELS, PATHOGENIC_LABELS, SNV_CLASS
 from varscore.functions.info import gene_symbol, info_value, review_stars
+from varscore.functions.once import evaluate_once
 
 LABELS = PATHOGENIC_LABELS + BENIGN_LABELS
 
@@ -15,14 +16,14 @@ def _text(key):
 
 def with_annotations(body: DataFrame) -> DataFrame:
     """Add CLNSIG, CLNVC, CLNREVSTAT, GENE and stars, taken from INFO."""
-    return body.withColumns(
-        {
-            "CLNSIG": _text("CLNSIG"),
-            "CLNVC": _text("CLNVC"),
-            "CLNREVSTAT": _text("CLNREVSTAT"),
-            "GENE": gene_symbol(info_value(F.col("INFO"), "GENEINFO")),
-        }
-    ).withColumn("stars", review_stars(F.col("CLNREVSTAT")))
+    parsed = evaluate_once(
+        body,
+        CLNSIG=_text("CLNSIG"),
+        CLNVC=_text("CLNVC"),
+        CLNREVSTAT=_text("CLNREVSTAT"),
+        GENE=gene_symbol(info_value(F.col("INFO"), "GENEINFO")),
+    )
+    return parsed.withColumn("stars", review_stars(F.col("CLNREVSTAT")))
 
 
 def clinvar_records(body: DataFrame) -> DataFrame:

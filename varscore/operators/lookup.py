@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from varscore.constants import KEY_COLUMNS, SCORE_INFO_ID
 from varscore.functions.info import score_info, strip_chr
 from varscore.operators.joins import key_counts, join_unique
-from varscore.runtime import BROADCAST_BYTES, measured_bytes
+from varscore.runtime import BROADCAST_BYTES, checkpointed, measured_bytes
 
 KEY = list(KEY_COLUMNS)
 
@@ -53,7 +53,7 @@ def lookup_scores(
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Scores of the given variants: `(CHROM, POS, REF, ALT, score)`, each key once."""
-    keys = key_counts(_normalised(variants.select(*KEY), normalize_chrom), KEY)
+    keys = checkpointed(key_counts(_normalised(variants.select(*KEY), normalize_chrom), KEY))
     small = measured_bytes(keys) <= broadcast_bytes
     return _matched(_normalised(scores, normalize_chrom), keys, order_col, small).drop("n_rows")
 
@@ -68,7 +68,7 @@ def score_variants(
 ) -> DataFrame:
     """Attach scores to every variant row; duplicate rows on the left are all kept."""
     rows = _normalised(variants, normalize_chrom)
-    keys = key_counts(rows.select(*KEY), KEY)
+    keys = checkpointed(key_counts(rows.select(*KEY), KEY))
     small = measured_bytes(keys) <= broadcast_bytes
     matched = _matched(_normalised(scores, normalize_chrom), keys, order_col, small)
     # At most one matched row per key, so a key table that was small enough stays small enough.
@@ -95,7 +95,7 @@ def annotate(
     """
     rows = _normalised(variants, normalize_chrom)
     table = _normalised(scores, normalize_chrom)
-    keys = key_counts(rows.select(*KEY), KEY)
+    keys = checkpointed(key_counts(rows.select(*KEY), KEY))
     small = measured_bytes(keys) <= broadcast_bytes
     alleles = keys.select(
         "CHROM", "POS", "REF", F.col("ALT").alias("alts"), "n_rows", F.posexplode(F.split("ALT", ",")).alias("i", "ALT")

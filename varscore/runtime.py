@@ -58,3 +58,12 @@ def measured_bytes(df: DataFrame) -> int:
     text = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
     width = sum(text, F.lit(_ROW_OVERHEAD + 8 * len(df.columns))).cast("long")
     return df.agg(F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()["bytes"]
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Give every core a share of a scan that has fewer tasks than there are cores.
+
+    That happens with small inputs and with gzip text, which cannot be split; larger scans stay as they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -4,6 +4,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varscore.constants import VCF_COLUMNS
+from varscore.functions.once import evaluate_once
+from varscore.runtime import spread
 
 
 def vcf_header(lines: DataFrame) -> DataFrame:
@@ -12,20 +14,17 @@ def vcf_header(lines: DataFrame) -> DataFrame:
 
 def vcf_body(lines: DataFrame) -> DataFrame:
     """Body lines split at tabs into the eight fixed columns; `value` keeps the line unchanged."""
-    fields = F.split("value", "\t")
-    columns = {name: F.get(fields, F.lit(i)) for i, name in enumerate(VCF_COLUMNS)}
-    columns["POS"] = columns["POS"].cast("long")
     body = lines.where(~F.startswith("value", F.lit("#")) & (F.length("value") > 0))
-    return body.select("value", *[c.alias(name) for name, c in columns.items()])
+    split = evaluate_once(body.select("value"), _fields=F.split("value", "\t"))
+    columns = {name: F.get("_fields", F.lit(i)) for i, name in enumerate(VCF_COLUMNS)}
+    columns["POS"] = columns["POS"].cast("long")
+    return split.select("value", *[c.alias(name) for name, c in columns.items()])
 
 
-def read_vcf(spark: SparkSession, path: str, partitions: int | None = None):
+def read_vcf(spark: SparkSession, path: str):
     """Return `(header, body)` of a plain or gzipped file, folder or glob.
 
-    One gzip file cannot be split, so it is read by one task; its raw lines are spread again before parsing.
+    One gzip file cannot be split, so it is read by one task; its raw lines are spread before they are parsed.
     """
     lines = spark.read.text(path)
-    raw = lines
-    if path.endswith(".gz"):
-        raw = lines.repartition(partitions or spark.sparkContext.defaultParallelism)
-    return vcf_header(lines), vcf_body(raw)
+    return vcf_header(lines).select("value"), vcf_body(spread(lines.select("value")))

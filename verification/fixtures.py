@@ -7,6 +7,9 @@ tables by integer and text expressions that `verification.oracles` repeats in SQ
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varscore.functions.once import evaluate_once
+from varscore.runtime import spread
+
 CHUNK = 1000
 BASES = "translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')"
 KEY_EXPRS = [
@@ -24,7 +27,7 @@ class Fixtures:
         self.sf_dir = sf_dir
 
     def table(self, name) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
 
     def raw_scores(self) -> DataFrame:
         """Scores with repeated keys; `ord` orders the rows of a key."""
@@ -94,15 +97,9 @@ class Fixtures:
         return with_x(score_variants(rows, self.scores()))
 
     def contig(self) -> DataFrame:
-        return (
-            self.table("documents")
-            .selectExpr(
-                "concat('c', cast(doc_id AS string)) AS contig",
-                "doc_id",
-                f"regexp_replace({BASES}, '[^ACGT]', '') AS seq",
-            )
-            .where("length(seq) >= 130")
-        )
+        named = self.table("documents").selectExpr("concat('c', cast(doc_id AS string)) AS contig", "doc_id", "text")
+        sequenced = evaluate_once(named, seq=F.expr(f"regexp_replace({BASES}, '[^ACGT]', '')"))
+        return sequenced.select("contig", "doc_id", "seq").where("length(seq) >= 130")
 
     def chunks(self) -> DataFrame:
         cut = self.contig().select(

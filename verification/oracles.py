@@ -96,7 +96,7 @@ WHERE b.b <> substr(c.codon, p.place + 1, 1) AND d.codon = substr(c.codon, 1, p.
 SELECT transcript_id, strand, i AS codon_idx, substr(cds, i * 3 + 1, 3) AS codon
 FROM (SELECT *, unnest(range(0, length(cds) // 3)) AS i FROM fx_cds) u""",
     "fx_positions": f"""
-SELECT k.transcript_id, k.codon_idx, k.codon, k.strand, code.aa AS ref_aa, list_transform(e.embedding[1:20], v -> CAST(v AS DOUBLE)) AS lg
+SELECT k.transcript_id, k.codon_idx, k.codon, k.strand, code.aa AS ref_aa, [CAST(v AS DOUBLE) FOR v IN e.embedding[1:20]] AS lg
 FROM fx_codons k JOIN fx_code code ON k.codon = code.codon
 JOIN embeddings e ON e.vec_id = (CAST(substr(k.transcript_id, 3) AS BIGINT) * 30 + k.codon_idx) % (SELECT count(*) FROM embeddings)""",
     "fx_placed_snvs": """
@@ -155,7 +155,7 @@ def _sql(body, *ctes):
         if re.search(rf"\b{name}\b", text):
             needed.insert(0, name)
             text += VIEWS[name]
-    parts = [f"{name} AS ({VIEWS[name]})" for name in needed] + [c.strip() for c in ctes]
+    parts = [f"{name} AS MATERIALIZED ({VIEWS[name]})" for name in needed] + [c.strip() for c in ctes]
     return f"WITH {', '.join(parts)} {body}" if parts else body
 
 
@@ -410,7 +410,7 @@ UNION ALL SELECT NULL, CAST(1 AS DOUBLE), CAST(0 AS DOUBLE)""",
         f"SELECT protein_id, protein_pos, {PIVOT_COLUMNS} FROM fx_last_mutations GROUP BY protein_id, protein_pos"
     ),
     "conservation": _sql(
-        f"""SELECT transcript_id, codon_idx, round(list_sum(list_transform(lg, v -> abs(v - lg[instr({AAS}, ref_aa)]))) / 19, 6) AS conservation
+        f"""SELECT transcript_id, codon_idx, round(list_sum([abs(v - lg[instr({AAS}, ref_aa)]) FOR v IN lg]) / 19, 6) AS conservation
 FROM fx_positions WHERE ref_aa <> '*'"""
     ),
     "stratified_split": _sql(
@@ -489,7 +489,7 @@ FROM ({_binary_cells('s_test', 'x > (SELECT t FROM b_t)')}) b""",
     "score_sequences": _sql(
         """SELECT transcript_id AS protein_id, CAST(codon_idx AS INT) AS pos, aa AS ref_aa, round(1 * (codon_idx + 1) % 13 / 4.0::DOUBLE - z, 6) AS "log_prob_A",
   round(20 * (codon_idx + 1) % 13 / 4.0::DOUBLE - z, 6) AS "log_prob_Y"
-FROM (SELECT transcript_id, codon_idx, c.aa, ln(list_sum(list_transform(range(1, 21), i -> exp(((codon_idx + 1) * i) % 13 / 4.0::DOUBLE)))) AS z
+FROM (SELECT transcript_id, codon_idx, c.aa, ln(list_sum([exp(((codon_idx + 1) * i) % 13 / 4.0::DOUBLE) FOR i IN range(1, 21)])) AS z
   FROM fx_codons k JOIN fx_code c ON k.codon = c.codon) q"""
     ),
 }
