@@ -3,14 +3,18 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from varscore.functions.once import let
 from varscore.functions.sequence import aa_index
 
 
 def log_softmax(logits: Column) -> Column:
     """Numerically stable log-softmax of an array of doubles."""
-    top = F.array_max(logits)
-    total = F.aggregate(logits, F.lit(0.0), lambda acc, v: acc + F.exp(v - top))
-    return F.transform(logits, lambda v: v - top - F.ln(total))
+
+    def shifted(top):
+        total = F.aggregate(logits, F.lit(0.0), lambda acc, v: acc + F.exp(v - top))
+        return let(F.ln(total), lambda norm: F.transform(logits, lambda v: v - top - norm))
+
+    return let(F.array_max(logits), shifted)
 
 
 def pick(values: Column, aa: Column) -> Column:
@@ -32,4 +36,4 @@ def variant_llr(sequence: Column, position: Column, ref_aa: Column, alt_aa: Colu
 
 def llr_row(logits: Column, ref_aa: Column) -> Column:
     """All twenty ratios of one position; the reference residue gets exactly 0."""
-    return F.transform(logits, lambda v: v - pick(logits, ref_aa))
+    return let(pick(logits, ref_aa), lambda reference: F.transform(logits, lambda v: v - reference))

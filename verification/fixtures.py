@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varscore.functions.once import evaluate_once
-from varscore.runtime import spread
+from varscore.runtime import checkpointed, spread
 
 CHUNK = 1000
 BASES = "translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')"
@@ -25,6 +25,7 @@ class Fixtures:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._pieces = None
 
     def table(self, name) -> DataFrame:
         return spread(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
@@ -158,7 +159,10 @@ class Fixtures:
     def pieces(self) -> DataFrame:
         from varscore.operators.genome import exon_offsets, fetch_regions
 
-        return fetch_regions(exon_offsets(self.regions()), self.chunks(), CHUNK)
+        if self._pieces is None:
+            found = fetch_regions(exon_offsets(self.regions()), self.chunks(), CHUNK)
+            self._pieces = spread(checkpointed(found))
+        return self._pieces
 
     def cds(self) -> DataFrame:
         from varscore.operators.genome import extract_cds
