@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from varscore import schemas
 from varscore.constants import AMINO_ACIDS, codon_table
-from varscore.operators import genome, matrix, model
+from varscore.operators import genome, joins, matrix, model
 from varscore.plans import scoring
 from varscore.sinks import tables, vcf as out
 from varscore.sources import fasta, gff
@@ -136,6 +136,15 @@ def test_generate_scores_rejects_and_resume(spark, tmp_path):
     assert rows(out.from_records(out.to_records(scores))) == rows(scores.select(schemas.GENERATED_SCORES.fieldNames()))
 
 
+def test_chunk_under_many_regions(spark, monkeypatch):
+    regions = [(f"t{i}", "c", 2, 4, "+", "0") for i in range(30)] + [("u", "c", 6, 9, "+", "0")]
+    plain = rows(pieces(spark, regions, {"c": "AAACCCGGGT"}))
+    monkeypatch.setattr(joins, "HOT_SHARE", 0.1)
+    monkeypatch.setattr(joins, "HOT_ROWS", 5)
+    hot = pieces(spark, regions, {"c": "AAACCCGGGT"})
+    assert rows(hot) == plain and len(plain) == 31
+
+
 def test_offsets_across_blocks(spark, monkeypatch):
     monkeypatch.setattr(genome, "_BLOCK_BASES", 10)
     contigs, regions = random_genes(4)

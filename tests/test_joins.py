@@ -1,3 +1,4 @@
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -20,8 +21,10 @@ def scores(spark):
     return spark.range(0, 900, 2).selectExpr("'chr1' AS CHROM", "id AS POS", "'A' AS REF", "'C' AS ALT", "-id / 4 AS score")
 
 
-def test_hot_keys_take_the_same_result(spark, monkeypatch):
-    monkeypatch.setattr(joins, "HOT_SHARE", 0.1)
+@pytest.mark.parametrize("hot_share", [0.1, 0.9])
+def test_hot_keys_take_the_same_result(spark, monkeypatch, hot_share):
+    monkeypatch.setattr(joins, "HOT_SHARE", hot_share)
+    monkeypatch.setattr(joins, "HOT_ROWS", 10)
     variants, table = hot_variants(spark), scores(spark)
     plain = variants.join(table.withColumn("CHROM", F.lit("1")), lookup.KEY, "inner")
     left = variants.join(table.withColumn("CHROM", F.lit("1")), lookup.KEY, "left")

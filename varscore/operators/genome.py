@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from varscore.constants import AMINO_ACIDS, CODON_BASES, codon_table
 from varscore.functions.sequence import codon_array, complement, reverse_complement
+from varscore.operators.joins import join_unique, key_counts
+from varscore.runtime import checkpointed
 from varscore.sources.fasta import CHUNK_BASES
 
 # Exons of one transcript do not overlap, so a block of this many bases bounds the exons summed in one task.
@@ -79,13 +81,15 @@ def fetch_regions(regions: DataFrame, chunks: DataFrame, bases: int = CHUNK_BASE
     """Reference text of every region, in pieces cut at chunk borders.
 
     Each region names the chunks it touches, which turns the interval lookup into an equi-join on
-    (contig, bin). Adds `piece_start`, `piece_end` (1-based inclusive) and `seq` (reference strand).
+    (contig, bin). A chunk under very many regions is treated as a hot key. Adds `piece_start`, `piece_end` (1-based inclusive) and `seq` (reference strand).
     """
     touched = regions.withColumn(
         "bin",
         F.explode(F.sequence(F.floor((F.col("start_pos") - 1) / bases), F.floor((F.col("end_pos") - 1) / bases))),
     )
-    pieces = touched.join(chunks.withColumnRenamed("contig", "chrom"), ["chrom", "bin"])
+    on = ["chrom", "bin"]
+    counts = checkpointed(key_counts(touched, on))
+    pieces = join_unique(touched, chunks.withColumnRenamed("contig", "chrom"), on, counts)
     bin_start = F.col("bin") * bases + 1
     return (
         pieces.withColumn("piece_start", F.greatest(F.col("start_pos"), bin_start))

@@ -37,12 +37,23 @@ def _normalised(df: DataFrame, normalize_chrom: bool) -> DataFrame:
     return df.withColumn("CHROM", strip_chr(F.col("CHROM"))) if normalize_chrom else df
 
 
+def _candidates(scores, order_col, small):
+    """The score rows to match against keys, and the column that still orders rows of one key.
+
+    Small key tables filter the score rows as they are. Otherwise both sides are shuffled by key, and reducing
+    the scores in the same shuffle costs nothing and collapses copies of a key before it.
+    """
+    if not small:
+        return dedupe_scores(scores, order_col), None
+    return scores.select(*KEY, "score", *([order_col] if order_col else [])), order_col
+
+
 def _matched(scores, keys, order_col, small):
-    """Scores of the wanted keys, one row per key. The score table is only filtered when keys are small."""
-    carried = KEY + ["score"] + ([order_col] if order_col else [])
-    side = F.broadcast(keys) if small else keys
-    hits = scores.select(*carried).join(side, KEY, "inner")
-    return hits.groupBy(*KEY).agg(last_score(order_col), F.first("n_rows").alias("n_rows"))
+    """Scores of the wanted keys, one row per key."""
+    table, order_col = _candidates(scores, order_col, small)
+    wanted = keys.select(*KEY)
+    hits = table.join(F.broadcast(wanted) if small else wanted, KEY, "inner")
+    return hits.groupBy(*KEY).agg(last_score(order_col)) if small else hits
 
 
 def lookup_scores(
@@ -55,7 +66,7 @@ def lookup_scores(
     """Scores of the given variants: `(CHROM, POS, REF, ALT, score)`, each key once."""
     keys = checkpointed(key_counts(_normalised(variants.select(*KEY), normalize_chrom), KEY))
     small = measured_bytes(keys) <= broadcast_bytes
-    return _matched(_normalised(scores, normalize_chrom), keys, order_col, small).drop("n_rows")
+    return _matched(_normalised(scores, normalize_chrom), keys, order_col, small)
 
 
 def score_variants(
@@ -72,7 +83,7 @@ def score_variants(
     small = measured_bytes(keys) <= broadcast_bytes
     matched = _matched(_normalised(scores, normalize_chrom), keys, order_col, small)
     # At most one matched row per key, so a key table that was small enough stays small enough.
-    return join_unique(rows, matched, KEY, how, small)
+    return join_unique(rows, matched, KEY, keys, how, small)
 
 
 def split_alts(variants: DataFrame) -> DataFrame:
@@ -94,21 +105,20 @@ def annotate(
     rows: no row numbers are needed, and copies of a row never meet in one group.
     """
     rows = _normalised(variants, normalize_chrom)
-    table = _normalised(scores, normalize_chrom)
     keys = checkpointed(key_counts(rows.select(*KEY), KEY))
     small = measured_bytes(keys) <= broadcast_bytes
     alleles = keys.select(
-        "CHROM", "POS", "REF", F.col("ALT").alias("alts"), "n_rows", F.posexplode(F.split("ALT", ",")).alias("i", "ALT")
+        "CHROM", "POS", "REF", F.col("ALT").alias("alts"), F.posexplode(F.split("ALT", ",")).alias("i", "ALT")
     )
-    carried = KEY + ["score"] + ([order_col] if order_col else [])
-    hits = table.select(*carried).join(F.broadcast(alleles) if small else alleles, KEY, "inner")
+    table, order_col = _candidates(_normalised(scores, normalize_chrom), order_col, small)
+    hits = table.join(F.broadcast(alleles) if small else alleles, KEY, "inner")
     rank = F.struct("i", *([order_col] if order_col else []), "score")
     best = (
         hits.groupBy("CHROM", "POS", "REF", "alts")
-        .agg(F.max_by("score", rank).alias("score"), F.first("n_rows").alias("n_rows"))
+        .agg(F.max_by("score", rank).alias("score"))
         .withColumnRenamed("alts", "ALT")
     )
-    return join_unique(rows, best, KEY, "left", small)
+    return join_unique(rows, best, KEY, keys, "left", small)
 
 
 def annotated_info(info_id: str = SCORE_INFO_ID):
