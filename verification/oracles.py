@@ -99,12 +99,14 @@ FROM (SELECT *, unnest(range(0, length(cds) // 3)) AS i FROM fx_cds) u""",
 SELECT k.transcript_id, k.codon_idx, k.codon, k.strand, code.aa AS ref_aa, [CAST(v AS DOUBLE) FOR v IN e.embedding[1:20]] AS lg
 FROM fx_codons k JOIN fx_code code ON k.codon = code.codon
 JOIN embeddings e ON e.vec_id = (CAST(substr(k.transcript_id, 3) AS BIGINT) * 30 + k.codon_idx) % (SELECT count(*) FROM embeddings)""",
+    "fx_cds_snvs": """
+SELECT k.transcript_id, k.codon_idx, k.codon_idx * 3 + m.place AS cds_pos, k.codon, m.ref_aa, m.alt_aa, m.ref, m.alt, k.strand
+FROM fx_codons k JOIN fx_missense m ON k.codon = m.codon""",
     "fx_placed_snvs": """
-SELECT k.transcript_id, k.codon_idx, k.codon_idx * 3 + m.place AS cds_pos, k.codon, m.ref_aa, m.alt_aa, b.chrom AS CHROM, b.pos AS POS,
-  CASE WHEN k.strand = '-' THEN translate(m.ref, 'ACGT', 'TGCA') ELSE m.ref END AS REF,
-  CASE WHEN k.strand = '-' THEN translate(m.alt, 'ACGT', 'TGCA') ELSE m.alt END AS ALT, k.strand
-FROM fx_codons k JOIN fx_missense m ON k.codon = m.codon
-JOIN fx_bases b ON b.transcript_id = k.transcript_id AND b.cds_offset = k.codon_idx * 3 + m.place""",
+SELECT k.transcript_id, k.codon_idx, k.cds_pos, k.codon, k.ref_aa, k.alt_aa, b.chrom AS CHROM, b.pos AS POS,
+  CASE WHEN k.strand = '-' THEN translate(k.ref, 'ACGT', 'TGCA') ELSE k.ref END AS REF,
+  CASE WHEN k.strand = '-' THEN translate(k.alt, 'ACGT', 'TGCA') ELSE k.alt END AS ALT, k.strand
+FROM fx_cds_snvs k JOIN fx_bases b ON b.transcript_id = k.transcript_id AND b.cds_offset = k.cds_pos""",
     "fx_raw_generated": f"""
 SELECT s.CHROM, s.POS, s.REF, s.ALT, p.lg[instr({AAS}, s.alt_aa)] - p.lg[instr({AAS}, s.ref_aa)] AS raw, s.transcript_id AS TranscriptID,
   s.transcript_id AS ProteinID, CAST(s.codon_idx + 1 AS VARCHAR) AS ProteinPos, s.ref_aa AS RefAA, s.alt_aa AS AltAA, s.strand
