@@ -153,17 +153,16 @@ def percentiles_from_points(points: DataFrame, quantiles) -> DataFrame:
     A value's rows occupy a known stretch of ascending ranks, so each percentile is two conditional maxima;
     the built-in exact percentile would gather all distinct values in one buffer.
     """
-    lower_ranks = (F.col("P") + F.col("N") - F.col("tp") - F.col("fp")).alias("below")
-    total = F.max(F.col("P") + F.col("N")).alias("n")
-    n = points.agg(total).scalar()
-    ranked = points.select("x", lower_ranks)
+    rows = F.col("P") + F.col("N")
+    below = rows - F.col("tp") - F.col("fp")
     columns = []
     for i, q in enumerate(quantiles):
-        place = (n - 1).cast("double") * F.lit(float(q))
-        low = F.max(F.when(F.col("below") <= F.floor(place), F.col("x")))
-        high = F.max(F.when(F.col("below") <= F.ceil(place), F.col("x")))
-        columns.append((low + (high - low) * (place - F.floor(place))).alias(f"q{i}"))
-    return ranked.agg(*columns)
+        place = (rows - 1).cast("double") * F.lit(float(q))
+        low = F.max(F.when(below <= F.floor(place), F.col("x")))
+        high = F.max(F.when(below <= F.ceil(place), F.col("x")))
+        # The same place on every row; any aggregate returns it.
+        columns.append((low + (high - low) * F.max(place - F.floor(place))).alias(f"q{i}"))
+    return points.agg(*columns)
 
 
 def percentiles(df: DataFrame, quantiles, x: str = "x", y: str = "y") -> DataFrame:
