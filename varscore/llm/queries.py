@@ -1,8 +1,9 @@
 """The registered queries of this subpackage: each applies one operator to its whole table."""
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from varscore.llm import exact_dedup, order_minhash, sharding, simhash
+from varscore.llm import exact_dedup, mixing, order_minhash, quality, sentencepieces, sharding, simhash, token_counts, token_files
 
 
 def _table(spark, sf_dir, name):
@@ -14,6 +15,25 @@ def op1_simhash(spark, sf_dir):
     return found.select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
 
 
+def held_out(id_col="doc_id"):
+    """Rows whose labels are never learnt from."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
+
+
+def op2_quality(spark, sf_dir):
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(~held_out()))
+    scored = docs.select("doc_id", held_out().alias("held_out"), quality.score(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+def op3_token_counts(spark, sf_dir):
+    tokens = token_counts.token_count(F.col("text"), public_tokenizers.path("word_bpe_49k.json"))
+    docs = _table(spark, sf_dir, "documents")
+    counted = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), tokens.alias("n_tokens"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
 def op4_exact_dedup(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     copies = exact_dedup.duplicate_classes(docs).where("full_hash is not null")
@@ -34,14 +54,38 @@ def op5_sharding(spark, sf_dir):
     )
 
 
+def op7_mixing(spark, sf_dir):
+    """The place of every document in the mix of its source with the others, at tempered weights."""
+    rows, names, period = mixing.placed(_table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "source", (F.col(names["blocks"]) / period).alias("weight"),
+        *[F.col(names[n]).cast("long").alias(n) for n in ("row", "block", "release", "deadline", "slot")],
+    )
+
+
+def op8_sentencepiece(spark, sf_dir):
+    found = sentencepieces.encoded(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op9_token_files(spark, sf_dir):
+    found = token_files.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op10_order_minhash(spark, sf_dir):
     return order_minhash.edit_report(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_quality": op2_quality,
+    "op3_token_counts": op3_token_counts,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_sharding": op5_sharding,
+    "op7_mixing": op7_mixing,
+    "op8_sentencepiece": op8_sentencepiece,
+    "op9_token_files": op9_token_files,
     "op10_order_minhash": op10_order_minhash,
 }
 
