@@ -25,11 +25,29 @@ PIECE, DICTIONARY, LEVEL = 1024, 64 * 1024, 3
 SHORT = 128
 
 
-def _sample(labelled: DataFrame, quality: int, docs: int, most: int) -> list:
-    """Up to `docs` texts (UTF-8) of one class in hash order."""
-    start = F.greatest(F.lit(0), F.pmod(F.xxhash64("id", F.lit(7)), F.greatest(F.length("text") - most, F.lit(1)))).cast("int")
-    rows = labelled.where(F.col("quality") == quality).orderBy(F.xxhash64("id"), "id").limit(docs)
-    return [r[0].encode() for r in rows.select(F.substring(F.col("text"), start + 1, F.lit(most))).collect()]
+def _sample(docs: DataFrame, known: DataFrame, n_docs: int, most: int) -> dict:
+    """Up to `n_docs` texts (UTF-8) of each class in hash order, by class.
+
+    The ids are chosen from the narrow label rows, thinned by their hash to about the number wanted, so the driver gets
+    a bounded number of ids and texts, and only these few ids are broadcast to the documents.
+    """
+    counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    chosen = []
+    for quality, n in counts.items():
+        share = min(1.0, 1.5 * n_docs / n + 10 / n)
+        hashed = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30))
+        few = known.where((F.col("quality") == quality) & (hashed < int(share * (1 << 30))))
+        chosen += [(r["id"], quality) for r in few.orderBy(hashed, "id").limit(n_docs).collect()]
+    if not chosen:
+        return {}
+    kind = known.schema["id"].dataType.simpleString()
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(chosen, f"id {kind}, quality int"))
+    place = F.pmod(F.xxhash64("id", F.lit(7)), F.greatest(F.length("text") - most, F.lit(0)) + 1).cast("int")
+    rows = docs.join(wanted, "id").select("id", "quality", F.substring(F.col("text"), place + 1, F.lit(most)).alias("text")).collect()
+    out = {}
+    for r in sorted(rows, key=lambda r: (r["id"], r["text"])):
+        out.setdefault(r["quality"], []).append(r["text"].encode())
+    return out
 
 
 def _dictionary(texts: list):
@@ -82,9 +100,10 @@ def _logistic(features: np.ndarray, good: np.ndarray) -> list:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality", sample_docs=3000, sample_bytes=16384) -> dict:
     """The dictionaries and weights; `labels` holds only the rows that may be learnt from."""
+    docs = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
     known = labels.select(col(id_col).alias("id"), col(label_col).cast("int").alias("quality")).where("quality in (0, 1)").distinct()
-    labelled = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text")).join(known, "id")
-    good, bad = _sample(labelled, 1, sample_docs, sample_bytes), _sample(labelled, 0, sample_docs, sample_bytes)
+    sample = _sample(docs, known.join(docs.select("id"), "id", "left_semi"), sample_docs, sample_bytes)
+    good, bad = sample.get(1, []), sample.get(0, [])
     if not good or not bad:
         return {"dictionaries": None, "prior": 0.5 if not good and not bad else float(bool(good))}
     halves = [(texts[0::2], texts[1::2] or texts) for texts in (good, bad)]
