@@ -21,12 +21,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varscore.llm.common import CACHE_WORDS, WordCache, narrow, shuffle_partitions, texts_of
+from varscore.llm.common import WordCache, narrow, shuffle_partitions, texts_of
 from varscore.runtime import scratch_path
 
 #: Ids of a block, ids at which a chunk is closed, and the id that ends a document.
 BLOCK, CHUNK_IDS, END = 8192, 1 << 18, 2
+#: Words that each of the two generations of a worker's cache holds, about 200 bytes each.
+CACHE = 600_000
 SCHEMA = "file int, chunk int, first long, n_ids long, doc_ids array<long>, doc_lengths array<long>, index binary, planes binary"
+_RUNS = [c + b" " for c in (b" ", b"\t", b"\n", b"\r", b"\x0b", b"\x0c")]
+_BEYOND = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80", b"\x1c", b"\x1d", b"\x1e", b"\x1f"]
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
 _ODD_SPACE = re.compile(r"[^\S \t\n\r\x0b\x0c]")
 _PIECES = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
@@ -78,7 +82,7 @@ class Encoder:
         led = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             led[i] = token.startswith("Ġ")
-        self.led, self.cache = led, WordCache(self.fetch, CACHE_WORDS)
+        self.led, self.cache = led, WordCache(self.fetch, CACHE)
 
     def ids(self, texts: list) -> list:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -92,7 +96,8 @@ class Encoder:
             ids = np.array(self.tokenizer.encode(" " + " ".join(k.decode() for k in part), add_special_tokens=False).ids, "<u4")
             cuts = np.flatnonzero(self.led[ids])
             if len(cuts) == len(part) and cuts[0] == 0:
-                out.update(zip(part, (x.tobytes() for x in np.split(ids, cuts[1:]))))
+                packed, ends = ids.tobytes(), [*(4 * cuts[1:]).tolist(), 4 * len(ids)]
+                out.update(zip(part, (packed[a:b] for a, b in zip([0, *ends], ends))))
         rest = [k for k in keys if out[k] is None]
         out.update(zip(rest, self.ids([k.decode()[1:] if k[:1] == b" " else " " + k.decode() for k in rest])))
         return [out[k] for k in keys]
@@ -100,11 +105,10 @@ class Encoder:
     def encode(self, data: bytes) -> bytes:
         if not data:
             return b""
-        text = data.decode()
-        if _ODD_SPACE.search(text):
-            return self.ids([text])[0]
-        if _UNSAFE.search(text):
-            return b"".join(self.ids(_PIECES.findall(text)))
+        if any(x in data for x in _BEYOND) and _ODD_SPACE.search(data.decode()):
+            return self.ids([data.decode()])[0]
+        if any(x in data for x in _RUNS) and _UNSAFE.search(data.decode()):
+            return b"".join(self.ids(_PIECES.findall(data.decode())))
         words = data.split(b" ")
         words[0] = b" " + words[0]
         long = max(map(len, words)) > 256
