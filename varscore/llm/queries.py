@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from varscore.llm import exact_dedup, mixing, order_minhash, quality, sentencepieces, sharding, simhash, token_counts, token_files
+from varscore.llm import exact_dedup, mixing, order_minhash, quality, sentencepieces, sharding, simhash, suffix_dedup, token_counts, token_files
 
 
 def _table(spark, sf_dir, name):
@@ -54,6 +54,11 @@ def op5_sharding(spark, sf_dir):
     )
 
 
+def op6_suffix_dedup(spark, sf_dir):
+    found = suffix_dedup.without_repeats(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_mixing(spark, sf_dir):
     """The place of every document in the mix of its source with the others, at tempered weights."""
     rows, names, period = mixing.placed(_table(spark, sf_dir, "documents"))
@@ -83,6 +88,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_sharding": op5_sharding,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_mixing": op7_mixing,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_token_files": op9_token_files,
