@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from varscore.runtime import scratch_path
+from varscore.runtime import BROADCAST_BYTES, measured_bytes, scratch_path
 
 #: Largest number of words held by one generation of a word cache (two generations live in a worker).
 CACHE_WORDS = 250_000
@@ -37,6 +37,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_or_shuffled(df: DataFrame) -> DataFrame:
+    """A join side, with a hint to broadcast it if its measured size allows that; otherwise both sides are shuffled."""
+    return F.broadcast(df) if measured_bytes(df) <= BROADCAST_BYTES else df
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -52,6 +57,7 @@ def ranked(df: DataFrame, group: str, order: list, rank: str, cell_bits=10) -> D
     counts = df.groupBy(group, cell).agg(F.count("*").alias(n))
     w = Window.partitionBy(group).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(F.col(group).alias("g_"), F.col(cell).alias("c_"), F.coalesce(F.sum(n).over(w), F.lit(0)).alias(before))
+    counts = small_or_shuffled(counts)
     local = df.withColumn(rank, F.row_number().over(Window.partitionBy(group, cell).orderBy(*order)) - 1)
     joined = local.join(counts, F.col(group).eqNullSafe(F.col("g_")) & (F.col(cell) == F.col("c_")))
     return joined.withColumn(rank, (F.col(rank) + F.col(before)).cast("long")).drop(cell, before, "g_", "c_")

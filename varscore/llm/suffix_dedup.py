@@ -3,14 +3,18 @@
 A byte goes if some string of LENGTH bytes that covers it also starts earlier: in a document with a smaller id, or
 earlier in the same one. Documents are dealt to shards, ranges of ids, once. Then:
 
-1. Each shard picks anchors, the smallest KGRAM-byte hash of every window of LENGTH bytes; equal windows have equal
-   anchors. Anchors that occur twice anywhere, found by buckets of their hash, tell each shard which windows may repeat.
-2. Each shard builds the suffix array of these passages by Larsson-Sadakane refinement, and common prefixes by Kasai's
-   rule. Windows that start earlier in the shard are decided there; each different window is sent on once.
-3. Buckets of the windows' hash get one sorted list from each shard, and merge neighbouring lists by binary search: what
-   an earlier shard has too is repeated. A window that a third of all documents share is one entry per shard.
+1. Each shard picks anchors, the smallest KGRAM-byte hash of every window of LENGTH bytes, and cuts its texts into blocks
+   of the neighbouring windows with one anchor. Equal windows have equal anchors. Buckets of the anchors' hash tell each
+   shard which blocks an earlier shard has too, as a whole, and which anchors stand in different blocks.
+2. For anchors that a shard has more than once it builds the suffix array of their blocks by Larsson-Sadakane refinement,
+   and common prefixes by Kasai's rule, which decides repeats within the shard.
+3. Windows of anchors that stand in different blocks are sent on, each once per shard. Buckets of the windows' hash merge
+   the sorted lists of the shards by binary search: what an earlier shard has too is repeated.
 4. Each shard gets the places back and cuts its documents.
 
+Copies of whole texts are taken out first: all but the one with the smallest id lose everything. No bucket gets more
+than one entry per shard for a passage, however many documents share it.
+
 Texts are whole and UTF-8; nulls and empty texts keep nothing and lose nothing. Documents with null ids come last;
 documents with equal ids are ordered by text, so of repeated rows only the first keeps its bytes. Windows of different
 shards are compared by 96 bits of hash. Shards and lists only grow in number with the input.
@@ -22,18 +26,32 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varscore.llm.common import narrow
+from varscore.llm.common import narrow, pieces_by_bytes, small_or_shuffled, written
 from varscore.llm.order_minhash import id_ranges
 
 #: Length of a repeated string, bytes of an anchor, and bytes of text a shard is aimed at.
 LENGTH, KGRAM, SHARD_BYTES = 100, 32, 4 << 20
+#: Bytes of text hashed at a time.
+PIECE_BYTES = 65_536
 _TABLE = np.random.default_rng(4).integers(0, 1 << 64, (2, 256), np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_POWERS: dict = {}
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    return np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, base, np.uint64))])
+    """1, base, base^2, ... (modulo 2^64), kept for the next call."""
+    known = _POWERS.get(int(base))
+    if known is None or len(known) <= n:
+        known = _POWERS[int(base)] = np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(n, 1 << 17), base, np.uint64))])
+    return known[: n + 1]
+
+
+def prefix_sums(t: np.ndarray, table=0):
+    """Prefix sums of a polynomial hash, and the powers that bring a difference of two to the same place."""
+    sums = np.zeros(len(t) + 1, np.uint64)
+    np.cumsum(_TABLE[table][t] * powers(_BASE, len(t))[: len(t)], out=sums[1:])
+    return sums, powers(_INVERSE, len(t))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -42,12 +60,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def rolling(t: np.ndarray, widths: tuple, table=0) -> list:
-    """Hashes of all substrings of each width; entry i belongs to t[i : i + width]."""
-    up, down = powers(_BASE, len(t)), powers(_INVERSE, len(t))
-    sums = np.zeros(len(t) + 1, np.uint64)
-    np.cumsum(_TABLE[table][t] * up[: len(t)], out=sums[1:])
-    return [mixed((sums[w:] - sums[:-w]) * down[: len(t) + 1 - w]) if len(t) >= w else np.zeros(0, np.uint64) for w in widths]
+def rolling(t: np.ndarray, width: int, table=0) -> np.ndarray:
+    """Hashes of all substrings of a width; entry i belongs to t[i : i + width]."""
+    sums, down = prefix_sums(t, table)
+    return mixed((sums[width:] - sums[:-width]) * down[: len(t) + 1 - width])
 
 
 def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -60,7 +76,7 @@ def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
 
 
 class Shard:
-    """The concatenated texts of a shard in document order, and its windows."""
+    """The concatenated texts of a shard in document order, and the blocks of windows with one anchor."""
 
     def __init__(self, table: pa.Table):
         ids, texts = table.column("id").to_pylist(), table.column("text").to_pylist()
@@ -69,36 +85,39 @@ class Shard:
         self.ends = np.cumsum([len(t) for t in self.texts])
         self.starts = self.ends - [len(t) for t in self.texts]
         self.text = np.frombuffer(b"".join(self.texts), np.uint8)
-        n = len(self.text)
-        self.valid = np.zeros(max(0, n - LENGTH + 1), bool)  # windows inside one document
-        for a, b in zip(self.starts.tolist(), self.ends.tolist()):
-            self.valid[a : max(a, b - LENGTH + 1)] = True
-        self.keys = self.small = self.least = None
-
-    def anchors(self):
-        """(positions, hashes) of the anchors."""
-        if not self.valid.any():
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        (self.keys,) = rolling(self.text, (KGRAM,))
-        self.small = (self.keys >> np.uint64(32)).astype(np.uint32)
-        span = LENGTH - KGRAM + 1
-        self.least = sliding(self.small, span, np.minimum)
-        seen = np.where(self.valid, self.least, np.uint32(0))
-        edge = np.zeros(span - 1, np.uint32)
-        most = sliding(np.concatenate([edge, seen, edge]), span, np.maximum)
-        at = np.flatnonzero((most == self.small) & (sliding(np.concatenate([edge > 0, self.valid, edge > 0]), span, np.logical_or)))
-        return at, self.keys[at]
-
-    def candidates(self, at: np.ndarray, repeated: np.ndarray) -> np.ndarray:
-        """Which windows have an anchor at the positions `at[repeated]`."""
-        if not len(at):
-            return np.zeros(0, bool)
-        marked = np.full(len(self.small), np.uint32(0xFFFFFFFF))
-        marked[at[repeated]] = self.small[at[repeated]]
-        has = np.zeros(len(self.small), bool)
-        has[at[repeated]] = True
-        span = LENGTH - KGRAM + 1
-        return self.valid & (sliding(marked, span, np.minimum) == self.least) & sliding(has, span, np.logical_or)
+
+    def blocks(self):
+        """(first window, last window, anchor's hash, block's hash) of the blocks in text order."""
+        out = [[np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.uint64)] * 2]
+        long = np.flatnonzero(self.ends - self.starts >= LENGTH).tolist()
+        for a, b in pieces_by_bytes([int(self.ends[i] - self.starts[i]) for i in long], PIECE_BYTES):
+            docs = long[a:b]
+            data = np.frombuffer(b"".join([self.texts[i] for i in docs]), np.uint8)
+            sizes = np.array([len(self.texts[i]) for i in docs])
+            ends = np.cumsum(sizes)
+            first, last, key, block = blocks_of(data, ends - sizes, ends)
+            shift = (self.starts[docs] - (ends - sizes))[np.searchsorted(ends, first, side="right")]
+            out.append([first + shift, last + shift, key, block])
+        return [np.concatenate(x) for x in zip(*out)]
+
+
+def blocks_of(t: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """The blocks of a few documents that lie one after the other in `t`."""
+    valid = np.zeros(len(t) - LENGTH + 2, np.int8)
+    valid[starts] += 1
+    valid[ends - LENGTH + 1] -= 1
+    valid = np.cumsum(valid[:-1], dtype=np.int8) > 0
+    sums, down = prefix_sums(t)
+    keys = mixed((sums[KGRAM:] - sums[:-KGRAM]) * down[: len(t) + 1 - KGRAM])
+    ranked = (keys & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(keys), dtype=np.uint64)
+    anchor = (sliding(ranked, LENGTH - KGRAM + 1, np.minimum) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    new = valid.copy()
+    new[1:] &= ~valid[:-1] | (anchor[1:] != anchor[:-1])
+    first = np.flatnonzero(new)
+    stop = valid & ~np.append(valid[1:] & ~new[1:], False)
+    last = np.flatnonzero(stop)
+    block = mixed((sums[last + LENGTH] - sums[first]) * down[first] + (last - first).astype(np.uint64))
+    return first, last, keys[anchor[first]], block
 
 
 def packed_words(t: np.ndarray) -> np.ndarray:
@@ -174,26 +193,44 @@ def common_prefixes(t: np.ndarray, words: np.ndarray, sa: np.ndarray) -> np.ndar
     return (length[slot] - (i - last))[sa]
 
 
-def repeats_within(text: np.ndarray, candidate: np.ndarray):
-    """(repeated, first): window starts that occur earlier in the shard, and the others, in ascending order."""
-    starts = np.flatnonzero(candidate)
+def spread(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """All window starts of the given blocks."""
+    n = last - first + 1
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def covered(starts: np.ndarray) -> np.ndarray:
+    """The places of the bytes under the windows (ascending starts)."""
     if not len(starts):
-        return starts, starts
-    edge = np.zeros(len(text) + 1, np.int32)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + LENGTH, -1)
-    place = np.flatnonzero(np.cumsum(edge[:-1]))
+        return starts
+    cut = np.flatnonzero(np.diff(starts) > LENGTH) + 1
+    return spread(starts[np.append(0, cut)], starts[np.append(cut - 1, len(starts) - 1)] + LENGTH - 1)
+
+
+def repeats_within(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Those of the (ascending) window starts whose window also starts earlier in the list."""
+    if not len(starts):
+        return starts
+    place = covered(starts)
     t = text[place]
     words = packed_words(t)
     sa = suffix_array(t, words)
     group = np.cumsum(common_prefixes(t, words, sa) < LENGTH)
-    mine = candidate[np.minimum(place[sa], len(candidate) - 1)] & (place[sa] < len(candidate))
-    sa, group = sa[mine], group[mine]
+    mine = np.zeros(len(t), bool)
+    mine[np.searchsorted(place, starts)] = True
+    sa, group = sa[mine[sa]], group[mine[sa]]
     order = np.lexsort((sa, group))
     sa, group = sa[order], group[order]
-    new = np.ones(len(sa), bool)
-    new[1:] = group[1:] != group[:-1]
-    return np.sort(place[sa[~new]]), np.sort(place[sa[new]])
+    return np.sort(place[sa[1:][group[1:] == group[:-1]]])
+
+
+def window_hashes(text: np.ndarray, starts: np.ndarray):
+    """(64-bit keys, further 32 bits) of the windows."""
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+    place = covered(starts)
+    t, at = text[place], np.searchsorted(place, starts)
+    return rolling(t, LENGTH)[at], (rolling(t, LENGTH, 1)[at] >> np.uint64(32)).astype(np.uint32)
 
 
 def squeeze(*arrays) -> bytes:
@@ -241,55 +278,87 @@ def _rows(**columns):
     return pa.table({name: pa.array(values, kinds[name]) for name, values in columns.items()})
 
 
+def pairs_of(key: np.ndarray, block: np.ndarray):
+    """Different (key, block) pairs in order, how often their key occurs, and the pair of each entry."""
+    order = np.lexsort((block, key))
+    k, b = key[order], block[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (b[1:] != b[:-1])
+    inverse = np.empty(len(k), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return k[new], b[new], inverse
+
+
+def judged(owner: np.ndarray, key: np.ndarray, block: np.ndarray):
+    """For pairs of several shards: whether an earlier shard has the pair, and whether its key has other blocks."""
+    order = np.lexsort((owner, block, key))
+    k, b = key[order], block[order]
+    later = np.zeros(len(k), bool)
+    later[1:] = (k[1:] == k[:-1]) & (b[1:] == b[:-1])
+    edge = np.ones(len(k), bool)
+    edge[1:] = k[1:] != k[:-1]
+    group = np.cumsum(edge) - 1
+    other = (np.bincount(group, weights=~later) > 1)[group]
+    out = np.zeros((2, len(k)), bool)
+    out[:, order] = later, other
+    return out
+
+
 def without_repeats(docs: DataFrame, id_col="doc_id", text_col="text", shard_bytes=SHARD_BYTES) -> DataFrame:
     """Rows (id, n_bytes, n_removed, n_spans, kept binary), one per document."""
     rows = narrow(docs, id_col, text_col).select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long")).first()[0]
+    sized = written(rows.select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "sized")
+    firsts = written(sized.groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first"), "firsts")
+    copies = sized.where(F.col("n_bytes") >= LENGTH).join(firsts, "sha").where("first is not null and (id is null or id > first)")
+    copies = written(copies.select("id", "n_bytes", "sha"), "copies")
+    total = sized.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     shards = max(1, -(-total // shard_bytes))
     bits = max(0, (shards // 2).bit_length() - 1)
-    base = rows.withColumn("shard", id_ranges(rows, shards).cast("int")).repartition(max(1, -(-shards // 2)), "shard")
+    known = small_or_shuffled(copies.select(F.col("id").alias("c_id"), F.col("sha").alias("c_sha")))
+    rows = rows.join(known, F.col("id").eqNullSafe(F.col("c_id")) & (F.sha2("text", 256) == F.col("c_sha")), "left_anti")
+    base = rows.withColumn("shard", id_ranges(sized, shards).cast("int")).repartition(max(1, -(-shards // 2)), "shard")
 
     def anchors(table):
-        shard = Shard(table)
-        own = table.column("shard")[0].as_py()
-        keys, counts = np.unique(shard.anchors()[1], return_counts=True)
-        found = bucketed(keys, bits)
-        blobs = [squeeze(np.diff(keys[a:b], prepend=np.uint64(0)), counts[a:b] > 1) for _, a, b in found]
+        key, block, _ = pairs_of(*Shard(table).blocks()[2:])
+        own, found = table.column("shard")[0].as_py(), bucketed(key, bits)
+        blobs = [squeeze(np.diff(key[a:b], prepend=np.uint64(0)), block[a:b]) for _, a, b in found]
         return _rows(bucket=[b for b, _, _ in found], shard=[own] * len(found), data=blobs)
 
     def repeated(table):
-        owners = table.column("shard").to_pylist()
-        lists = [unsqueeze(x, np.uint64, bool) for x in table.column("data").to_pylist()]
-        lists = [(np.cumsum(d, dtype=np.uint64), twice) for d, twice in lists]
-        keys, counts = np.unique(np.concatenate([k for k, _ in lists]), return_counts=True)
-        often = keys[counts > 1]
-        out, held = [], []
-        for owner, (own, twice) in zip(owners, lists):
-            at = np.searchsorted(often, own)
-            keep = twice | (often[np.minimum(at, len(often) - 1)] == own if len(often) else False)
-            if keep.any():
-                out.append(owner)
-                held.append(squeeze(own[keep]))
-        return _rows(shard=out, data=held)
+        rows = sorted(zip(table.column("shard").to_pylist(), table.column("data").to_pylist()))
+        lists = [unsqueeze(data, np.uint64, np.uint64) for _, data in rows]
+        sizes = [len(k) for k, _ in lists]
+        key = np.concatenate([np.cumsum(k, dtype=np.uint64) for k, _ in lists])
+        owner = np.repeat(np.array([s for s, _ in rows]), sizes)
+        later, other = judged(owner, key, np.concatenate([b for _, b in lists]))
+        bucket, flags, ends = table.column("bucket")[0].as_py(), (later + 2 * other).astype(np.uint8), np.cumsum(sizes)
+        held = [(s, np.flatnonzero(flags[e - n : e]), flags[e - n : e]) for (s, _), n, e in zip(rows, sizes, ends)]
+        held = [(s, squeeze(at.astype(np.uint32), f[at])) for s, at, f in held if len(at)]
+        return _rows(bucket=[bucket] * len(held), shard=[s for s, _ in held], data=[d for _, d in held])
 
     def local(left, right):
         if not left.num_rows:
             return _rows(bucket=[], shard=[], kind=[], data=[])
         shard, own = Shard(left), left.column("shard")[0].as_py()
-        at, keys = shard.anchors()
-        often = np.sort(np.concatenate([unsqueeze(x, np.uint64)[0] for x in right.column("data").to_pylist()] or [np.zeros(0, np.uint64)]))
-        found = np.minimum(np.searchsorted(often, keys), max(0, len(often) - 1))
-        candidate = shard.candidates(at, often[found] == keys if len(often) else np.zeros(len(keys), bool))
-        shard.keys = shard.small = shard.least = None
-        again, first = repeats_within(shard.text, candidate)
-        key, check = rolling(shard.text, (LENGTH,))[0][first] if len(first) else np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-        if len(first):
-            check = (rolling(shard.text, (LENGTH,), 1)[0][first] >> np.uint64(32)).astype(np.uint32)
+        first, last, key, block = shard.blocks()
+        pair_key, _, pair = pairs_of(key, block)
+        flags, start = np.zeros(len(pair_key), np.uint8), {b: a for b, a, _ in bucketed(pair_key, bits)}
+        for bucket, data in zip(right.column("bucket").to_pylist(), right.column("data").to_pylist()):
+            at, f = unsqueeze(data, np.uint32, np.uint8)
+            flags[start[bucket] + at.astype(np.int64)] = f
+        later, other = (flags & 1 > 0)[pair], (flags & 2 > 0)[pair]
+        _, inverse, often = np.unique(key, return_inverse=True, return_counts=True)
+        twice = (often > 1)[inverse]
+        again = repeats_within(shard.text, spread(first[twice], last[twice]))
+        decided = np.union1d(again, spread(first[later], last[later]))
+        ask = other & ~later
+        ask = np.setdiff1d(spread(first[ask], last[ask]), again, assume_unique=True)
+        key, check = window_hashes(shard.text, ask)
         order = np.argsort(key)
-        key, check, first = key[order], check[order], first[order].astype(np.uint32)
+        key, check, ask = key[order], check[order], ask[order].astype(np.uint32)
         parts = bucketed(key, bits)
-        blobs = [squeeze(key[a:b], check[a:b], first[a:b]) for _, a, b in parts]
-        decided = squeeze(np.diff(again, prepend=0).astype(np.uint32))
+        blobs = [squeeze(key[a:b], check[a:b], ask[a:b]) for _, a, b in parts]
+        decided = squeeze(np.diff(decided, prepend=0).astype(np.uint32))
         return _rows(bucket=[*[b for b, _, _ in parts], own % (1 << bits)], shard=[own] * (len(parts) + 1), kind=[0] * len(parts) + [1], data=[*blobs, decided])
 
     def across(table):
@@ -333,8 +402,9 @@ def without_repeats(docs: DataFrame, id_col="doc_id", text_col="text", shard_byt
         return pa.table({name: pa.array(v, kind) for (name, kind), v in zip(kinds.items(), values)})
 
     by_shard = base.groupBy("shard")
-    known = by_shard.applyInArrow(anchors, "bucket int, shard int, data binary").groupBy("bucket").applyInArrow(repeated, "shard int, data binary")
+    known = by_shard.applyInArrow(anchors, "bucket int, shard int, data binary").groupBy("bucket").applyInArrow(repeated, "bucket int, shard int, data binary")
     windows = by_shard.cogroup(known.groupBy("shard")).applyInArrow(local, "bucket int, shard int, kind int, data binary")
     places = windows.groupBy("bucket").applyInArrow(across, "shard int, data binary")
-    return by_shard.cogroup(places.groupBy("shard")).applyInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
-
+    found = by_shard.cogroup(places.groupBy("shard")).applyInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    gone = copies.select("id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit("").cast("binary").alias("kept"))
+    return found.unionByName(gone)
