@@ -12,7 +12,7 @@ and share one `kept`; `drop_duplicates` leaves one of them.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varscore.llm.common import col, fresh, narrow, written
+from varscore.llm.common import col, fresh, narrow, small_or_shuffled, written
 
 #: Characters of the normalised text that the second refinement hashes.
 PREFIX = 64
@@ -43,7 +43,8 @@ def duplicate_classes(docs: DataFrame, id_col="doc_id", text_col="text") -> Data
     shared = by_length.groupBy("len", "prefix").agg(F.count("*").alias("n")).where("n > 1").select("len", "prefix")
     by_prefix = by_length.join(written(shared, "shared_prefixes"), ["len", "prefix"])
     survivors = written(by_prefix.select("id").distinct(), "survivors")
-    full = rows.join(survivors, rows["id"].eqNullSafe(survivors["id"]), "left_semi")
+    near = small_or_shuffled(survivors.select(F.col("id").alias("near_id")))
+    full = rows.join(near, F.col("id").eqNullSafe(F.col("near_id")), "left_semi")
     full = written(full.select("id", F.coalesce(F.length("text"), F.lit(0)).alias("chars"), F.sha2(text.cast("binary"), 256).alias("full_hash")), "full")
     best = F.min(F.struct((-F.col("chars")).alias("c"), F.col("id").isNull().alias("no_id"), "id")).alias("best")
     groups = full.groupBy("full_hash").agg(F.count("*").alias("group_size"), best).where("group_size > 1")
@@ -67,8 +68,9 @@ def drop_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
     sha, key = fresh(docs, "sha"), fresh(docs, "key")
     marked = docs.withColumn(sha, text_sha256(col(text_col).cast("string"))).withColumn(key, col(id_col))
     dropped = found.where("not kept").select(F.col("id").alias("d_id"), F.col("full_hash").alias("d_hash"))
-    left = marked.join(dropped, F.col(key).eqNullSafe(F.col("d_id")) & (F.col(sha) == F.col("d_hash")), "left_anti")
+    left = marked.join(small_or_shuffled(dropped), F.col(key).eqNullSafe(F.col("d_id")) & (F.col(sha) == F.col("d_hash")), "left_anti")
     repeated = written(found.where("kept and n > 1").select(F.col("id").alias("d_id"), F.col("full_hash").alias("d_hash")), "repeated")
     match = F.col(key).eqNullSafe(F.col("d_id")) & (F.col(sha) == F.col("d_hash"))
+    repeated = small_or_shuffled(repeated)
     once = left.join(repeated, match, "left_semi").dropDuplicates([key, sha])
     return left.join(repeated, match, "left_anti").unionByName(once).select(*[col(c) for c in docs.columns])

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varscore.llm.common import col, components, fresh, narrow, shuffle_partitions, texts_of, written
+from varscore.llm.common import col, components, fresh, narrow, shuffle_partitions, small_or_shuffled, texts_of, written
 
 #: Fingerprints per tile.
 TILE = 4096
@@ -332,7 +332,7 @@ def similar_classes(docs: DataFrame, id_col="doc_id", text_col="text", words=5,
             out = [np.unique(shingle_hashes(data, words)).astype("<u8").tobytes() for data in texts_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["fp", "shingles"])
 
-    picked = narrow(docs, id_col, text_col).join(wanted, "id").select("fp", "text")
+    picked = narrow(docs, id_col, text_col).join(small_or_shuffled(wanted), "id").select("fp", "text")
     shingles = written(picked.mapInArrow(sets, "fp string, shingles binary").groupBy("fp").agg(F.max("shingles").alias("shingles")), "sets")
 
     def verify(table):
@@ -359,4 +359,4 @@ def drop_near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", **op
     """
     found = similar_classes(docs, id_col, text_col, **options)
     dropped = written(found.where("id <> component_id").select(F.col("id").alias(fresh(docs, "dropped_id"))).distinct(), "dropped")
-    return docs.join(dropped, col(id_col) == F.col(dropped.columns[0]), "left_anti")
+    return docs.join(small_or_shuffled(dropped), col(id_col) == F.col(dropped.columns[0]), "left_anti")
