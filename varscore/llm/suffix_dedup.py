@@ -30,7 +30,7 @@ from varscore.llm.common import narrow, pieces_by_bytes, small_or_shuffled, writ
 from varscore.llm.order_minhash import id_ranges
 
 #: Length of a repeated string, bytes of an anchor, and bytes of text a shard is aimed at.
-LENGTH, KGRAM, SHARD_BYTES = 100, 32, 4 << 20
+LENGTH, KGRAM, SHARD_BYTES = 100, 32, 1 << 20
 #: Bytes of text hashed at a time.
 PIECE_BYTES = 65_536
 _TABLE = np.random.default_rng(4).integers(0, 1 << 64, (2, 256), np.uint64)
@@ -313,7 +313,7 @@ def without_repeats(docs: DataFrame, id_col="doc_id", text_col="text", shard_byt
     copies = written(copies.select("id", "n_bytes", "sha"), "copies")
     total = sized.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     shards = max(1, -(-total // shard_bytes))
-    bits = max(0, (shards // 2).bit_length() - 1)
+    bits = (shards - 1).bit_length()
     known = small_or_shuffled(copies.select(F.col("id").alias("c_id"), F.col("sha").alias("c_sha")))
     rows = rows.join(known, F.col("id").eqNullSafe(F.col("c_id")) & (F.sha2("text", 256) == F.col("c_sha")), "left_anti")
     base = rows.withColumn("shard", id_ranges(sized, shards).cast("int")).repartition(max(1, -(-shards // 2)), "shard")
