@@ -99,19 +99,21 @@ class WordCache:
     def __init__(self, compute, limit=CACHE_WORDS):
         self.compute, self.limit, self.young, self.old = compute, limit, {}, {}
 
-    def table(self, words) -> dict:
-        """A dict that holds at least the given words."""
-        new = set(words).difference(self.young)
-        if new:
-            if len(self.young) + len(new) > self.limit and self.young:
-                self.old, self.young = self.young, {}
-                new = set(words)
-            fetched = {w: self.old[w] for w in new if w in self.old}
-            missing = [w for w in new if w not in fetched]
-            if missing:
-                fetched.update(zip(missing, self.compute(missing)))
-            self.young.update(fetched)
-        return self.young
+    def values(self, words: list) -> list:
+        """The values of the words, one lookup for each that is known."""
+        found = list(map(self.young.get, words))
+        if None not in found:
+            return found
+        new = list(dict.fromkeys(w for w, v in zip(words, found) if v is None))
+        if len(self.young) + len(new) > self.limit and self.young:
+            self.old, self.young = self.young, {}
+            new = list(dict.fromkeys(words))
+        fetched = dict(zip(new, map(self.old.get, new)))
+        missing = [w for w, v in fetched.items() if v is None]
+        if missing:
+            fetched.update(zip(missing, self.compute(missing)))
+        self.young.update(fetched)
+        return list(map(self.young.__getitem__, words))
 
 
 def pieces_by_bytes(sizes, limit):

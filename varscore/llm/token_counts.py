@@ -43,7 +43,7 @@ class Counter:
             long = [p for p in parts if len(p) > LONG]
             total = sum(self.lengths([q for p in long for q in _WITHIN.split(p)]))
             parts = [p for p in parts if len(p) <= LONG]
-        return total + sum(map(self.cache.table(parts).__getitem__, parts))
+        return total + sum(self.cache.values(parts))
 
 
 def token_count(text: Column, path: str) -> Column:

@@ -16,18 +16,21 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varscore.llm.common import WordCache, narrow, shuffle_partitions, texts_of
+from varscore.llm.common import WordCache, narrow, pieces_by_bytes, shuffle_partitions, texts_of
 from varscore.runtime import scratch_path
 
 #: Ids of a block, ids at which a chunk is closed, and the id that ends a document.
 BLOCK, CHUNK_IDS, END = 8192, 1 << 18, 2
 #: Words that each of the two generations of a worker's cache holds, about 200 bytes each.
 CACHE = 600_000
+#: Bytes of text whose words are looked up together; words longer than LONG are not kept.
+BATCH_BYTES, LONG = 4 << 20, 256
 SCHEMA = "file int, chunk int, first long, n_ids long, doc_ids array<long>, doc_lengths array<long>, index binary, planes binary"
 _RUNS = [c + b" " for c in (b" ", b"\t", b"\n", b"\r", b"\x0b", b"\x0c")]
 _BEYOND = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80", b"\x1c", b"\x1d", b"\x1e", b"\x1f"]
@@ -93,7 +96,8 @@ class Encoder:
         plain = [k for k in keys if k and k[0] > 32]
         for at in range(0, len(plain), 512):
             part = plain[at : at + 512]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(k.decode() for k in part), add_special_tokens=False).ids, "<u4")
+            (found,) = self.tokenizer.encode_batch_fast([(b" " + b" ".join(part)).decode()], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
             cuts = np.flatnonzero(self.led[ids])
             if len(cuts) == len(part) and cuts[0] == 0:
                 packed, ends = ids.tobytes(), [*(4 * cuts[1:]).tolist(), 4 * len(ids)]
@@ -111,13 +115,51 @@ class Encoder:
             return b"".join(self.ids(_PIECES.findall(data.decode())))
         words = data.split(b" ")
         words[0] = b" " + words[0]
-        long = max(map(len, words)) > 256
+        long = max(map(len, words)) > LONG
         if words[0] == b" ":  # the text begins with a space
             words = words[1:]
         if long:
             return b"".join(self.ids([w[1:].decode() if w[:1] == b" " else " " + w.decode() for w in words]))
-        table = self.cache.table(words)
-        return b"".join([table[w] for w in words])
+        return b"".join(self.cache.values(words))
+
+
+    def splits(self, data: bytes) -> bool:
+        """Whether every space of the text is a safe boundary."""
+        if any(x in data for x in _BEYOND) and _ODD_SPACE.search(data.decode()):
+            return False
+        return bool(data) and not (any(x in data for x in _RUNS) and _UNSAFE.search(data.decode()))
+
+    def encode_all(self, texts: list) -> list:
+        """The ids of many texts: the words of about BATCH_BYTES are told apart by Arrow, each different one is looked up
+        once, and the ids of the texts are gathered from them."""
+        out = [b""] * len(texts)
+        plain = [i for i, t in enumerate(texts) if self.splits(t)]
+        for i in set(range(len(texts))).difference(plain):
+            out[i] = self.encode(texts[i])
+        for a, b in pieces_by_bytes([len(texts[i]) for i in plain], BATCH_BYTES):
+            docs = plain[a:b]
+            words = pc.split_pattern(pa.array([texts[i] for i in docs], pa.large_binary()), pattern=b" ")
+            bounds = words.offsets.to_numpy()
+            coded = words.flatten().dictionary_encode()
+            codes, different = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+            long = np.fromiter(map(len, different), np.int64, len(different)) > LONG
+            values = self.cache.values([w if not x else b"" for w, x in zip(different, long.tolist())])
+            sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+            ids, starts = np.frombuffer(b"".join(values), "<u4"), np.cumsum(sizes) - sizes
+            n = sizes[codes]
+            n[bounds[:-1]] = 0  # first words have no space in front
+            first = self.cache.values([b" " + w if w and len(w) <= LONG else b"" for w in map(different.__getitem__, codes[bounds[:-1]].tolist())])
+            ends = np.cumsum(n)
+            places = np.repeat(starts[codes] - (ends - n), n) + np.arange(ends[-1])
+            gathered, stops = ids[places], np.append(0, ends)[bounds].tolist()
+            heavy = np.logical_or.reduceat(long[codes], bounds[:-1]).tolist()
+            for k, i in enumerate(docs):
+                if heavy[k]:
+                    out[i] = self.encode(texts[i])
+                else:
+                    lead = first[k] if texts[i][:1] != b" " else b""
+                    out[i] = lead + gathered[stops[k] : stops[k + 1]].tobytes()
+        return out
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col="doc_id", text_col="text", kind="byte", end=END) -> None:
@@ -145,8 +187,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col="doc_id", te
 
         last = struct.pack("<I", end)
         for batch in batches:
-            for key, data in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
-                held.append(encoder.encode(data) + last)
+            for key, own in zip(batch.column(0).to_pylist(), encoder.encode_all(texts_of(batch.column(1)))):
+                held.append(own + last)
                 ids.append(key)
                 lengths.append(len(held[-1]) // 4)
                 size += lengths[-1]
