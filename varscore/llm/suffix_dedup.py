@@ -313,7 +313,7 @@ def without_repeats(docs: DataFrame, id_col="doc_id", text_col="text", shard_byt
     copies = written(copies.select("id", "n_bytes", "sha"), "copies")
     total = sized.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     shards = max(1, -(-total // shard_bytes))
-    bits = (shards - 1).bit_length()
+    bits = (shards // 8).bit_length()
     known = small_or_shuffled(copies.select(F.col("id").alias("c_id"), F.col("sha").alias("c_sha")))
     rows = rows.join(known, F.col("id").eqNullSafe(F.col("c_id")) & (F.sha2("text", 256) == F.col("c_sha")), "left_anti")
     base = rows.withColumn("shard", id_ranges(sized, shards).cast("int")).repartition(max(1, -(-shards // 2)), "shard")
