@@ -143,7 +143,7 @@ def suffix_array(t: np.ndarray, words: np.ndarray) -> np.ndarray:
     tied = np.flatnonzero(~head | ~np.append(head[1:], True))
     while len(tied):
         p = sa[tied]
-        after = np.where(p + depth < n, rank[np.minimum(p + depth, n - 1)], 0)
+        after = np.where(p + depth < n, rank[np.minimum(p + depth, n - 1)] + n, n - p)  # a suffix that ends comes first
         key = (rank[p].astype(np.uint64) << np.uint64(32)) | after.astype(np.uint64)
         order = np.argsort(key)
         p, key = p[order], key[order]
