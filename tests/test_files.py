@@ -21,6 +21,7 @@ BODY = [
     "3\t9\trs1\tG\t.\t.\tPASS\t.\tGT\t0/1",
 ]
 SCORES = [("chr1", 100, "A", "T", -12.5), ("chr1", 100, "A", "G", -3.25), ("chrX", 7, "C", "T", -9.0)]
+from varscore.sources import scores as scores_in
 
 
 @pytest.fixture
@@ -57,6 +58,18 @@ def test_read_and_filter(spark, vcf_path):
     assert sorted(r.CLNSIG for r in loose.collect()) == ["Likely_benign", "Pathogenic"]
 
 
+def test_default_exclude(spark, vcf_path):
+    body = vcf_in.read_vcf(spark, vcf_path)[1]
+    wanted = {"include": ("Uncertain_significance", "Benign"), "min_stars": None, "snv_only": False}
+    assert {r.CLNSIG for r in clinvar.filter_clinvar(body, **wanted).collect()} <= {"Benign"}
+
+
+def test_tsv_with_missing_values(spark, tmp_path):
+    (tmp_path / "s.tsv").write_text("CHROM\tPOS\tREF\tALT\tscore\n1\t5\tA\tC\tNA\n1\t6\tA\tC\t-1.5\n")
+    found = scores_in.read_scores(spark, str(tmp_path / "s.tsv"))
+    assert sorted((r.POS, r.score) for r in found.collect()) == [(5, None), (6, -1.5)]
+
+
 def test_labels(spark, vcf_path):
     body = clinvar.with_annotations(vcf_in.read_vcf(spark, vcf_path)[1])
     assert sorted((r.CLNSIG, r.y) for r in clinvar.with_label(body).collect()) == [

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varscore.constants import BENIGN_LABELS, PATHOGENIC_LABELS, SNV_CLASS
+from varscore.constants import BENIGN_LABELS, IGNORED_LABELS, PATHOGENIC_LABELS, SNV_CLASS
 from varscore.functions.info import gene_symbol, info_value, review_stars
 from varscore.functions.once import evaluate_once
 
@@ -32,7 +32,12 @@ def clinvar_records(body: DataFrame) -> DataFrame:
 
 
 def keep_condition(min_stars=1, include=None, exclude=None, snv_only=True):
-    """The filter as one condition over the columns of `with_annotations`; null parameters take no part."""
+    """The filter as one condition over the columns of `with_annotations`.
+
+    Without `include` the four labels are wanted, without `exclude` the ignored labels are left out, also where
+    `include` names them; an empty `exclude` leaves nothing out.
+    """
+    exclude = IGNORED_LABELS if exclude is None else tuple(exclude)
     include = LABELS if include is None else tuple(include)
     condition = F.col("CLNSIG").isin(*include)
     if min_stars is not None:

@@ -13,11 +13,14 @@ from varscore.runtime import checkpointed
 
 def curve_points(df: DataFrame, x: str = "x", y: str = "y", ranges: int | None = None) -> DataFrame:
     """One row per distinct `x`: its positives and negatives, totals including it (`tp`, `fp`), the grand
-    totals (`P`, `N`), whether it is the first or last point, and the counts of the next lower point."""
+    totals (`P`, `N`), whether it is the first or last point, and the counts of the next lower point.
+
+    Rows whose label is not 0 or 1, or whose `x` is null or not a number, are left out.
+    """
     spark = df.sparkSession
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     counted = (
-        df.where(F.col(x).isNotNull())
+        df.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double")) & F.col(y).isin(0, 1))
         .groupBy(F.col(x).alias("x"))
         .agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
     )

@@ -33,6 +33,19 @@ def distinct_keys(variants: DataFrame) -> DataFrame:
     return variants.select(*KEY).distinct()
 
 
+_OWN_CHROM = "__own_chrom"
+
+
+def _keyed(df: DataFrame, normalize_chrom: bool) -> DataFrame:
+    """The rows with CHROM as it is matched, and the caller's own name beside it."""
+    return _normalised(df.withColumn(_OWN_CHROM, F.col("CHROM")), normalize_chrom)
+
+
+def _restored(df: DataFrame, columns) -> DataFrame:
+    """The caller's own CHROM again, in the given order of columns."""
+    return df.withColumn("CHROM", F.col(_OWN_CHROM)).select(*columns)
+
+
 def _normalised(df: DataFrame, normalize_chrom: bool) -> DataFrame:
     return df.withColumn("CHROM", strip_chr(F.col("CHROM"))) if normalize_chrom else df
 
@@ -63,10 +76,14 @@ def lookup_scores(
     order_col=None,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Scores of the given variants: `(CHROM, POS, REF, ALT, score)`, each key once."""
-    keys = checkpointed(key_counts(_normalised(variants.select(*KEY), normalize_chrom), KEY))
+    """Scores of the given variants: `(CHROM, POS, REF, ALT, score)`, each key once, under the caller's CHROM."""
+    own = checkpointed(_keyed(variants.select(*KEY), normalize_chrom).distinct())
+    keys = checkpointed(key_counts(own.select(*KEY), KEY))
     small = measured_bytes(keys) <= broadcast_bytes
-    return _matched(_normalised(scores, normalize_chrom), keys, order_col, small)
+    matched = _matched(_normalised(scores, normalize_chrom), keys, order_col, small)
+    if not normalize_chrom:
+        return matched
+    return _restored(matched.join(own, KEY), [*KEY, "score"])
 
 
 def score_variants(
@@ -78,12 +95,12 @@ def score_variants(
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Attach scores to every variant row; duplicate rows on the left are all kept."""
-    rows = _normalised(variants, normalize_chrom)
+    rows = _keyed(variants, normalize_chrom)
     keys = checkpointed(key_counts(rows.select(*KEY), KEY))
     small = measured_bytes(keys) <= broadcast_bytes
     matched = _matched(_normalised(scores, normalize_chrom), keys, order_col, small)
     # At most one matched row per key, so a key table that was small enough stays small enough.
-    return join_unique(rows, matched, KEY, keys, how, small)
+    return _restored(join_unique(rows, matched, KEY, keys, how, small), [*variants.columns, "score"])
 
 
 def split_alts(variants: DataFrame) -> DataFrame:
@@ -104,7 +121,7 @@ def annotate(
     The score depends on the key text alone, so distinct keys are resolved first and then joined back to all
     rows: no row numbers are needed, and copies of a row never meet in one group.
     """
-    rows = _normalised(variants, normalize_chrom)
+    rows = _keyed(variants, normalize_chrom)
     keys = checkpointed(key_counts(rows.select(*KEY), KEY))
     small = measured_bytes(keys) <= broadcast_bytes
     alleles = keys.select(
@@ -118,7 +135,7 @@ def annotate(
         .agg(F.max_by("score", rank).alias("score"))
         .withColumnRenamed("alts", "ALT")
     )
-    return join_unique(rows, best, KEY, keys, "left", small)
+    return _restored(join_unique(rows, best, KEY, keys, "left", small), [*variants.columns, "score"])
 
 
 def annotated_info(info_id: str = SCORE_INFO_ID):

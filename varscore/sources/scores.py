@@ -31,10 +31,10 @@ def resolve_score(df: DataFrame, aliases=SCORE_ALIASES) -> DataFrame:
 
 def typed_keys(df: DataFrame) -> DataFrame:
     """CHROM, REF, ALT as text, POS as long, score as double; columns already typed stay untouched,
-    so that filters on them still reach the Parquet reader."""
+    so that filters on them still reach the Parquet reader. Text that is no number (`NA`, empty) becomes null."""
     kinds = {f.name: f.dataType.simpleString() for f in schemas.SCORES.fields}
     found = dict(df.dtypes)
-    casts = {c: F.col(c).cast(k) for c, k in kinds.items() if c in found and found[c] != k}
+    casts = {c: F.col(c).try_cast(k) for c, k in kinds.items() if c in found and found[c] != k}
     return df.withColumns(casts) if casts else df
 
 
@@ -43,7 +43,7 @@ def is_parquet(path: str) -> bool:
 
 
 def read_scores(spark: SparkSession, path: str, aliases=SCORE_ALIASES) -> DataFrame:
-    """Read a score table; the suffix decides between Parquet and tab-separated text.
+    """Read a score table; the suffix decides between Parquet, comma-separated (`.csv`) and tab-separated text.
 
     A gzip-named Parquet file is an ordinary Parquet file with gzip pages. A Parquet file that was gzipped
     as a whole has no readable footer: Spark reports it, and the caller has to gunzip it first.
@@ -51,13 +51,15 @@ def read_scores(spark: SparkSession, path: str, aliases=SCORE_ALIASES) -> DataFr
     if is_parquet(path):
         raw = spark.read.parquet(path)
     else:
-        raw = spark.read.csv(path, sep="\t", header=True, nullValue="")
+        separator = "," if path.rstrip("/").endswith((".csv", ".csv.gz")) else "\t"
+        raw = spark.read.csv(path, sep=separator, header=True, nullValue="")
     return require_columns(typed_keys(resolve_score(raw, aliases)), KEY_COLUMNS)
 
 
 def read_split(spark: SparkSession, path: str) -> DataFrame:
-    """Read a train or test table written by `write_split`."""
-    return spark.read.schema(schemas.SPLIT).csv(path, header=True)
+    """Read a train or test table written by `write_split`; columns are bound by the names in its header."""
+    raw = require_columns(spark.read.csv(path, header=True), schemas.SPLIT.fieldNames())
+    return raw.select(*[F.col(f.name).try_cast(f.dataType.simpleString()).alias(f.name) for f in schemas.SPLIT.fields])
 
 
 def read_mutations(spark: SparkSession, path: str) -> DataFrame:
