@@ -50,38 +50,44 @@ def test_calibrators(spark, seed, shift):
     i = np.argmax(tpr - fpr)
     assert tuple(calibrate.calibrate_by_youden(df).first()) == ("youden", t[i], tpr[i], spec[i])
 
-    median = np.median(x)
-    high, low = np.where(t >= median)[0], np.where(t <= median)[0]
-    candidates = high[spec[high] >= 0.98]
-    p = candidates[np.argmax(tpr[candidates])]
-    b = low[np.argmin(np.abs(spec[low] - 0.95))]
-    adjusted = -t[p] >= -t[b]
-    limits = (-np.percentile(x, 85), -np.percentile(x, 15)) if adjusted else (-t[p], -t[b])
+
+
+@pytest.mark.parametrize("seed,shift", [(5, 0.8), (6, 0.0), (7, 3.0), (8, -1.5)])
+def test_three_class_calibrator(spark, seed, shift):
+    """Each side's threshold by its definition: count the calls of every candidate and take the best."""
+    x, y, df = labelled(spark, seed, shift=shift)
+
+    def cell(t):
+        called = [v >= t for v in x]
+        hits = sum(c for c, label in zip(called, y) if label == 1) / sum(y == 1)
+        return {"t": t, "sensitivity": hits, "specificity": 1 - sum(c for c, label in zip(called, y) if label == 0) / sum(y == 0)}
+
+    cells = [cell(t) for t in roc(x, y)[0]]
+    middle = np.median(x)
+    strict = [c for c in cells if c["t"] >= middle and c["specificity"] >= 0.98]
+    p = max(strict, key=lambda c: (c["sensitivity"], c["t"]))
+    b = min((c for c in cells if c["t"] <= middle), key=lambda c: (abs(c["specificity"] - 0.95), -c["t"]))
+    crossed = p["t"] <= b["t"]
+    limits = np.percentile(x, [85, 15]) if crossed else np.array([p["t"], b["t"]])
     got = calibrate.calibrate_three_class(df).first()
-    assert (got.p_actual_specificity, got.p_sensitivity) == (spec[p], tpr[p])
-    assert (got.b_actual_specificity, got.b_sensitivity) == (spec[b], tpr[b])
-    assert np.allclose((got.p_threshold, got.b_threshold), limits) and got.adjusted == adjusted
+    assert np.allclose((got.p_actual_specificity, got.p_sensitivity), (p["specificity"], p["sensitivity"]))
+    assert np.allclose((got.b_actual_specificity, got.b_sensitivity), (b["specificity"], b["sensitivity"]))
+    assert np.allclose((got.p_threshold, got.b_threshold), -limits) and got.adjusted == crossed
 
 
 @pytest.mark.parametrize("seed,shift,ppv_t,npv_t", [(5, 0.8, 0.9, 0.9), (6, 0.0, 0.9, 0.9), (7, 3.0, 0.95, 0.95), (9, 0.5, 1.1, 1.1)])
 def test_precision_calibrator(spark, seed, shift, ppv_t, npv_t):
     x, y, df = labelled(spark, seed, shift=shift)
-    down = np.unique(x)[::-1]
-    ppv = np.array([(y[x >= t] == 1).mean() for t in down])
-    npv = np.array([(y[x <= t] == 0).mean() for t in down[::-1]])
-
-    def choose(values, target):
-        ok = np.where(values >= target)[0]
-        return ok[-1] if len(ok) else np.argmax(values)
-
-    i, j = choose(ppv, ppv_t), choose(npv, npv_t)
-    p, b = -down[i], -down[::-1][j]
-    adjusted = p >= b
-    if adjusted:
-        p, b = -np.percentile(x, 80), -np.percentile(x, 20)
+    above = {t: np.mean(y[x >= t] == 1) for t in set(x)}
+    below = {t: np.mean(y[x <= t] == 0) for t in set(x)}
+    # The widest class that meets its target; where none does, the purest, and of equally pure ones the narrowest.
+    p = min((t for t in above if above[t] >= ppv_t), default=max(above, key=lambda t: (above[t], t)))
+    b = max((t for t in below if below[t] >= npv_t), default=max(below, key=lambda t: (below[t], -t)))
+    crossed = p <= b
+    limits = np.percentile(x, [80, 20]) if crossed else np.array([p, b])
     got = calibrate.calibrate_by_precision(df, ppv_t, npv_t).first()
-    assert np.allclose((got.actual_ppv, got.actual_npv, got.p_threshold, got.b_threshold), (ppv[i], npv[j], p, b))
-    assert got.adjusted == adjusted
+    assert np.allclose((got.actual_ppv, got.actual_npv), (above[p], below[b]))
+    assert np.allclose((got.p_threshold, got.b_threshold), -limits) and got.adjusted == crossed
 
 
 def test_evaluators(spark):
@@ -137,6 +143,14 @@ def test_split_divides_a_large_group_of_copies(spark):
     assert rows(stratified_split(df.repartition(3), 0.8)) == rows(split)
 
 
+def test_split_keeps_rows_whose_joined_texts_agree(spark):
+    data = [("a|b", "c", 0), ("a", "b|c", 0), ("1:a", None, 0), (None, "1:a", 0), ("\\N", "", 0), (None, "", 0)] * 3
+    df = spark.createDataFrame(data, "a string, b string, y int")
+    split = stratified_split(df, 0.5)
+    assert rows(split.select("a", "b", "y")) == rows(df)
+    assert split.where("split = 'train'").count() == 9
+
+
 def test_zero_score_gives_no_negative_zero(spark):
     df = clinvar.with_x(spark.createDataFrame([(0.0,)], "score double"))
     assert str(df.first().x) == "0.0"

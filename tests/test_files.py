@@ -111,6 +111,21 @@ def test_write_vcf_header_first_and_batches(spark, tmp_path):
     assert "chrX\t7\t.\tC\tT\t.\t.\tSCORE=-9.0000" in text
 
 
+def test_line_order_is_kept(spark, tmp_path):
+    columns = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO"
+    body = [f"1\t{i}\t.\tA\tC\t.\t.\tK={i}" for i in range(40)]
+    for name, part in (("a", body[:25]), ("b", body[25:])):
+        text = "\n".join(["##fileformat=VCFv4.2", f"##from={name}", columns, *part]) + "\n"
+        (tmp_path / f"{name}.vcf.gz").write_bytes(gzip.compress(text.encode()))
+    header, lines = vcf_in.read_vcf(spark, str(tmp_path / "a.vcf.gz"))
+    out.write_vcf_lines(header, lines.where("POS % 3 <> 0"), str(tmp_path / "one"))
+    text = [s for p in sorted((tmp_path / "one").glob("part-*")) for s in gzip.decompress(p.read_bytes()).decode().splitlines()]
+    assert text == ["##fileformat=VCFv4.2", "##from=a", columns, *[s for i, s in enumerate(body[:25]) if i % 3]]
+    out.write_vcf_lines(*vcf_in.read_vcf(spark, str(tmp_path / "*.vcf.gz")), str(tmp_path / "all"))
+    text = [s for p in sorted((tmp_path / "all").glob("part-*")) for s in gzip.decompress(p.read_bytes()).decode().splitlines()]
+    assert text[3] == columns and sorted(text[1:3]) == ["##from=a", "##from=b"] and sorted(text[4:]) == sorted(body)
+
+
 def test_score_sources(spark, tmp_path):
     tsv = tmp_path / "s.tsv"
     tsv.write_text("CHROM\tPOS\tREF\tALT\tscore\n" + "".join("\t".join(map(str, r)) + "\n" for r in SCORES))

@@ -199,6 +199,15 @@ def test_matrices(spark):
     assert [r.llr for r in matrix.attach_llr(snvs, named).collect()] == [ratios[2]]
 
 
+def test_codons_without_a_matrix_row_are_rejects(spark):
+    codons = spark.createDataFrame(
+        [("a", 0, "ATG"), ("a", 1, "TAA"), ("b", 0, "ATG"), ("b", 1, "AAA"), ("c", 0, "ATG")],
+        "transcript_id string, codon_idx int, codon string",
+    )
+    matrix_rows = spark.createDataFrame([("a", 0), ("b", 1)], "transcript_id string, codon_idx int")
+    assert rows(scoring.matrix_rejects(codons, matrix_rows)) == [("b", "partial_matrix"), ("c", "no_matrix")]
+
+
 def test_scorer_runs_in_tasks(spark):
     proteins = spark.createDataFrame([("a", "MKV"), ("b", ""), ("c", "W")], "protein_id string, sequence string")
     scored = model.score_sequences(proteins, toy_scorer, batch_size=2)

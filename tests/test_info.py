@@ -49,7 +49,7 @@ def test_gene_and_chrom(spark):
 
 def test_score_text_prints_like_python(spark):
     rng = random.Random(3)
-    values = [0.0, -0.0, 0.00015, -0.08915, 0.03125, 0.09375, -1e-9, 12.34995, 1e12, -11.6, 0.00005, 99999.99995]
+    values = [0.0, -0.0, 0.00015, -0.08915, 0.03125, 0.09375, -1e-9, 12.34995, 1e12, -11.6, 1000000000.03125, 1073741824.03125, -8589934592.99998, 2.0**53 + 2, 2.0**60, 0.00005, 99999.99995]
     values += [round(rng.uniform(-20, 20), 5) for _ in range(3000)] + [rng.uniform(-1e6, 1e6) for _ in range(1000)]
     df = spark.createDataFrame([(v,) for v in values], "v double")
     for r in df.select("v", score_text(F.col("v")).alias("t")).collect():

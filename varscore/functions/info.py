@@ -63,11 +63,14 @@ def score_text(score: Column) -> Column:
 
     The built-in formatter rounds the shortest decimal form half up, which differs for values such as 0.00015.
     Here the score is held against the nearest midpoint between two results; when it equals the midpoint as a
-    double, the sign of the exact difference decides, found by splitting the double into two short halves.
+    double, the sign of the exact difference decides, found by splitting the double into two short halves. The
+    whole number is taken off first, which is exact, so the rule is the same for every size that a long holds.
     """
     size = F.abs(score)
+    whole = F.floor(size)
+    rest = size - whole.cast("double")
     parts = F.struct(
-        size.alias("size"), F.floor(size * 10000).alias("below"), (size * 134217729.0).alias("scaled")
+        rest.alias("size"), F.floor(rest * 10000).alias("below"), (rest * 134217729.0).alias("scaled")
     )
 
     def rounded(p):
@@ -79,13 +82,13 @@ def score_text(score: Column) -> Column:
 
     def text(units):
         fraction = F.lpad((units % 10000).cast("string"), 4, "0")
-        return F.concat(F.floor(units / 10000).cast("string"), F.lit("."), fraction)
+        return F.concat((whole + F.floor(units / 10000)).cast("string"), F.lit("."), fraction)
 
     negative = F.when(score == 0, F.startswith(score.cast("string"), F.lit("-"))).otherwise(score < 0)
     sign = F.when(negative, "-").otherwise("")
-    # Beyond this size (and for NaN) doubles have no more than four decimals to round.
+    # Beyond a long (and for NaN) there are no decimals to round.
     printed = F.concat(sign, let(let(parts, rounded), text))
-    return F.when(size < 1e9, printed).otherwise(F.format_string(SCORE_FORMAT, score))
+    return F.when(size < 9.2e18, printed).otherwise(F.format_string(SCORE_FORMAT, score))
 
 
 def score_info(score: Column, info_id: str = SCORE_INFO_ID) -> Column:

@@ -32,15 +32,26 @@ def train_counts(class_counts: DataFrame, label: str, test_size: float) -> DataF
     return shares.select(label, (F.col("share") + F.when(place <= missing, 1).otherwise(0)).alias("k"))
 
 
-def content_hash(columns, seed: int):
-    """md5 over the seed and all column texts. Null and empty text differ."""
-    texts = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns]
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *texts))
+def content_hash(fields, seed: int):
+    """md5 over the seed and the texts of all columns, each behind its length, so only equal rows give equal hashes.
+
+    Nested values go in as JSON and binary ones as hexadecimal text.
+    """
+
+    def measured(field):
+        kind, column = field.dataType.typeName(), F.col(field.name)
+        if kind in ("array", "map", "struct"):
+            text = F.when(column.isNotNull(), F.to_json(F.struct(column)))
+        else:
+            text = F.hex(column) if kind == "binary" else column.cast("string")
+        return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+    return F.md5(F.concat(F.lit(f"{seed};"), *[measured(f) for f in fields]))
 
 
 def stratified_split(df: DataFrame, test_size: float = 0.8, seed: int = 42, label: str = "y") -> DataFrame:
     """Add `split` ('train' / 'test') with exact per-label counts."""
-    keyed = checkpointed(df.withColumn("_hash", content_hash(df.columns, seed)))
+    keyed = checkpointed(df.withColumn("_hash", content_hash(df.schema.fields, seed)))
 
     prefix = F.substring("_hash", 1, PREFIX_DIGITS)
     by_prefix = keyed.groupBy(label, prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n"))

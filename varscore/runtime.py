@@ -61,6 +61,15 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()["bytes"]
 
 
+def spread_in_order(scan: DataFrame) -> DataFrame:
+    """As `spread`, but the rows keep the order of the scan, over partitions and within them."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    placed = scan.withColumn("_place", F.monotonically_increasing_id())
+    return placed.repartitionByRange(cores, "_place").sortWithinPartitions("_place").drop("_place")
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Give every core a share of a scan that has fewer tasks than there are cores.
 

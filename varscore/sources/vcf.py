@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from varscore.constants import VCF_COLUMNS
 from varscore.functions.once import evaluate_once
-from varscore.runtime import spread
+from varscore.runtime import spread_in_order
 
 
 def vcf_header(lines: DataFrame) -> DataFrame:
@@ -24,7 +24,9 @@ def vcf_body(lines: DataFrame) -> DataFrame:
 def read_vcf(spark: SparkSession, path: str):
     """Return `(header, body)` of a plain or gzipped file, folder or glob.
 
-    One gzip file cannot be split, so it is read by one task; its raw lines are spread before they are parsed.
+    One gzip file cannot be split, so it is read by one task; its raw lines are spread before they are parsed, in
+    ranges of their order, so the body has the order of the lines either way. Several files give all their headers;
+    `write_vcf_lines` merges them.
     """
     lines = spark.read.text(path)
-    return vcf_header(lines).select("value"), vcf_body(spread(lines.select("value")))
+    return vcf_header(lines).select("value"), vcf_body(spread_in_order(lines.select("value")))

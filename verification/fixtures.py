@@ -19,6 +19,13 @@ KEY_EXPRS = [
 ]
 
 
+# Every tenth part's variant has another ALT than its score, so some variants find none.
+VARIANT_EXPRS = [
+    *KEY_EXPRS[:2],
+    "substr(CASE WHEN l_partkey % 10 = 0 THEN 'GTAC' ELSE 'CGTA' END, cast(l_partkey % 4 AS int) + 1, 1) AS ALT",
+]
+
+
 class Fixtures:
     """Lazily derived views over one scale-factor folder."""
 
@@ -34,7 +41,6 @@ class Fixtures:
         """Scores with repeated keys; `ord` orders the rows of a key."""
         return (
             self.table("lineitem")
-            .where("l_partkey % 10 <> 0")
             .selectExpr(
                 "concat('chr', cast(l_suppkey % 22 + 1 AS string)) AS CHROM",
                 *KEY_EXPRS,
@@ -55,7 +61,7 @@ class Fixtures:
         )
         return joined.selectExpr(
             "cast(l_suppkey % 22 + 1 AS string) AS CHROM",
-            *KEY_EXPRS,
+            *VARIANT_EXPRS,
             """concat('ALLELEID=', cast(l_partkey AS string), ';DBFLAG;CLNREVSTAT=',
                 CASE o_orderpriority WHEN '1-URGENT' THEN 'practice_guideline'
                     WHEN '2-HIGH' THEN 'reviewed_by_expert_panel'
@@ -100,7 +106,7 @@ class Fixtures:
     def contig(self) -> DataFrame:
         named = self.table("documents").selectExpr("concat('c', cast(doc_id AS string)) AS contig", "doc_id", "text")
         sequenced = evaluate_once(named, seq=F.expr(f"regexp_replace({BASES}, '[^ACGT]', '')"))
-        return sequenced.select("contig", "doc_id", "seq").where("length(seq) >= 130")
+        return sequenced.select("contig", "doc_id", "seq").where("length(seq) > 0")
 
     def chunks(self) -> DataFrame:
         cut = self.contig().select(
@@ -111,8 +117,8 @@ class Fixtures:
         )
 
     def regions(self) -> DataFrame:
-        """Exons along the whole of each contig: one every 280 bases, 45 to 47 bases long."""
-        exons = self.contig().select(
+        """Exons along the whole of each contig that can hold one: one every 280 bases, 45 to 47 bases long."""
+        exons = self.contig().where("length(seq) >= 57").select(
             "contig", "doc_id", F.explode(F.expr("sequence(0L, (length(seq) - 57) div 280)")).alias("i")
         )
         return exons.selectExpr(
@@ -152,8 +158,11 @@ class Fixtures:
         ).selectExpr("file", "doc_id * 100000 + line div 20 AS split", "line", "value")
 
     def logits(self) -> DataFrame:
+        """Twenty logits per vector: the sums of every twentieth element, so all elements count."""
         return self.table("embeddings").selectExpr(
-            "vec_id", "transform(slice(embedding, 1, 20), v -> cast(v AS double)) AS logits"
+            "vec_id",
+            "transform(sequence(0, 19), j -> aggregate(filter(embedding, (v, i) -> i % 20 = j), 0D,"
+            " (a, v) -> a + cast(v AS double))) AS logits",
         )
 
     def pieces(self) -> DataFrame:

@@ -6,6 +6,7 @@ TAB = "chr(9)"
 AAS = "'ACDEFGHIKLMNPQRSTVWY'"
 KEYS = """l_orderkey * 10 + l_linenumber AS POS,
   substr('ACGT', CAST(l_partkey % 4 AS INT) + 1, 1) AS REF, substr('CGTA', CAST(l_partkey % 4 AS INT) + 1, 1) AS ALT"""
+VARIANT_KEYS = KEYS.replace("'CGTA'", "CASE WHEN l_partkey % 10 = 0 THEN 'GTAC' ELSE 'CGTA' END")
 LABELS = "('Pathogenic', 'Likely_pathogenic', 'Benign', 'Likely_benign')"
 CHUNK = 1000
 HEADER = (
@@ -25,10 +26,10 @@ VIEWS = {
 SELECT concat('chr', CAST(l_suppkey % 22 + 1 AS VARCHAR)) AS CHROM, {KEYS},
   CAST(-((l_partkey * 37 + l_orderkey * 11) % 1500) - CASE WHEN l_returnflag = 'R' THEN 400 ELSE 0 END AS DOUBLE) / 100
     AS score, l_partkey AS ord
-FROM lineitem WHERE l_partkey % 10 <> 0""",
+FROM lineitem""",
     "fx_scores": "SELECT CHROM, POS, REF, ALT, max(score) AS score FROM fx_raw_scores GROUP BY CHROM, POS, REF, ALT",
     "fx_clinvar": f"""
-SELECT CAST(l_suppkey % 22 + 1 AS VARCHAR) AS CHROM, {KEYS},
+SELECT CAST(l_suppkey % 22 + 1 AS VARCHAR) AS CHROM, {VARIANT_KEYS},
   concat('ALLELEID=', CAST(l_partkey AS VARCHAR), ';DBFLAG;CLNREVSTAT=',
     CASE o_orderpriority WHEN '1-URGENT' THEN 'practice_guideline' WHEN '2-HIGH' THEN 'reviewed_by_expert_panel'
       WHEN '3-MEDIUM' THEN 'criteria_provided,_multiple_submitters,_no_conflicts'
@@ -65,11 +66,11 @@ FROM fx_kept c JOIN fx_scores s ON s.CHROM = concat('chr', c.CHROM) AND s.POS =
     "fx_contig": """
 SELECT concat('c', CAST(doc_id AS VARCHAR)) AS contig, doc_id, seq FROM (
   SELECT doc_id, regexp_replace(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), '[^ACGT]', '', 'g') AS seq
-  FROM documents) q WHERE length(seq) >= 130""",
+  FROM documents) q WHERE length(seq) > 0""",
     "fx_regions": """
 SELECT concat('tx', CAST(doc_id AS VARCHAR)) AS transcript_id, contig AS chrom, i * 280 + 11 AS start_pos, i * 280 + 55 + i % 3 AS end_pos,
   CASE WHEN doc_id % 2 = 0 THEN '+' ELSE '-' END AS strand, '0' AS phase
-FROM (SELECT doc_id, contig, unnest(range(0, (length(seq) - 57) // 280 + 1)) AS i FROM fx_contig) e""",
+FROM (SELECT doc_id, contig, unnest(range(0, (length(seq) - 57) // 280 + 1)) AS i FROM fx_contig WHERE length(seq) >= 57) e""",
     "fx_exons": """
 SELECT *, CAST(coalesce(sum(end_pos - start_pos + 1) OVER (PARTITION BY transcript_id
   ORDER BY CASE WHEN strand = '-' THEN -end_pos ELSE start_pos END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cds_start
@@ -95,10 +96,12 @@ WHERE b.b <> substr(c.codon, p.place + 1, 1) AND d.codon = substr(c.codon, 1, p.
     "fx_codons": """
 SELECT transcript_id, strand, i AS codon_idx, substr(cds, i * 3 + 1, 3) AS codon
 FROM (SELECT *, unnest(range(0, length(cds) // 3)) AS i FROM fx_cds) u""",
+    "fx_logits": """
+SELECT vec_id, [list_sum([CAST(embedding[k] AS DOUBLE) FOR k IN range(j, len(embedding) + 1, 20)]) FOR j IN range(1, 21)] AS lg FROM embeddings""",
     "fx_positions": f"""
-SELECT k.transcript_id, k.codon_idx, k.codon, k.strand, code.aa AS ref_aa, [CAST(v AS DOUBLE) FOR v IN e.embedding[1:20]] AS lg
+SELECT k.transcript_id, k.codon_idx, k.codon, k.strand, code.aa AS ref_aa, e.lg
 FROM fx_codons k JOIN fx_code code ON k.codon = code.codon
-JOIN embeddings e ON e.vec_id = (CAST(substr(k.transcript_id, 3) AS BIGINT) * 30 + k.codon_idx) % (SELECT count(*) FROM embeddings)""",
+JOIN fx_logits e ON e.vec_id = (CAST(substr(k.transcript_id, 3) AS BIGINT) * 30 + k.codon_idx) % (SELECT count(*) FROM embeddings)""",
     "fx_cds_snvs": """
 SELECT k.transcript_id, k.codon_idx, k.codon_idx * 3 + m.place AS cds_pos, k.codon, m.ref_aa, m.alt_aa, m.ref, m.alt, k.strand
 FROM fx_codons k JOIN fx_missense m ON k.codon = m.codon""",
@@ -131,11 +134,18 @@ s_n AS (SELECT y, count(*) AS n, sum(count(*)) OVER () AS total FROM {src} GROUP
 s_t AS (SELECT *, total - CAST(ceil(CAST({frac} AS DOUBLE) * total) AS HUGEINT) AS n_train FROM s_n),
 s_f AS (SELECT *, n * n_train // total AS share, n * n_train % total AS rest FROM s_t),
 s_k AS (SELECT y, share + CASE WHEN row_number() OVER (ORDER BY rest DESC, y) <= n_train - sum(share) OVER () THEN 1 ELSE 0 END AS k FROM s_f),
-s_r AS (SELECT l.*, row_number() OVER (PARTITION BY l.y ORDER BY md5(concat_ws('|', '42', CAST(CHROM AS VARCHAR), CAST(POS AS VARCHAR), REF, ALT,
-  {hashed}))) AS rn FROM {src} l),
+s_r AS (SELECT l.*, row_number() OVER (PARTITION BY l.y ORDER BY md5(concat('42;', {hashed}))) AS rn FROM {src} l),
 s_split AS (SELECT r.*, CASE WHEN r.rn <= k.k THEN 'train' ELSE 'test' END AS split FROM s_r r JOIN s_k k ON r.y = k.y)"""
-LABELED_SPLIT = SPLIT.replace("{src}", "fx_labeled").replace("{hashed}", "CLNSIG, CAST(y AS VARCHAR), CAST(score AS VARCHAR)")
-BENCH_SPLIT = SPLIT.replace("{src}", "fx_bench").replace("{hashed}", "CLNSIG, CAST(score AS VARCHAR), CAST(y AS VARCHAR)")
+
+
+def _measured(columns):
+    """Each text behind its length, so that no two rows give one text."""
+    texts = [f"CAST({c} AS VARCHAR)" for c in columns.split()]
+    return ", ".join(f"coalesce(length({t}) || ':' || {t}, '-')" for t in texts)
+
+
+LABELED_SPLIT = SPLIT.replace("{src}", "fx_labeled").replace("{hashed}", _measured("CHROM POS REF ALT CLNSIG y score"))
+BENCH_SPLIT = SPLIT.replace("{src}", "fx_bench").replace("{hashed}", _measured("CHROM POS REF ALT CLNSIG score y"))
 
 # Distinct scores of {src} with running totals from the highest down.
 POINTS = """
@@ -209,6 +219,9 @@ SCORED_CLINVAR = """fx_clinvar c {} JOIN fx_scores s ON s.CHROM = concat('chr',
 MATRIX_COLUMNS = ", ".join(
     f'round(lg[{i}] - lg[instr({AAS}, ref_aa)], 6) AS "{aa}"' for i, aa in enumerate("ACDEFGHIKLMNPQRSTVWY", 1)
 )
+LOG_PROB_COLUMNS = ", ".join(
+    f'round({i} * (codon_idx + 1) % 13 / 4.0::DOUBLE - z, 6) AS "log_prob_{aa}"' for i, aa in enumerate("ACDEFGHIKLMNPQRSTVWY", 1)
+)
 PIVOT_COLUMNS = ", ".join(f"max(score) FILTER (WHERE alt_aa = '{aa}') AS \"{aa}\"" for aa in "ACDEFGHIKLMNPQRSTVWY")
 
 
@@ -259,7 +272,7 @@ FROM {SCORED_CLINVAR.format('LEFT')} UNION ALL SELECT '##fileformat=VCFv4.2' UNI
         LABELED_POINTS,
     ),
     "resume_remaining": """SELECT concat('tx', CAST(doc_id AS VARCHAR)) AS transcript_id FROM documents
-WHERE doc_id % 2 = 0 OR length(regexp_replace(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), '[^ACGT]', '', 'g')) < 130""",
+WHERE doc_id % 2 = 0 OR length(regexp_replace(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), '[^ACGT]', '', 'g')) < 57""",
     "test_predictions": _sql(
         "SELECT CHROM, POS, REF, ALT, CLNSIG, score, y FROM s_split WHERE split = 'test'",
         LABELED_SPLIT.format(frac=0.8),
@@ -324,17 +337,18 @@ FROM fx_code c WHERE c.codon IN (SELECT codon FROM fx_codons) GROUP BY c.aa"""
         "SELECT transcript_id, CAST(sum(end_pos - start_pos + 1) AS BIGINT) AS cds_length FROM fx_regions GROUP BY transcript_id"
     ),
     "cds_to_genome": _sql("SELECT transcript_id, cds_offset, chrom, pos FROM fx_bases"),
-    "log_softmax": """
-WITH v AS (SELECT vec_id, i AS aa_idx, CAST(embedding[i + 1] AS DOUBLE) AS lg FROM (SELECT *, unnest(range(0, 20)) AS i FROM embeddings) e),
-m AS (SELECT vec_id, max(lg) AS top FROM v GROUP BY vec_id),
-t AS (SELECT v.vec_id, any_value(m.top) AS top, ln(sum(exp(v.lg - m.top))) AS z FROM v JOIN m ON v.vec_id = m.vec_id GROUP BY v.vec_id)
-SELECT v.vec_id, CAST(aa_idx AS INT) AS aa_idx, round(lg - top - z, 6) AS log_prob FROM v JOIN t ON v.vec_id = t.vec_id""",
+    "log_softmax": _sql(
+        "SELECT v.vec_id, CAST(aa_idx AS INT) AS aa_idx, round(lg - top - z, 6) AS log_prob FROM v JOIN t ON v.vec_id = t.vec_id",
+        "v AS (SELECT vec_id, i AS aa_idx, lg[i + 1] AS lg FROM (SELECT *, unnest(range(0, 20)) AS i FROM fx_logits) e)",
+        "m AS (SELECT vec_id, max(lg) AS top FROM v GROUP BY vec_id)",
+        "t AS (SELECT v.vec_id, any_value(m.top) AS top, ln(sum(exp(v.lg - m.top))) AS z FROM v JOIN m ON v.vec_id = m.vec_id GROUP BY v.vec_id)",
+    ),
     "variant_llr": _sql(
         f"""SELECT m.transcript_id, m.protein_pos, m.ref_aa, m.alt_aa, m.ord,
-  CASE WHEN k.aa = m.ref_aa THEN round(CAST(e.embedding[instr({AAS}, m.alt_aa)] AS DOUBLE) - CAST(e.embedding[instr({AAS}, m.ref_aa)] AS DOUBLE), 6) END AS llr
+  CASE WHEN k.aa = m.ref_aa THEN round(e.lg[instr({AAS}, m.alt_aa)] - e.lg[instr({AAS}, m.ref_aa)], 6) END AS llr
 FROM (SELECT concat('tx', CAST(ord % (SELECT count(*) FROM documents) AS VARCHAR)) AS transcript_id, protein_pos, ref_aa, alt_aa, ord,
     ord % (SELECT count(*) FROM embeddings) AS vec_id FROM fx_mutations) m
-JOIN fx_cds t ON t.transcript_id = m.transcript_id JOIN embeddings e ON e.vec_id = m.vec_id
+JOIN fx_cds t ON t.transcript_id = m.transcript_id JOIN fx_logits e ON e.vec_id = m.vec_id
 LEFT JOIN (SELECT transcript_id, codon_idx, aa FROM fx_codons JOIN fx_code USING (codon)) k
   ON k.transcript_id = m.transcript_id AND k.codon_idx = m.protein_pos"""
     ),
@@ -458,7 +472,7 @@ FROM (SELECT (SELECT {{'t': threshold, 'tpr': tpr, 'fpr': fpr}} FROM c_roc
     ),
     "generate_scores": _sql(f"SELECT {GENERATED} FROM fx_generated"),
     "score_rejects": """SELECT concat('tx', CAST(doc_id AS VARCHAR)) AS transcript_id, 'no_cds' AS reason FROM documents
-WHERE length(regexp_replace(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), '[^ACGT]', '', 'g')) < 130""",
+WHERE length(regexp_replace(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), '[^ACGT]', '', 'g')) < 57""",
     "resume_scores": _sql(f"SELECT {GENERATED} FROM fx_generated WHERE strand = '+'"),
     "union_scores": _sql(
         "SELECT transcript_id, count(*) AS n, CAST(sum(POS) AS BIGINT) AS pos_sum FROM fx_placed_snvs GROUP BY transcript_id"
@@ -489,8 +503,7 @@ FROM ({_binary_cells('s_test', 'x > (SELECT t FROM b_t)')}) b""",
         POINTS.replace("{src}", "s_test"),
     ),
     "score_sequences": _sql(
-        """SELECT transcript_id AS protein_id, CAST(codon_idx AS INT) AS pos, aa AS ref_aa, round(1 * (codon_idx + 1) % 13 / 4.0::DOUBLE - z, 6) AS "log_prob_A",
-  round(20 * (codon_idx + 1) % 13 / 4.0::DOUBLE - z, 6) AS "log_prob_Y"
+        f"""SELECT transcript_id AS protein_id, CAST(codon_idx AS INT) AS pos, aa AS ref_aa, {LOG_PROB_COLUMNS}
 FROM (SELECT transcript_id, codon_idx, c.aa, ln(list_sum([exp(((codon_idx + 1) * i) % 13 / 4.0::DOUBLE) FOR i IN range(1, 21)])) AS z
   FROM fx_codons k JOIN fx_code c ON k.codon = c.codon) q"""
     ),

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from varscore import schemas
+from varscore.constants import AMINO_ACIDS
 from varscore.functions import info, llr, sequence
 from varscore.operators import calibrate, clinvar, curves, evaluate, genome, lookup, matrix, model, mutations
 from varscore.operators.split import stratified_split
@@ -630,7 +631,5 @@ def score_sequences(fx):
         F.col("transcript_id").alias("protein_id"), sequence.translate_cds(F.col("cds")).alias("sequence")
     )
     scored = model.score_sequences(proteins, toy_scorer)
-    return scored.select(
-        "protein_id", "pos", "ref_aa", F.round(F.get("logits", F.lit(0)), 6).alias("log_prob_A"),
-        F.round(F.get("logits", F.lit(19)), 6).alias("log_prob_Y"),
-    )
+    log_probs = [F.round(F.get("logits", F.lit(i)), 6).alias(f"log_prob_{aa}") for i, aa in enumerate(AMINO_ACIDS)]
+    return scored.select("protein_id", "pos", "ref_aa", *log_probs)
