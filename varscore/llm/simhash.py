@@ -20,8 +20,14 @@ from pyspark.sql import functions as F
 
 from varscore.llm.common import col, components, fresh, narrow, shuffle_partitions, small_or_shuffled, texts_of, written
 
-#: Fingerprints per tile.
-TILE = 4096
+#: Fingerprints per tile, and per tile where candidates for a similarity join are searched.
+TILE, WIDE_TILE = 4096, 8192
+#: The eight bits of each byte, lowest first.
+BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(float)
+#: Bands of set size within the ratio that the similarity allows.
+BANDS = 4
+#: Sets compared at once, and shingles per product, where similarities are computed exactly.
+BLOCK, SLICE = 2048, 512
 #: Hits kept before a tile pair reduces them to a forest.
 HITS = 1_000_000
 
@@ -55,14 +61,14 @@ def mix(h: np.ndarray, k: int) -> np.ndarray:
 
 def majority(h: np.ndarray, n_words: int) -> list:
     """The fingerprint's 64-bit words: a bit is set if it is set in over half the hashes."""
-    out = []
-    for k in range(n_words):
-        counts = np.zeros(64, np.int64)
-        for at in range(0, len(h), 65536):
-            part = np.ascontiguousarray(mix(h[at : at + 65536], k), dtype="<u8")
-            counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0]))
-    return out
+    n_bytes = 8 * n_words
+    byte_counts = np.zeros(256 * n_bytes, np.int64)
+    for at in range(0, len(h), 16384):
+        part = np.stack([mix(h[at : at + 16384], k) for k in range(n_words)], axis=1).astype("<u8")
+        places = part.view(np.uint8).reshape(-1, n_bytes) + 256 * np.arange(n_bytes)
+        byte_counts += np.bincount(places.ravel(), minlength=256 * n_bytes)
+    counts = byte_counts.reshape(n_bytes, 256).astype(float) @ BITS  # set bits of each place, exact in doubles
+    return np.packbits(2 * counts > len(h), axis=1, bitorder="little").ravel().view("<u8").tolist() if len(h) else [0] * n_words
 
 
 def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", words=3, bits=64, distinct=False) -> DataFrame:
@@ -85,18 +91,25 @@ def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", words=3, bit
     return work.mapInArrow(run, f"id {work.schema['id'].dataType.simpleString()}, fp string, size long")
 
 
-def decode(blob: str, n_words: int) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(blob), ">u8").astype(np.uint64).reshape(-1, n_words)
+def decode(blob: bytes, n_words: int) -> np.ndarray:
+    return np.frombuffer(blob, ">u8").astype(np.uint64).reshape(-1, n_words)
+
+
+def in_hex(blob: bytes, rows, n_words: int) -> list:
+    """Rows of a tile as hexadecimal fingerprints."""
+    w = 8 * n_words
+    return [blob[k * w : (k + 1) * w].hex() for k in rows.tolist()]
 
 
 def hits(a: np.ndarray, b: np.ndarray, radius: int, same: bool):
     """Blocks of (i, j, distance) with distance <= radius between rows of two tiles (i < j within one tile)."""
     step = max(1, 262144 // max(1, len(b)))
+    other = np.ascontiguousarray(b.T)
     for at in range(0, len(a), step):
         block = a[at : at + step]
-        distance = np.bitwise_count(block[:, None, 0] ^ b[None, :, 0]).astype(np.uint16)
+        distance = np.bitwise_count(block[:, None, 0] ^ other[0]).astype(np.uint16)
         for k in range(1, a.shape[1]):
-            distance += np.bitwise_count(block[:, None, k] ^ b[None, :, k])
+            distance += np.bitwise_count(block[:, None, k] ^ other[k])
         i, j = np.nonzero(distance <= radius)
         d = distance[i, j]
         i = i + at
@@ -156,7 +169,7 @@ def tile_forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool):
 def cells(nodes: DataFrame, radius: int, parts: int, size_ratio=None) -> DataFrame:
     """Add `cell` to rows (fp, size): the population counts of the parts and the band of the size.
 
-    Sizes of two sets with a Jaccard similarity of `size_ratio` or more lie in the same or in neighbouring bands.
+    Sizes of two sets with a Jaccard similarity of `size_ratio` or more lie in bands that are at most BANDS apart.
     """
     names = nodes.columns
 
@@ -166,7 +179,7 @@ def cells(nodes: DataFrame, radius: int, parts: int, size_ratio=None) -> DataFra
             for fp, size in zip(batch.column("fp").to_pylist(), batch.column("size").to_pylist()):
                 width = len(fp) // parts if parts else 0
                 counts = [int(fp[k * width : (k + 1) * width], 16).bit_count() for k in range(parts)]
-                band = 0 if size_ratio is None else int(np.floor(np.log(max(size, 1)) / -np.log(size_ratio)))
+                band = 0 if size_ratio is None else int(np.floor(np.log(max(size, 1)) / -np.log(size_ratio) * (BANDS - 1e-6)))
                 out.append(" ".join(map(str, [band, *counts])))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*names, "cell"])
 
@@ -181,7 +194,7 @@ def partners(cell: str, radius: int, sized: bool) -> list:
     for _ in own:
         shifts = [s + (x,) for s in shifts for x in range(-radius, radius + 1) if sum(map(abs, s)) + abs(x) <= radius]
     out = []
-    for step, shift in itertools.product((0, 1) if sized else (0,), shifts):
+    for step, shift in itertools.product(range(BANDS + 1) if sized else (0,), shifts):
         if (step, shift) >= (0, (0,) * len(own)):
             other = [a + b for a, b in zip(own, shift)]
             if min(other, default=0) >= 0:
@@ -197,12 +210,15 @@ def parts_for(count: int, bits: int, radius: int) -> int:
     return next((p for p, most in ((1, 2**17), (2, 2**22), (4, 2**29)) if count <= most), 8)
 
 
-def tile_pairs(nodes: DataFrame, radius: int, parts: int, size_ratio=None) -> DataFrame:
-    """Rows (left, right, fps_l, fps_r) of all tile pairs that may hold a link."""
+def tile_pairs(nodes: DataFrame, radius: int, parts: int, size_ratio=None, tile=TILE) -> DataFrame:
+    """Rows (left, right, fps_l, fps_r) of all tile pairs that may hold a link.
+
+    The right tile of each pair is sent once, to where its left tiles are; the pairs of a left tile share that one.
+    """
     dealt = written(cells(nodes.select("fp", "size"), radius, parts, size_ratio), "cells")
-    counts = dealt.groupBy("cell").agg(F.ceil(F.count("*") / TILE).alias("k"))
+    counts = dealt.groupBy("cell").agg(F.ceil(F.count("*") / tile).alias("k"))
     tiles = dealt.join(counts, "cell").withColumn("sub", F.pmod(F.xxhash64("fp"), "k"))
-    tiles = tiles.groupBy("cell", "sub").agg(F.array_join(F.array_sort(F.collect_list("fp")), "").alias("fps"))
+    tiles = tiles.groupBy("cell", "sub").agg(F.unhex(F.array_join(F.array_sort(F.collect_list("fp")), "")).alias("fps"))
     tiles = written(tiles.select(F.concat_ws("#", "cell", "sub").alias("tile"), "cell", "fps"), "tiles")
     sized = size_ratio is not None
 
@@ -219,9 +235,10 @@ def tile_pairs(nodes: DataFrame, radius: int, parts: int, size_ratio=None) -> Da
     pairs = wanted.join(tiles.select(F.col("tile").alias("right"), "cell"), "cell")
     own = F.substring_index("left", "#", 1) == F.col("cell")
     pairs = written(pairs.where(~own | (F.col("left") <= F.col("right"))).select("left", "right"), "pairs")
-    joined = pairs.join(tiles.select(F.col("tile").alias("left"), F.col("fps").alias("fps_l")), "left")
-    joined = joined.join(tiles.select(F.col("tile").alias("right"), F.col("fps").alias("fps_r")), "right")
-    return joined.select("left", "right", "fps_l", "fps_r").repartition(shuffle_partitions(nodes) * 4, "left", "right")
+    sent = pairs.join(tiles.select(F.col("tile").alias("right"), F.col("fps").alias("fps_r")), "right")
+    sent = sent.repartition(shuffle_partitions(nodes) * 4, "left")
+    own = tiles.select(F.col("tile").alias("left"), F.col("fps").alias("fps_l")).hint("shuffle_hash")
+    return sent.join(own, "left").select("left", "right", "fps_l", "fps_r")
 
 
 def links(nodes: DataFrame, radius: int, bits=64, size_ratio=None) -> DataFrame:
@@ -234,9 +251,7 @@ def links(nodes: DataFrame, radius: int, bits=64, size_ratio=None) -> DataFrame:
                 same = row["left"] == row["right"]
                 a, b = decode(row["fps_l"], n_words), decode(row["fps_r"], n_words)
                 i, j = tile_forest(a, b, radius, same)
-                w = 16 * n_words
-                left = [row["fps_l"][k * w : (k + 1) * w] for k in i.tolist()]
-                right = [row["fps_r"][k * w : (k + 1) * w] for k in j.tolist()]
+                left, right = in_hex(row["fps_l"], i, n_words), in_hex(row["fps_r"], j, n_words)
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string())], names=["a", "b"])
 
     pairs = tile_pairs(nodes, radius, parts_for(nodes.count(), bits, radius), size_ratio)
@@ -262,7 +277,8 @@ def exact_links(sets: list, candidates: list, threshold: float):
     """Index pairs (a spanning forest) of sets with a Jaccard similarity of `threshold` or more.
 
     `candidates` are lists of set indices that may be alike. Intersections of a list come from products of 0/1 matrices
-    over slices of the shared shingles, so a large group of copies costs no pairwise loop.
+    over slices of the shared shingles, block by block, so a large group of copies costs no pairwise loop and the memory
+    is bounded by a block times the two tiles.
     """
     for members in candidates:
         size = np.array([len(sets[m]) for m in members])
@@ -274,16 +290,26 @@ def exact_links(sets: list, candidates: list, threshold: float):
         owner, shingle = owner[keep], column[shingle[keep]]
         order = np.argsort(shingle, kind="stable")
         owner, shingle = owner[order], shingle[order]
-        both = np.zeros((len(members), len(members)), np.float32)
-        for at in range(0, int(shared.sum()), 2048):
-            a, b = np.searchsorted(shingle, [at, at + 2048])
-            part = np.zeros((len(members), 2048), np.float32)
-            part[owner[a:b], shingle[a:b] - at] = 1
-            both += part @ part.T
-        i, j = np.nonzero(np.triu(both >= threshold * (size[:, None] + size[None, :] - both) - 1e-3, 1))
-        exact = both[i, j].astype(np.int64)
-        good = exact >= threshold * (size[i] + size[j] - exact)
-        i, j = i[good], j[good]
+        found = [[np.zeros(0, np.int64), np.zeros(0, np.int64)]]
+        for top in range(0, len(members), BLOCK):
+            rest, block = len(members) - top, min(BLOCK, len(members) - top)
+            both = np.zeros((block, rest), np.float32)
+            for at in range(0, int(shared.sum()), SLICE):
+                a, b = np.searchsorted(shingle, [at, at + SLICE])
+                here = owner[a:b] >= top
+                part = np.zeros((rest, SLICE), np.float32)
+                part[owner[a:b][here] - top, shingle[a:b][here] - at] = 1
+                both += part[:block] @ part.T
+            total = size[top : top + block, None] + size[None, top:]
+            i, j = np.nonzero(np.triu(both >= threshold * (total - both) - 1e-3, 1))
+            exact = both[i, j].astype(np.int64)
+            good = exact >= threshold * (total[i, j] - exact)
+            found.append([i[good] + top, j[good] + top])
+            if len(found) > 1 and sum(len(x) for x, _ in found) > HITS:
+                i, j = (np.concatenate(x) for x in zip(*found))
+                least = forest(i, j, np.zeros(len(i), np.int64), len(members))
+                found = [[i[least], j[least]]]
+        i, j = (np.concatenate(x) for x in zip(*found))
         kept = forest(i, j, np.zeros(len(i), np.int64), len(members))
         for k in kept.tolist():
             yield members[i[k]], members[j[k]]
@@ -300,12 +326,13 @@ def groups_of(i, j, n):
     return [g.tolist() for g in np.split(order, cuts) if len(g) > 1]
 
 
-def similar_classes(docs: DataFrame, id_col="doc_id", text_col="text", words=5, threshold=0.8, bits=128, radius=38) -> DataFrame:
+def similar_classes(docs: DataFrame, id_col="doc_id", text_col="text", words=5, threshold=0.8, bits=256, radius=76) -> DataFrame:
     """One row per document: id and component_id over links of a Jaccard similarity of `threshold` or more.
 
-    SimHash over the set of shingles finds the candidates: at similarity 0.8 two 128-bit fingerprints differ in 19.4
-    bits on average, with a deviation of 4.1, and unrelated ones in 64 with 5.7; a radius of 38 is more than four
-    deviations from either. The exact similarity decides. Only documents with a candidate bring their shingle sets,
+    SimHash over the set of shingles finds the candidates: at similarity 0.8 two 256-bit fingerprints differ in 39 bits
+    on average with a deviation of 5.7 (48 and 6.2 for sets of four and five), unrelated ones in 128 with 8. A radius of
+    76 is more than four deviations from each. The exact similarity decides. Only documents with a candidate bring their
+    shingle sets,
     once per tile pair in which they have one.
     """
     n_words = bits // 64
@@ -317,13 +344,11 @@ def similar_classes(docs: DataFrame, id_col="doc_id", text_col="text", words=5,
             for row in batch.to_pylist():
                 same = row["left"] == row["right"]
                 i, j = tile_forest(decode(row["fps_l"], n_words), decode(row["fps_r"], n_words), radius, same)
-                w = 16 * n_words
-                found = {row["fps_l"][k * w : (k + 1) * w] for k in i.tolist()} | {row["fps_r"][k * w : (k + 1) * w] for k in j.tolist()}
-                found = sorted(found)
+                found = sorted({*in_hex(row["fps_l"], i, n_words), *in_hex(row["fps_r"], j, n_words)})
                 pair = [f"{row['left']}|{row['right']}"] * len(found)
                 yield pa.RecordBatch.from_arrays([pa.array(pair, pa.string()), pa.array(found, pa.string())], names=["pair", "fp"])
 
-    pairs = tile_pairs(nodes, radius, parts_for(nodes.count(), bits, radius), threshold)
+    pairs = tile_pairs(nodes, radius, parts_for(nodes.count(), bits, radius), threshold, WIDE_TILE)
     found = written(pairs.mapInArrow(candidates, "pair string, fp string"), "candidates")
     wanted = written(found.select("fp").distinct().join(nodes.select("fp", F.col("first").alias("id")), "fp").where("id is not null"), "wanted")
 
@@ -338,9 +363,8 @@ def similar_classes(docs: DataFrame, id_col="doc_id", text_col="text", words=5,
     def verify(table):
         fps = table.column("fp").to_pylist()
         hashes = [np.frombuffer(x, "<u8") for x in table.column("shingles").to_pylist()]
-        points = decode("".join(fps), n_words)
-        near = [np.concatenate(x) for x in zip(*hits(points, points, radius, True))]
-        groups = groups_of(near[0], near[1], len(fps)) if near else []
+        points = decode(bytes.fromhex("".join(fps)), n_words)
+        groups = groups_of(*tile_forest(points, points, radius, True), len(fps))
         found = list(exact_links(hashes, groups, threshold))
         return pa.table({"a": pa.array([fps[x] for x, _ in found], pa.string()), "b": pa.array([fps[y] for _, y in found], pa.string())})
 
