@@ -164,6 +164,25 @@ def test_mixing(docs, empty):
         assert all(abs(done[x] - blocks[x] / 64 * (slot + 1)) < 1 for x in blocks)
 
 
+def test_mixing_exact_weights(spark):
+    from fractions import Fraction
+
+    n, weights = 300, {"big": 0.5, "none": 0} | {f"s{i}": 0.5 / 98 for i in range(98)}
+    rows = [(i, "big") for i in range(n)] + [(n + i, s) for i, s in enumerate([*weights][1:] * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    found, names, _ = mixing.placed(docs, weights=weights, block_rows=1)
+    found = sorted(found.collect(), key=lambda r: r[names["slot"]])
+    total = sum(Fraction(w) for w in weights.values())
+    assert len({r[names["slot"]] for r in found}) == len(found) == len(rows)
+    assert [r["source"] for r in found[-3:]] == ["none"] * 3 and found[-1][names["release"]] is None
+    for r in found[:-3]:
+        w, i = Fraction(weights[r["source"]]) / total, r[names["block"]]
+        assert r[names["weight"]] == float(w)
+        assert (r[names["release"]], r[names["deadline"]]) == (i / w // 1, -(-(i + 1) / w // 1))
+        assert r[names["release"]] <= r[names["slot"]] < r[names["deadline"]]
+    assert mixing.quantised({"a": 0.5, "b": 0.5, "c": 0}, 64) == {"a": 32, "b": 32, "c": 0}
+
+
 def test_token_counts(docs, texts):
     from tokenizers import Tokenizer
 

@@ -1,56 +1,88 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Weights are multiples of 1/Q. The blocks of a source with weight w have release times floor(i / w) and deadlines
-ceil((i + 1) / w); in every slot the released block with the earliest deadline runs. At any slot a source is less than one
-block from its share. The schedule repeats after Q slots, so one period is scheduled, a table of Q rows, and block i of a
-source takes its place in period i div (w Q). Sources that run out leave their slots empty: rows are only ordered by
-slot, and the others go on at their own ratios. No row is dropped or repeated.
+Weights are the exact ratios of the targets, rational numbers that are never rounded. The blocks of a source with weight w
+have release times floor(i / w) and deadlines ceil((i + 1) / w); in every slot the released block with the earliest
+deadline runs. As the weights sum to 1, each block meets its deadline, and at any slot a source is less than one block from
+its target. Only blocks that exist are scheduled. Sources that run out leave their slots empty: the others go on at their
+own ratios. Blocks of weight zero, or whose deadline is beyond LATEST, have no window (null) and stand behind the rest, by
+descending weight. No row is dropped or repeated.
+
+Earliest deadline first goes from slot to slot, so one task takes the blocks (not the rows), sorted by release; it holds
+those that wait, one of each source at most.
 
 Rows of a source are put in a hash order before they are cut into blocks, source by source without gathering one. A null
 source is a source of its own; rows that repeat are placed one by one; null and empty texts are rows like any other; an
-empty table gives no rows. The sources are counted on the driver: MOST_SOURCES of them at most.
+empty table gives no rows. MOST_SOURCES sources at most.
 """
 
 import heapq
+from decimal import Decimal
 from fractions import Fraction
+from numbers import Rational
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varscore.llm.common import col, fresh, ranked, written
+from varscore.llm.common import col, fresh, ranked, small_or_shuffled, written
+
+#: Rows of a block, the largest number of sources, the last deadline, and the blocks of an Arrow batch.
+BLOCK_ROWS, MOST_SOURCES, LATEST, BATCH = 64, 100_000, 1 << 62, 8192
+
+_PLAN = "p_source string, p_block long, p_weight double, p_release long, p_deadline long"
+_ARROW = [("p_source", pa.string()), ("p_block", pa.int64()), ("p_weight", pa.float64()), ("p_release", pa.int64()), ("p_deadline", pa.int64())]
 
-#: Slots of a period at least, rows of a block, and the largest number of sources.
-PERIOD, BLOCK_ROWS, MOST_SOURCES = 1024, 64, 100_000
+
+def exact(weight) -> Fraction:
+    """A target weight as a rational number, without rounding."""
+    found = Fraction(weight if isinstance(weight, (Rational, Decimal)) else float(weight))
+    if found < 0:
+        raise ValueError(f"negative weight {weight}")
+    return found
 
 
 def quantised(weights: dict, period: int) -> dict:
-    """Blocks per period of each source: largest remainders, one at least, summing to the period."""
-    total = sum(weights.values())
-    spare = period - len(weights)
-    exact = {s: Fraction(w) / Fraction(total) * spare for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    by_rest = sorted(exact, key=lambda s: (-(exact[s] - int(exact[s])), s is not None, str(s)))
+    """Blocks of each source in a period of so many: largest remainders, summing to the period."""
+    total = sum(map(exact, weights.values()))
+    shares = {s: exact(w) / total * period for s, w in weights.items()}
+    out = {s: int(x) for s, x in shares.items()}
+    by_rest = sorted(shares, key=lambda s: (-(shares[s] - int(shares[s])), s is not None, str(s)))
     for s in by_rest[: period - sum(out.values())]:
         out[s] += 1
     return out
 
 
+def earliest_deadline(blocks):
+    """(slot, block) of blocks (deadline, ..., release) that come by ascending release; those without one come last."""
+    ready, slot = [], 0
+    for block in blocks:
+        release = block[-1]
+        while ready and (release is None or slot < release):
+            yield slot, heapq.heappop(ready)
+            slot += 1
+        if release is None:
+            yield slot, block
+            slot += 1
+        else:
+            slot = max(slot, release)
+            heapq.heappush(ready, block)
+    while ready:
+        yield slot, heapq.heappop(ready)
+        slot += 1
+
+
+def window(share: Fraction, i: int) -> tuple:
+    """Release and deadline of block i; none for a share of zero, or beyond LATEST."""
+    deadline = -(-(i + 1) * share.denominator // share.numerator) if share else LATEST + 1
+    return (i * share.denominator // share.numerator, deadline) if deadline <= LATEST else (None, None)
+
+
 def schedule(blocks: dict) -> list:
     """One period as rows (source, index, release, deadline, slot); `blocks` sums to the number of slots."""
     period, order = sum(blocks.values()), sorted(blocks, key=lambda s: (s is not None, str(s)))
-    waiting = [[] for _ in range(period)]
-    for rank, s in enumerate(order):
-        n = blocks[s]
-        for i in range(n):
-            waiting[i * period // n].append((-(-(i + 1) * period // n), rank, i))
-    ready, out = [], []
-    for slot in range(period):
-        for block in waiting[slot]:
-            heapq.heappush(ready, block)
-        deadline, rank, i = heapq.heappop(ready)
-        s = order[rank]
-        out.append((s, i, i * period // blocks[s], deadline, slot))
-    return out
+    windows = [(rank, i, *window(Fraction(blocks[s], period), i)) for rank, s in enumerate(order) for i in range(blocks[s])]
+    placed = earliest_deadline(sorted(((d, rank, i, r) for rank, i, r, d in windows), key=lambda b: b[-1]))
+    return [(order[rank], i, r, d, slot) for slot, (d, rank, i, r) in placed]
 
 
 def tempered(counts: dict, power=0.5) -> dict:
@@ -58,34 +90,66 @@ def tempered(counts: dict, power=0.5) -> dict:
     return {s: float(n) ** power for s, n in counts.items()}
 
 
+def planned(counts: DataFrame, weights=None, block_rows=BLOCK_ROWS, power=0.5) -> DataFrame:
+    """Rows (p_source, p_block, p_weight, p_release, p_deadline, p_slot) of every block of the sources (source, n)."""
+    given = {s: exact(w) for s, w in (weights or {}).items()}
+
+    def targets(batches):
+        for batch in batches:
+            for s, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield s, n, given[s] if s in given else exact(tempered({s: n}, power)[s])
+
+    def summed(batches):
+        part = sum((w for _, _, w in targets(batches)), Fraction(0))
+        yield pa.RecordBatch.from_pydict({"top": [hex(part.numerator)], "bottom": [hex(part.denominator)]})
+
+    parts = counts.mapInArrow(summed, "top string, bottom string").collect()  # one row per partition
+    total = sum((Fraction(int(r["top"], 16), int(r["bottom"], 16)) for r in parts), Fraction(0))
+
+    def batched(rows, schema):
+        held = []
+        for row in rows:
+            held.append(row)
+            if len(held) == BATCH:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*held), schema)], names=[n for n, _ in schema])
+                held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*held), schema)], names=[n for n, _ in schema])
+
+    def cut(batches):
+        shares = ((s, n, w / total if total else w) for s, n, w in targets(batches))
+        return batched(((s, i, float(x), *window(x, i)) for s, n, x in shares for i in range(-(-n // block_rows))), _ARROW)
+
+    def dealt(batches):
+        rows = (row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns]))
+        placed = earliest_deadline((d, s is not None, s or "", i, w, r) for s, i, w, r, d in rows)
+        return batched(((s if known else None, i, w, r, d, slot) for slot, (d, known, s, i, w, r) in placed), [*_ARROW, ("p_slot", pa.int64())])
+
+    order = [F.col("p_release").asc_nulls_last(), F.col("p_weight").desc(), "p_source", "p_block"]
+    blocks = counts.mapInArrow(cut, _PLAN).repartition(1).sortWithinPartitions(*order)
+    return written(blocks.mapInArrow(dealt, _PLAN + ", p_slot long"), "blocks")
+
+
 def placed(docs: DataFrame, weights=None, source_col="source", id_col="doc_id", seed=7, block_rows=BLOCK_ROWS, power=0.5):
-    """`docs` with its place: columns `row`, `block`, `blocks`, `release`, `deadline`, `slot` (renamed where they clash),
-    and their names. `weights` maps sources to target weights; sources that it lacks, or all without it, are tempered.
+    """`docs` with its place: columns `row`, `block`, `weight`, `release`, `deadline`, `slot` (renamed where they clash),
+    their names, and the table of all blocks. `weights` maps sources to target weights; sources that it lacks, or all
+    without it, are tempered. The column `weight` is the float next to the exact weight.
     """
-    names = {n: fresh(docs, n) for n in ("row", "block", "blocks", "release", "deadline", "slot")}
+    names = {n: fresh(docs, n) for n in ("row", "block", "weight", "release", "deadline", "slot")}
     group, key, order = fresh(docs, "group"), fresh(docs, "key"), fresh(docs, "order")
     rows = docs.withColumn(group, col(source_col).cast("string"))
-    found = rows.groupBy(group).count().limit(MOST_SOURCES + 1).collect()
-    if len(found) > MOST_SOURCES:
+    counts = written(rows.groupBy(F.col(group).alias("source")).agg(F.count("*").alias("n")), "sources")
+    if counts.count() > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
-    counts = {r[0]: r[1] for r in found}
-    target = tempered(counts, power) | {s: float(w) for s, w in (weights or {}).items() if s in counts}
-    period = max(PERIOD, 1 << (4 * len(counts) - 1).bit_length()) if counts else PERIOD
-    per_period = quantised(target, period) if counts else {}
-    plan = [(s, i, per_period[s], r, d, t) for s, i, r, d, t in schedule(per_period)] if counts else []
-    plan = docs.sparkSession.createDataFrame(plan, "p_source string, p_index int, p_blocks int, p_release int, p_deadline int, p_slot int")
+    plan = planned(counts, weights, block_rows, power)
     rows = rows.withColumn(key, F.xxhash64(F.lit(seed), col(id_col))).withColumn(order, col(id_col))
     rows = ranked(rows, group, [key, order], names["row"])
     rows = rows.withColumn(names["block"], F.floor(F.col(names["row"]) / block_rows))
-    sizes = F.broadcast(plan.select("p_source", F.col("p_blocks").alias(names["blocks"])).distinct())  # one row per source
-    rows = rows.join(sizes, F.col(group).eqNullSafe(F.col("p_source"))).drop("p_source")
-    index = F.pmod(F.col(names["block"]), F.col(names["blocks"]))
-    turn = F.floor(F.col(names["block"]) / F.col(names["blocks"])) * period
-    match = F.col(group).eqNullSafe(F.col("p_source")) & (index == F.col("p_index"))
-    rows = rows.join(F.broadcast(plan.drop("p_blocks")), match)
-    for name in ("release", "deadline", "slot"):
-        rows = rows.withColumn(names[name], (turn + F.col(f"p_{name}")).cast("long"))
-    return rows.drop(group, key, order, "p_source", "p_index", "p_release", "p_deadline", "p_slot"), names, period
+    match = F.col(group).eqNullSafe(F.col("p_source")) & (F.col(names["block"]) == F.col("p_block"))
+    rows = rows.join(small_or_shuffled(plan), match)
+    for name in ("weight", "release", "deadline", "slot"):
+        rows = rows.withColumnRenamed(f"p_{name}", names[name])
+    return rows.drop(group, key, order, "p_source", "p_block"), names, plan
 
 
 def mix(docs: DataFrame, partitions: int, **options) -> DataFrame:

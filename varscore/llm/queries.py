@@ -61,9 +61,9 @@ def op6_suffix_dedup(spark, sf_dir):
 
 def op7_mixing(spark, sf_dir):
     """The place of every document in the mix of its source with the others, at tempered weights."""
-    rows, names, period = mixing.placed(_table(spark, sf_dir, "documents"))
+    rows, names, _ = mixing.placed(_table(spark, sf_dir, "documents"))
     return rows.select(
-        "doc_id", "source", (F.col(names["blocks"]) / period).alias("weight"),
+        "doc_id", "source", F.col(names["weight"]).alias("weight"),
         *[F.col(names[n]).cast("long").alias(n) for n in ("row", "block", "release", "deadline", "slot")],
     )
 
