@@ -238,6 +238,21 @@ def test_order_counts(spark):
     assert share(codes[0], codes[2]) > 0.9 and share(codes[0], codes[1]) < 0.75
 
 
+@pytest.mark.parametrize("n", [20, 50, 100])
+def test_order_counts_in_short_texts(spark, n):
+    """Swapped halves share nearly all pairs of words, but only pairs within a half keep their order."""
+    rows = []
+    for t in range(40):
+        words = [f"w{t}x{i}" for i in range(n)]
+        rows += [(2 * t, " ".join(words)), (2 * t + 1, " ".join(words[n // 2 :] + words[: n // 2]))]
+    df = spark.createDataFrame([*rows, (1000, "one two"), (1001, "one")], "doc_id long, text string")
+    codes = {r.id: r.codes for r in order_minhash.fingerprints(df).collect()}
+    assert all([c >> 16 for c in found] == list(range(order_minhash.SKETCHES)) for found in codes.values())
+    share = sum(len({*codes[2 * t]} & {*codes[2 * t + 1]}) for t in range(40)) / 40 / order_minhash.SKETCHES
+    half, kmers = n // 2 - 1, n - 1  # k-mers within a half; one more lies across, another one in the other text
+    assert abs(share - half * (half - 1) / (kmers * (kmers - 1) / 2)) < 0.1
+
+
 def test_quality(spark, empty):
     rnd = random.Random(3)
     good = [" ".join(rnd.choice(["the", "quiet", "river", "runs", "slowly"]) for _ in range(80)) for _ in range(120)]

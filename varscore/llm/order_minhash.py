@@ -1,12 +1,16 @@
 """Order MinHash fingerprints in DataFrame functions only.
 
-A text is a sequence of words; k-mers of words are numbered by occurrence, so repeats count. Each numbered k-mer is
-hashed once and falls into one of 2 x SKETCHES bins; each bin selects its minimum. A sketch takes the minima of its two
-bins in text order and hashes the ordered pair, so both which k-mers a text has and their order decide: the share of
-equal sketches falls with the edit distance.
+A text is a sequence of words; k-mers of words are numbered by occurrence, so repeats count. Each sketch has a random order
+of its own over all numbered k-mers and takes the two smallest of the whole text, in text order; the ordered pair is
+hashed, so both which k-mers a text has and their order decide: the share of equal sketches falls with the edit distance.
 
-Nulls and texts without words have the empty fingerprint; two of them have likeness 1. A text of fewer than k words is
-one k-mer. Equal texts have equal fingerprints. Positions take 28 bits, more than a string column can hold words.
+A sketch's order puts the k-mers whose hash falls into its bin (one of SKETCHES) first, by that hash, and all the others
+behind, by a hash with the number of the sketch. Each k-mer is equally likely at each place, as with one hash function
+for each sketch, but only sketches with less than two k-mers in their bin (few in texts of more than 400 words) go
+through the whole text.
+
+Nulls and texts without words have the empty fingerprint; two of them have likeness 1. A text of one numbered k-mer has
+no pair; its sketches hash the k-mer alone. A text of fewer than k words is one k-mer. Equal texts have equal fingerprints. Positions take 28 bits, more than a string column can hold words.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,7 +20,8 @@ from varscore.functions.once import evaluate_once, let
 from varscore.llm.common import narrow, shuffle_partitions, written
 
 SKETCHES, POSITION_BITS = 64, 28
-_MASK = (1 << POSITION_BITS) - 1
+_MASK, _BIN_SHIFT = (1 << POSITION_BITS) - 1, 58
+_LOW, _SIGN = (1 << _BIN_SHIFT) - 1, -(1 << 63)
 
 
 def _packed(h: Column, position: Column) -> Column:
@@ -54,21 +59,49 @@ def occurrences(ordered: Column) -> Column:
     return F.when(F.size(ordered) == 0, F.array().cast("array<int>")).otherwise(let(starts, numbered))
 
 
-def sketches(minima: Column) -> Column:
-    """Codes (sketch number and 16 bits of hash) of the sorted bin minima; two bins make a sketch."""
-    number, hash_of = (lambda x: F.shiftright(x, 58)), (lambda x: F.shiftright(x, POSITION_BITS))
+def _bin(x: Column) -> Column:
+    return F.shiftright(x, _BIN_SHIFT)
+
+
+def _placed(x: Column, sketch: Column) -> Column:
+    """A numbered k-mer's place in the order of a sketch, above its position: negative within the bin of the sketch."""
+    inside = x.bitwiseAND(F.lit(_LOW)).bitwiseOR(F.lit(_SIGN))
+    outside = _packed(F.xxhash64(F.shiftright(x, POSITION_BITS), sketch).bitwiseAND(F.lit(~_SIGN)), x.bitwiseAND(F.lit(_MASK)))
+    return F.when(_bin(x) == sketch, inside).otherwise(outside)
+
+
+def _code(sketch: Column, a: Column, b: Column) -> Column:
+    """Sketch number and 16 bits of the hash of two places in text order; `b` is null where the text has one k-mer."""
+    hash_of, position = (lambda x: F.shiftright(x, POSITION_BITS)), (lambda x: x.bitwiseAND(F.lit(_MASK)))
+    pair = F.when(position(a) < position(b), F.xxhash64(hash_of(a), hash_of(b))).otherwise(F.xxhash64(hash_of(b), hash_of(a)))
+    value = F.when(b.isNull(), F.xxhash64(hash_of(a))).otherwise(pair)
+    return F.shiftleft(sketch + SKETCHES // 2, 16).bitwiseOR(value.bitwiseAND(F.lit(0xFFFF))).cast("int")
+
+
+def sketches(numbered: Column) -> Column:
+    """The sorted codes of all sketches, from the sorted numbered k-mers of a text."""
+    every = F.array(*[F.lit(b).cast("long") for b in range(-SKETCHES // 2, SKETCHES // 2)])
+
+    def from_bin(two):  # the two smallest of each bin: a sketch with both is done
+        def code(x, i):
+            after = F.get(two, i + 1)
+            return F.when(_bin(after) == _bin(x), _code(_bin(x), _placed(x, _bin(x)), _placed(after, _bin(x))))
+
+        return F.array_compact(F.transform(two, code))
+
+    def from_text(sketch):
+        def smallest(places):
+            return let(F.array_min(places), lambda a: _code(sketch, a, F.array_min(F.filter(places, lambda p: p != a))))
+
+        return let(F.transform(numbered, lambda x: _placed(x, sketch)), smallest)
 
-    def code(x, i):
-        before, after = F.get(minima, i - 1), F.get(minima, i + 1)
-        position = x.bitwiseAND(F.lit(_MASK))
-        first = position < after.bitwiseAND(F.lit(_MASK))
-        pair = F.when(first, F.xxhash64(hash_of(x), hash_of(after))).otherwise(F.xxhash64(hash_of(after), hash_of(x)))
-        value = F.when(after.isNotNull() & (number(after) == number(x)), pair).otherwise(F.xxhash64(hash_of(x)))
-        taken = (i > 0) & (number(before) == number(x))
-        tagged = F.shiftleft(number(x) + SKETCHES // 2, 16).bitwiseOR(value.bitwiseAND(F.lit(0xFFFF)))
-        return F.when(~taken, tagged.cast("int"))
+    def complete(codes):
+        done = F.transform(codes, lambda c: (F.shiftright(c, 16) - SKETCHES // 2).cast("long"))
+        return F.sort_array(F.concat(codes, F.transform(F.array_except(every, done), from_text)))
 
-    return F.array_compact(F.transform(minima, code))
+    two = F.filter(numbered, lambda x, i: (i < 2) | (_bin(F.get(numbered, i - 2)) != _bin(x)))
+    found = let(let(two, from_bin), complete)
+    return F.when(F.size(numbered) == 0, F.array().cast("array<int>")).otherwise(found)
 
 
 def signature(text: Column, k=2) -> Column:
@@ -80,8 +113,7 @@ def signature(text: Column, k=2) -> Column:
         rehash = lambda v, o: _packed(F.xxhash64(F.shiftright(v, POSITION_BITS), o), v.bitwiseAND(F.lit(_MASK)))
         return F.sort_array(F.zip_with(s, occurrences(s), rehash))
 
-    minima = lambda s: F.filter(s, lambda x, i: _changes(s, 57, i))
-    return let(let(let(ordered, numbered), minima), sketches)
+    return let(let(ordered, numbered), sketches)
 
 
 def fingerprint(codes: Column) -> Column:
