@@ -24,14 +24,15 @@ def drop_near(spark, docs, sf_dir):
 
 
 def mix_sources(spark, docs, sf_dir):
-    """All documents, interleaved by source at tempered weights."""
-    return mixing.mix(docs, shuffle_partitions(docs))
+    """All documents, interleaved by source at tempered weights; `slot` and `row` keep the order in the written table."""
+    return mixing.mix(docs, shuffle_partitions(docs), with_place=True)
 
 
 def tokenise(spark, docs, sf_dir):
-    """The ids of each document, checked by decoding."""
-    found = sentencepieces.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_ids=True)
-    return found.withColumnRenamed("id", "doc_id")
+    """The ids of each document, checked by decoding, in the order of the mix (`slot`, `row`)."""
+    found = sentencepieces.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_ids=True, keep=["slot", "row"])
+    found = written(found.withColumnRenamed("id", "doc_id"), "tokens")  # the range exchange reads its input twice
+    return found.repartitionByRange(shuffle_partitions(docs), "slot", "row").sortWithinPartitions("slot", "row")
 
 
 STAGES = [

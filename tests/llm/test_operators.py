@@ -218,6 +218,21 @@ def test_sentencepiece(docs, texts):
         assert got[i] == (len(ids), zlib.crc32(ids.tobytes()), True)
 
 
+def test_pipeline_keeps_the_mix(spark):
+    """The output of the last stage follows the slots, also where giant documents take another way."""
+    import corpus_pipeline
+    from varscore.llm.common import written
+
+    rows = [(i, "word " * (14_000 if i % 40 == 0 else 5), "en", "ab"[i % 3 == 0], 1) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    placed, names, _ = mixing.placed(docs)
+    expected = [r.doc_id for r in sorted(placed.collect(), key=lambda r: (r[names["slot"]], r[names["row"]]))]
+    mixed = written(corpus_pipeline.mix_sources(spark, docs, ""), "mixing")
+    got = corpus_pipeline.tokenise(spark, mixed, "").collect()
+    assert [r.doc_id for r in got] == expected
+    assert all((a.slot, a.row) < (b.slot, b.row) for a, b in zip(got, got[1:]))
+
+
 def test_order_minhash(docs, texts, empty):
     got = {r.id: r for r in order_minhash.edit_report(docs).collect()}
     for i, t in enumerate(texts):

@@ -152,8 +152,11 @@ def placed(docs: DataFrame, weights=None, source_col="source", id_col="doc_id",
     return rows.drop(group, key, order, "p_source", "p_block"), names, plan
 
 
-def mix(docs: DataFrame, partitions: int, **options) -> DataFrame:
-    """`docs` in mixed order: partition after partition, and within each, rows stand in the order of their slots."""
+def mix(docs: DataFrame, partitions: int, with_place=False, **options) -> DataFrame:
+    """`docs` in mixed order: partition after partition, and within each, rows stand in the order of their slots.
+
+    A table that is written and read again has no order; `with_place` adds the columns `slot` and `row` that give it.
+    """
     rows, names, _ = placed(docs, **options)
     by = [names["slot"], names["row"]]
-    return rows.repartitionByRange(partitions, *by).sortWithinPartitions(*by).select(*[col(c) for c in docs.columns])
+    return rows.repartitionByRange(partitions, *by).sortWithinPartitions(*by).select(*[col(c) for c in docs.columns], *by * with_place)

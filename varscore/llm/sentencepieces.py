@@ -191,12 +191,14 @@ def encode(docs: DataFrame, model: str, id_col="doc_id", text_col="text", giant=
     return ordinary.unionByName(giants.select("id", "key").join(joined, "key").select("id", "ids", "decoded"))
 
 
-def encoded(docs: DataFrame, model: str, id_col="doc_id", text_col="text", keep_ids=False, **options) -> DataFrame:
+def encoded(docs: DataFrame, model: str, id_col="doc_id", text_col="text", keep_ids=False, keep=(), **options) -> DataFrame:
     """Rows (id, n_tokens, ids_crc32, round_trip) and on demand ids: the number of ids, their checksum as little-endian
-    unsigned 32-bit numbers, and whether decoding gives the text back."""
+    unsigned 32-bit numbers, and whether decoding gives the text back. The columns `keep` of `docs` come along."""
     kept = fresh(docs, "own")
-    own = F.struct(col(id_col).alias("id"), F.crc32(F.coalesce(col(text_col), F.lit("")).cast("binary")).alias("crc"))
+    others = [F.struct(*[col(c).alias(c) for c in keep]).alias("keep")] if keep else []
+    own = F.struct(col(id_col).alias("id"), F.crc32(F.coalesce(col(text_col), F.lit("")).cast("binary")).alias("crc"), *others)
     found = encode(docs.withColumn(kept, own), model, kept, text_col, **options)
     same = F.crc32(F.col("decoded").cast("binary")) == F.col("id.crc")
     size = (F.octet_length("ids") / 4).cast("long")
-    return found.select(F.col("id.id").alias("id"), size.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), same.alias("round_trip"), *["ids"] * keep_ids)
+    others = [F.col("id.keep").getField(c).alias(c) for c in keep]
+    return found.select(F.col("id.id").alias("id"), size.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), same.alias("round_trip"), *["ids"] * keep_ids, *others)
