@@ -183,6 +183,16 @@ def test_mixing_exact_weights(spark):
     assert mixing.quantised({"a": 0.5, "b": 0.5, "c": 0}, 64) == {"a": 32, "b": 32, "c": 0}
 
 
+def test_mixing_many_sources(spark):
+    n = 100_001
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("source"))
+    placed, names, _ = mixing.placed(docs)
+    slot = F.col(names["slot"])
+    inside = (F.col(names["release"]) == 0) & (F.col(names["deadline"]) == n)
+    got = placed.agg(F.count("*"), F.countDistinct(slot), F.min(slot), F.max(slot), F.bool_and(inside)).first()
+    assert tuple(got) == (n, n, 0, n - 1, True)
+
+
 def test_token_counts(docs, texts):
     from tokenizers import Tokenizer
 

@@ -12,7 +12,7 @@ those that wait, one of each source at most.
 
 Rows of a source are put in a hash order before they are cut into blocks, source by source without gathering one. A null
 source is a source of its own; rows that repeat are placed one by one; null and empty texts are rows like any other; an
-empty table gives no rows. MOST_SOURCES sources at most.
+empty table gives no rows. The sources stay in Spark tables, whatever their number.
 """
 
 import heapq
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from varscore.llm.common import col, fresh, ranked, small_or_shuffled, written
 
-#: Rows of a block, the largest number of sources, the last deadline, and the blocks of an Arrow batch.
-BLOCK_ROWS, MOST_SOURCES, LATEST, BATCH = 64, 100_000, 1 << 62, 8192
+#: Rows of a block, the last deadline, and the blocks of an Arrow batch.
+BLOCK_ROWS, LATEST, BATCH = 64, 1 << 62, 8192
 
 _PLAN = "p_source string, p_block long, p_weight double, p_release long, p_deadline long"
 _ARROW = [("p_source", pa.string()), ("p_block", pa.int64()), ("p_weight", pa.float64()), ("p_release", pa.int64()), ("p_deadline", pa.int64())]
@@ -139,8 +139,6 @@ def placed(docs: DataFrame, weights=None, source_col="source", id_col="doc_id",
     group, key, order = fresh(docs, "group"), fresh(docs, "key"), fresh(docs, "order")
     rows = docs.withColumn(group, col(source_col).cast("string"))
     counts = written(rows.groupBy(F.col(group).alias("source")).agg(F.count("*").alias("n")), "sources")
-    if counts.count() > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
     plan = planned(counts, weights, block_rows, power)
     rows = rows.withColumn(key, F.xxhash64(F.lit(seed), col(id_col))).withColumn(order, col(id_col))
     rows = ranked(rows, group, [key, order], names["row"])
