@@ -1,8 +1,8 @@
 """Word-frequency divergence of the sources of each language, by single-pass in-memory indexing.
 
-1. A task reads its documents once and counts in memory: per (lang, source) the occurrences of each term, per lang the
-   documents of each term. When the index holds RUN_TERMS entries it is spilled as a run: for every hash shard of the terms
-   the postings in the order of (lang, term), compressed in chunks.
+1. A task reads its documents once and adds the terms of each to a block of postings in memory. When the block holds
+   RUN_TERMS entries it is spilled as a run: for every hash shard of the terms, in the order of (lang, term), the number of
+   documents and the occurrences in each source, compressed in chunks.
 2. The runs of a shard are merged by a heap, chunk by chunk; equal terms come together, their postings are added up, and
    terms in fewer than `min_docs` documents of their language end there. What is left is the table of frequencies.
 3. Smoothed frequencies are whole numbers p = 1 + floor(10^9 (count + a) / (N + a V)). For two sources the sum of |p - q|
@@ -16,7 +16,6 @@ memory. A run has at most one posting per term and source, so that no frequent t
 """
 
 import heapq
-import re
 from collections import Counter
 from itertools import groupby
 from operator import itemgetter
@@ -30,70 +29,106 @@ from pyspark.sql import functions as F
 
 from varscore.llm.common import col, small_or_shuffled, written
 
-#: Entries of the index in memory, postings of a chunk of a run, bytes of text for one hash shard.
-RUN_TERMS, CHUNK, SHARD_BYTES = 600_000, 4096, 64 << 20
+#: Entries of the index in memory (terms of documents), terms of a chunk of a run, bytes of text for one hash shard.
+RUN_TERMS, CHUNK, SHARD_BYTES = 2_000_000, 4096, 16 << 20
 #: Smoothing (added to each count), scale of the frequencies, and documents a term must have.
 ADDED, SCALE, MIN_DOCS = 5, 1_000_000_000, 30
 #: Sources of a block, frequencies of a shard of corrections, and numbers of one difference array.
-SOURCES, FREQUENCIES, CELLS = 512, 400_000, 1 << 22
-_TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
+SOURCES, FREQUENCIES, CELLS = 512, 20_000, 1 << 22
+#: Bytes of terms, A-Z lower-cased; all others separate terms.
+_TABLE = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in bytes(range(256)).lower())
 _RUN = "shard int, run string, chunk int, data binary"
 
 
-def packed(rows: list) -> bytes:
-    """Postings (lang, term, source, count, docs) as one compressed record batch; the source None has the docs."""
-    columns = list(zip(*rows))
-    kinds = [pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-    arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
-    batch = pa.RecordBatch.from_arrays(arrays, names=["lang", "term", "source", "count", "docs"])
+def packed(keys, docs, ends, sources, counts) -> bytes:
+    """A chunk of a run: terms in order, their documents, and their postings, which end at `ends`."""
+    offsets = pa.array(np.append(0, ends), pa.int32())
+    used, codes = np.unique(sources.indices.to_numpy(), return_inverse=True)
+    named = pa.DictionaryArray.from_arrays(pa.array(codes, pa.int32()), sources.dictionary.take(pa.array(used)))
+    columns = [keys, pa.array(docs), pa.ListArray.from_arrays(offsets, named), pa.ListArray.from_arrays(offsets, pa.array(counts))]
+    batch = pa.RecordBatch.from_arrays(columns, names=["key", "docs", "sources", "counts"])
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
         writer.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
 
-def unpacked(data: bytes):
-    with pa.ipc.open_stream(data) as reader:
-        for batch in reader:
-            yield from zip(*[c.to_pylist() for c in batch.columns])
+def distinct(x: np.ndarray, size: int):
+    """The different values of whole numbers below `size`, in order, and the place of each number among them."""
+    if size > 16 * len(x):
+        return np.unique(x, return_inverse=True)
+    seen = np.zeros(size, bool)
+    seen[x] = True
+    return np.flatnonzero(seen), (np.cumsum(seen) - 1)[x]
+
+
+class Chunk:
+    """The postings of a chunk, read one term at a time."""
+
+    def __init__(self, data: bytes):
+        with pa.ipc.open_stream(data) as reader:
+            (batch,) = reader
+        self.keys, self.docs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        sources, counts = batch.column(2), batch.column(3)
+        self.offsets, self.names = sources.offsets.to_numpy(), sources.values.dictionary.to_pylist()
+        self.codes, self.counts = sources.values.indices.to_numpy(), counts.values.to_numpy()
+
+    def add(self, k: int, total: Counter):
+        for at in range(self.offsets[k], self.offsets[k + 1]):
+            total[self.names[self.codes[at]]] += int(self.counts[at])
 
 
 class Index:
-    """Postings in memory, spilled as runs of chunks sorted by term in each shard."""
+    """Postings in memory, spilled as runs of chunks sorted by term in each shard. A term's key is its language, a zero byte
+    (which no term has) and the term."""
 
-    def __init__(self, shards: int, limit: int):
-        self.shards, self.limit, self.counts, self.docs = shards, limit, {}, {}
+    def __init__(self, shards: int):
+        self.shards, self.terms, self.counts, self.groups, self.sizes = shards, [], [], [], []
 
     def add(self, lang: bytes, source: bytes, text: bytes):
-        terms = _TERM.findall(text.lower())
-        self.counts.setdefault((lang, source), Counter()).update(terms)
-        self.docs.setdefault(lang, Counter()).update(set(terms))
-
-    def full(self) -> bool:
-        return sum(map(len, self.counts.values())) + sum(map(len, self.docs.values())) >= self.limit
+        found = Counter(text.translate(_TABLE).split())
+        self.terms += found
+        self.counts += found.values()
+        self.groups.append((lang, source))
+        self.sizes.append(len(found))
 
     def spill(self):
         """(shard, chunk number, data) of one run; the index is empty afterwards."""
-        held = {}
-        shard_of = {t: xxhash.xxh64_intdigest(t) % self.shards for c in self.docs.values() for t in c}
-        for lang, found in self.docs.items():
-            for term, n in found.items():
-                held.setdefault(shard_of[term], []).append((lang, term, b"", 0, n))
-        for (lang, source), found in self.counts.items():
-            for term, n in found.items():
-                held.setdefault(shard_of[term], []).append((lang, term, source, n, 0))
-        self.counts, self.docs = {}, {}
-        for shard in sorted(held):
-            rows = sorted(held.pop(shard))
-            for k, at in enumerate(range(0, len(rows), CHUNK)):
-                yield shard, k, packed(rows[at : at + CHUNK])
+        coded = pa.array(self.terms, pa.binary()).dictionary_encode()
+        doc, counts = np.repeat(np.arange(len(self.sizes)), self.sizes), np.array(self.counts, np.int64)
+        langs, sources = (pa.array([g[k] for g in self.groups], pa.binary()).dictionary_encode() for k in (0, 1))
+        self.terms, self.counts, self.groups, self.sizes = [], [], [], []
+        if not len(doc):
+            return
+        width, lang, source = len(coded.dictionary), langs.indices.to_numpy()[doc].astype(np.int64), sources.indices.to_numpy()[doc]
+        pairs, where = distinct(lang * width + coded.indices.to_numpy(), len(langs.dictionary) * width)
+        names, words = langs.dictionary.to_pylist(), coded.dictionary.to_pylist()
+        keys = [names[p // width] + b"\0" + words[p % width] for p in pairs.tolist()]
+        shard = np.fromiter((xxhash.xxh3_64_intdigest(k) % self.shards for k in keys), np.int64, len(keys))
+        order = np.array(sorted(range(len(keys)), key=keys.__getitem__))
+        order = order[np.argsort(shard[order], kind="stable")]  # by shard, then by key
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        docs = np.bincount(place[where], minlength=len(order))  # a document has one entry for each of its terms
+        postings, at = distinct(place[where] * len(sources.dictionary) + source, len(order) * len(sources.dictionary))
+        counts = np.bincount(at, counts).astype(np.int64)
+        owner, source = postings // len(sources.dictionary), (postings % len(sources.dictionary)).astype(np.int32)
+        keys, shard = pa.array(keys, pa.binary()).take(pa.array(order)), shard[order]
+        cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+        for a, b in zip(cuts, cuts[1:]):
+            for k, first in enumerate(range(a, b, CHUNK)):
+                last = min(b, first + CHUNK)
+                start, end = np.searchsorted(owner, [first, last])
+                ends = np.searchsorted(owner, np.arange(first + 1, last + 1)) - start
+                named = pa.DictionaryArray.from_arrays(pa.array(source[start:end]), sources.dictionary)
+                yield int(shard[a]), k, packed(keys[first:last], docs[first:last], ends, named, counts[start:end])
 
 
 def indexed(docs: DataFrame, shards: int, run_terms=RUN_TERMS) -> DataFrame:
     """Runs of postings (shard, run, chunk, data) of rows (lang, source, text)."""
 
     def run(batches):
-        index, part, number = Index(shards, run_terms), TaskContext.get().partitionId(), 0
+        index, part, number = Index(shards), TaskContext.get().partitionId(), 0
 
         def spilled():
             for shard, k, data in index.spill():
@@ -103,12 +138,9 @@ def indexed(docs: DataFrame, shards: int, run_terms=RUN_TERMS) -> DataFrame:
         for batch in batches:
             for lang, source, text in zip(*[c.cast(pa.binary()).to_pylist() for c in batch.columns]):
                 index.add(lang, source, text)
-                if len(text) > 1 << 20 and index.full():
+                if len(index.terms) >= run_terms:
                     yield from spilled()
                     number += 1
-            if index.full():
-                yield from spilled()
-                number += 1
         yield from spilled()
 
     return docs.select("lang", "source", "text").mapInArrow(run, _RUN)
@@ -118,20 +150,25 @@ def merged(runs: DataFrame, min_docs=MIN_DOCS) -> DataFrame:
     """Frequencies (lang, term, source, n) of the terms in at least `min_docs` documents of their language."""
     names = ["lang", "term", "source", "n"]
 
+    def stream(number, way):
+        for _, data in sorted(way):
+            chunk = Chunk(data)
+            for k, (key, docs) in enumerate(zip(chunk.keys, chunk.docs)):
+                yield key, number, docs, chunk, k
+
     def merge(table):
         ways = {}
         for run, chunk, data in zip(*[table.column(c).to_pylist() for c in ("run", "chunk", "data")]):
             ways.setdefault(run, []).append((chunk, data))
-        streams = [(row for _, data in sorted(way) for row in unpacked(data)) for way in ways.values()]
         out = []
-        for (lang, term), rows in groupby(heapq.merge(*streams), key=itemgetter(0, 1)):
-            docs, counts = 0, Counter()
-            for _, _, source, n, d in rows:
-                docs += d
-                if n:
-                    counts[source] += n
-            if docs >= min_docs:
-                out += [(lang, term, source, n) for source, n in counts.items()]
+        for key, rows in groupby(heapq.merge(*[stream(i, way) for i, way in enumerate(ways.values())]), key=itemgetter(0)):
+            rows = list(rows)  # one of each run at most
+            if sum(row[2] for row in rows) >= min_docs:
+                total = Counter()
+                for row in rows:
+                    row[3].add(row[4], total)
+                lang, _, term = key.rpartition(b"\0")
+                out += [(lang, term, source, n) for source, n in total.items()]
         columns = list(zip(*out)) or [[]] * 4
         kinds = [pa.binary(), pa.binary(), pa.binary(), pa.int64()]
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
