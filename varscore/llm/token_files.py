@@ -162,11 +162,23 @@ class Encoder:
         return out
 
 
+_ENCODERS: dict = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The encoder of a tokenizer file, made once in a worker process: the tokens of frequent words stay known from task to
+    task. Only the last path is kept."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col="doc_id", text_col="text", kind="byte", end=END) -> None:
     """Encode and store the documents at `path`, a folder that all executors reach."""
 
     def run(batches):
-        encoder, place = Encoder(tokenizer), {"chunk": 0, "first": 0}
+        encoder, place = encoder_of(tokenizer), {"chunk": 0, "first": 0}
         file, held, ids, lengths, size = TaskContext.get().partitionId(), [], [], [], 0
 
         def close():
