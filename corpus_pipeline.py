@@ -24,14 +24,17 @@ def drop_near(spark, docs, sf_dir):
 
 
 def mix_sources(spark, docs, sf_dir):
-    """All documents, interleaved by source at tempered weights; `slot` and `row` keep the order in the written table."""
+    """All documents, interleaved by source at tempered weights; two more columns, the last, keep the order in the written
+    table, whatever the names of the others."""
     return mixing.mix(docs, shuffle_partitions(docs), with_place=True)
 
 
 def tokenise(spark, docs, sf_dir):
-    """The ids of each document, checked by decoding, in the order of the mix (`slot`, `row`)."""
-    found = sentencepieces.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_ids=True, keep=["slot", "row"])
-    found = written(found.withColumnRenamed("id", "doc_id"), "tokens")  # the range exchange reads its input twice
+    """The ids of each document, checked by decoding, in the order of the mix (`slot`, `row`: its last two columns)."""
+    place = docs.columns[-2:]
+    found = sentencepieces.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_ids=True, keep=place)
+    found = found.withColumnsRenamed({"id": "doc_id", place[0]: "slot", place[1]: "row"})
+    found = written(found, "tokens")  # the range exchange reads its input twice
     return found.repartitionByRange(shuffle_partitions(docs), "slot", "row").sortWithinPartitions("slot", "row")
 
 

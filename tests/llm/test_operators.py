@@ -76,6 +76,22 @@ def test_near_duplicates_keep_columns(docs, texts):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.select("doc_id").collect()} == expected
 
 
+def test_near_duplicates_go_by_id_and_text(spark):
+    """Null and repeated ids, and columns with the names that the operators use themselves."""
+    line = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, line), (2, line + " end"), (2, other), (None, "start " + line), (None, other + " end"), (None, "alone here"), (None, None), (7, "")]
+    names = "own string, d_id string, d_tie string, d_hash string, sha string, key string"
+    docs = spark.createDataFrame([(*r, *"uvwxyz") for r in rows], f"doc_id long, text string, {names}")
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(1, line), (2, other), (None, "alone here"), (7, "")], key=repr)
+    found = {(r.id, r.component_id) for r in simhash.similar_classes(docs).collect()}
+    assert found == {(1, 1), (2, 1), (None, 1), (2, 2), (None, 2), (None, None), (None, 7), (7, 7)}
+    assert exact_dedup.drop_duplicates(docs.unionByName(docs)).count() == len(rows) - 1  # null and empty are equal
+    assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("parts", [1, 2, 4])
 def test_cells_meet_whatever_the_parts(parts):
     rnd = random.Random(parts)
@@ -157,11 +173,29 @@ def test_mixing(docs, empty):
     mixed = mixing.mix(docs, 4)
     assert mixed.columns == docs.columns and mixed.count() == docs.count()
     assert mixing.mix(empty, 4).count() == 0
-    blocks = mixing.quantised({"a": 0.61, "b": 0.3, "c": 0.09}, 64)
-    done = dict.fromkeys(blocks, 0)
-    for s, _, _, _, slot in sorted(mixing.schedule(blocks), key=lambda x: x[4]):
-        done[s] += 1
-        assert all(abs(done[x] - blocks[x] / 64 * (slot + 1)) < 1 for x in blocks)
+
+
+def test_mixing_against_a_plain_schedule(spark):
+    """Slot by slot, the released block with the earliest deadline runs, ties by source; no source is a block from its target."""
+    from fractions import Fraction
+
+    weights, count = {"a": Fraction(61, 100), "b": Fraction(3, 10), "c": Fraction(9, 100)}, {"a": 40, "b": 31, "c": 12}
+    rows = [(i, s) for i, s in enumerate(s for s, n in count.items() for _ in range(n))]
+    found, names, _ = mixing.placed(spark.createDataFrame(rows, "doc_id long, source string"), weights=weights, block_rows=1)
+    windows = [(s, i, i / w // 1, -(-(i + 1) / w // 1)) for s, w in weights.items() for i in range(count[s])]
+    expected, slot = {}, 0
+    while windows:
+        ready = [(deadline, s, i, release) for s, i, release, deadline in windows if release <= slot]
+        if ready:
+            deadline, s, i, release = min(ready)
+            expected[s, i] = slot
+            windows.remove((s, i, release, deadline))
+        slot += 1
+    assert {(r.source, r[names["block"]]): r[names["slot"]] for r in found.collect()} == expected
+    until = max(slot for (s, _), slot in expected.items() if s == "a")  # no source has run out before
+    for at in range(until):
+        done = {s: sum(1 for (t, _), k in expected.items() if t == s and k <= at) for s in weights}
+        assert all(done[s] == count[s] or abs(done[s] - w * (at + 1)) < 1 for s, w in weights.items())
 
 
 def test_mixing_exact_weights(spark):
@@ -180,7 +214,6 @@ def test_mixing_exact_weights(spark):
         assert r[names["weight"]] == float(w)
         assert (r[names["release"]], r[names["deadline"]]) == (i / w // 1, -(-(i + 1) / w // 1))
         assert r[names["release"]] <= r[names["slot"]] < r[names["deadline"]]
-    assert mixing.quantised({"a": 0.5, "b": 0.5, "c": 0}, 64) == {"a": 32, "b": 32, "c": 0}
 
 
 def test_mixing_many_sources(spark):
@@ -243,6 +276,30 @@ def test_pipeline_keeps_the_mix(spark):
     assert all((a.slot, a.row) < (b.slot, b.row) for a, b in zip(got, got[1:]))
 
 
+def test_pipeline_with_clashing_names(spark, tmp_path):
+    """All five stages on rows with null and repeated ids and columns that the operators use themselves, and on no rows."""
+    import corpus_pipeline
+    from varscore.llm.common import written
+
+    names = ["slot", "row", "block", "weight", "p_source", "p_block", "g", "c", "cell", "d_id", "d_hash", "sha", "key", "own", "group", "order"]
+    rnd = random.Random(8)
+    rows = [(i, " ".join(rnd.choice(["the", "quiet", "river", "runs", "slowly", "on", f"n{i}"]) for _ in range(60)), "en", "ab"[i % 3 == 0], 1) for i in range(150)]
+    rows += [(None, rows[3][1], "en", "a", 1), (4, rows[5][1] + " end", "en", None, 1), (4, rows[4][1], "en", "b", 1), (None, "", None, None, None)]
+    docs = spark.createDataFrame([(*r, *(str(900 - k) for _ in names)) for k, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    labels = [(i, int(i % 2 == 0), 0) for i in range(150)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for table, least in ((docs, 30), (docs.limit(0), 0)):
+        step = table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            step = written(stage(spark, step, str(tmp_path)), name)
+            assert step.columns[: len(docs.columns)] == docs.columns
+        out = corpus_pipeline.STAGES[-1][1](spark, step, str(tmp_path)).collect()
+        assert len(out) == step.count() >= least
+        assert [(r.slot, r.row) for r in out] == sorted((r.slot, r.row) for r in out)
+        place = {tuple(r[-2:]): r.doc_id for r in step.collect()}
+        assert all(place[r.slot, r.row] == r.doc_id for r in out)
+
+
 def test_order_minhash(docs, texts, empty):
     got = {r.id: r for r in order_minhash.edit_report(docs).collect()}
     for i, t in enumerate(texts):

@@ -1,6 +1,5 @@
 """Helpers shared by the operators of this subpackage: names, written tables, ranks, components, word caches."""
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,15 +51,15 @@ def ranked(df: DataFrame, group: str, order: list, rank: str, cell_bits=10) -> D
     A group is cut into 2^cell_bits ranges of the hash. Cells are ranked on their own, and the counts of the cells
     before (one row per cell) are added, so no group is ever ordered in one task. Ties get any order among themselves.
     """
-    cell, before, n = fresh(df, "cell"), fresh(df, "before"), fresh(df, "n")
+    cell, before, n, g, c = (fresh(df, name) for name in ("cell", "before", "n", "g", "c"))
     df = df.withColumn(cell, F.shiftright(F.col(order[0]), 64 - cell_bits))
     counts = df.groupBy(group, cell).agg(F.count("*").alias(n))
     w = Window.partitionBy(group).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(F.col(group).alias("g_"), F.col(cell).alias("c_"), F.coalesce(F.sum(n).over(w), F.lit(0)).alias(before))
+    counts = counts.select(F.col(group).alias(g), F.col(cell).alias(c), F.coalesce(F.sum(n).over(w), F.lit(0)).alias(before))
     counts = small_or_shuffled(counts)
     local = df.withColumn(rank, F.row_number().over(Window.partitionBy(group, cell).orderBy(*order)) - 1)
-    joined = local.join(counts, F.col(group).eqNullSafe(F.col("g_")) & (F.col(cell) == F.col("c_")))
-    return joined.withColumn(rank, (F.col(rank) + F.col(before)).cast("long")).drop(cell, before, "g_", "c_")
+    joined = local.join(counts, F.col(group).eqNullSafe(F.col(g)) & (F.col(cell) == F.col(c)))
+    return joined.withColumn(rank, (F.col(rank) + F.col(before)).cast("long")).drop(cell, before, g, c)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -126,7 +125,3 @@ def pieces_by_bytes(sizes, limit):
         total += size
     if start < len(sizes):
         yield start, len(sizes)
-
-
-def popcounts(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)

@@ -65,12 +65,12 @@ def drop_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
     """
     found = duplicate_classes(docs, id_col, text_col).where("full_hash is not null")
     found = written(found.groupBy("id", "full_hash").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "decisions")
-    sha, key = fresh(docs, "sha"), fresh(docs, "key")
+    sha, key, d_id, d_hash = (fresh(docs, name) for name in ("sha", "key", "d_id", "d_hash"))
     marked = docs.withColumn(sha, text_sha256(col(text_col).cast("string"))).withColumn(key, col(id_col))
-    dropped = found.where("not kept").select(F.col("id").alias("d_id"), F.col("full_hash").alias("d_hash"))
-    left = marked.join(small_or_shuffled(dropped), F.col(key).eqNullSafe(F.col("d_id")) & (F.col(sha) == F.col("d_hash")), "left_anti")
-    repeated = written(found.where("kept and n > 1").select(F.col("id").alias("d_id"), F.col("full_hash").alias("d_hash")), "repeated")
-    match = F.col(key).eqNullSafe(F.col("d_id")) & (F.col(sha) == F.col("d_hash"))
+    match = F.col(key).eqNullSafe(F.col(d_id)) & (F.col(sha) == F.col(d_hash))
+    dropped = found.where("not kept").select(F.col("id").alias(d_id), F.col("full_hash").alias(d_hash))
+    left = marked.join(small_or_shuffled(dropped), match, "left_anti")
+    repeated = written(found.where("kept and n > 1").select(F.col("id").alias(d_id), F.col("full_hash").alias(d_hash)), "repeated")
     repeated = small_or_shuffled(repeated)
     once = left.join(repeated, match, "left_semi").dropDuplicates([key, sha])
     return left.join(repeated, match, "left_anti").unionByName(once).select(*[col(c) for c in docs.columns])

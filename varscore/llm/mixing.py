@@ -41,17 +41,6 @@ def exact(weight) -> Fraction:
     return found
 
 
-def quantised(weights: dict, period: int) -> dict:
-    """Blocks of each source in a period of so many: largest remainders, summing to the period."""
-    total = sum(map(exact, weights.values()))
-    shares = {s: exact(w) / total * period for s, w in weights.items()}
-    out = {s: int(x) for s, x in shares.items()}
-    by_rest = sorted(shares, key=lambda s: (-(shares[s] - int(shares[s])), s is not None, str(s)))
-    for s in by_rest[: period - sum(out.values())]:
-        out[s] += 1
-    return out
-
-
 def earliest_deadline(blocks):
     """(slot, block) of blocks (deadline, ..., release) that come by ascending release; those without one come last."""
     ready, slot = [], 0
@@ -77,14 +66,6 @@ def window(share: Fraction, i: int) -> tuple:
     return (i * share.denominator // share.numerator, deadline) if deadline <= LATEST else (None, None)
 
 
-def schedule(blocks: dict) -> list:
-    """One period as rows (source, index, release, deadline, slot); `blocks` sums to the number of slots."""
-    period, order = sum(blocks.values()), sorted(blocks, key=lambda s: (s is not None, str(s)))
-    windows = [(rank, i, *window(Fraction(blocks[s], period), i)) for rank, s in enumerate(order) for i in range(blocks[s])]
-    placed = earliest_deadline(sorted(((d, rank, i, r) for rank, i, r, d in windows), key=lambda b: b[-1]))
-    return [(order[rank], i, r, d, slot) for slot, (d, rank, i, r) in placed]
-
-
 def tempered(counts: dict, power=0.5) -> dict:
     """Target weights in proportion to a power of the counts: below 1, small sources gain."""
     return {s: float(n) ** power for s, n in counts.items()}
@@ -143,17 +124,18 @@ def placed(docs: DataFrame, weights=None, source_col="source", id_col="doc_id",
     rows = rows.withColumn(key, F.xxhash64(F.lit(seed), col(id_col))).withColumn(order, col(id_col))
     rows = ranked(rows, group, [key, order], names["row"])
     rows = rows.withColumn(names["block"], F.floor(F.col(names["row"]) / block_rows))
-    match = F.col(group).eqNullSafe(F.col("p_source")) & (F.col(names["block"]) == F.col("p_block"))
-    rows = rows.join(small_or_shuffled(plan), match)
-    for name in ("weight", "release", "deadline", "slot"):
-        rows = rows.withColumnRenamed(f"p_{name}", names[name])
-    return rows.drop(group, key, order, "p_source", "p_block"), names, plan
+    source, block = fresh(rows, "p_source"), fresh(rows, "p_block")
+    given = ("weight", "release", "deadline", "slot")
+    near = small_or_shuffled(plan).select(F.col("p_source").alias(source), F.col("p_block").alias(block), *[F.col(f"p_{n}").alias(names[n]) for n in given])
+    rows = rows.join(near, F.col(group).eqNullSafe(F.col(source)) & (F.col(names["block"]) == F.col(block)))
+    return rows.drop(group, key, order, source, block), names, plan
 
 
 def mix(docs: DataFrame, partitions: int, with_place=False, **options) -> DataFrame:
     """`docs` in mixed order: partition after partition, and within each, rows stand in the order of their slots.
 
-    A table that is written and read again has no order; `with_place` adds the columns `slot` and `row` that give it.
+    A table that is written and read again has no order; `with_place` adds two last columns that give it, `slot` and `row`,
+    whose names are lengthened where `docs` has them.
     """
     rows, names, _ = placed(docs, **options)
     by = [names["slot"], names["row"]]

@@ -76,6 +76,12 @@ def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", words=3, bit
 
     `distinct` counts each different shingle once. `bits` is a multiple of 64.
     """
+    work = narrow(docs, id_col, text_col)
+    return _prints(work, words, bits, distinct)
+
+
+def _prints(work: DataFrame, words, bits, distinct) -> DataFrame:
+    """Fingerprints of rows (id, text)."""
 
     def run(batches):
         for batch in batches:
@@ -87,7 +93,6 @@ def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", words=3, bit
                 sizes.append(len(h))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.string()), pa.array(sizes, pa.int64())], names=["id", "fp", "size"])
 
-    work = narrow(docs, id_col, text_col)
     return work.mapInArrow(run, f"id {work.schema['id'].dataType.simpleString()}, fp string, size long")
 
 
@@ -326,17 +331,29 @@ def groups_of(i, j, n):
     return [g.tolist() for g in np.split(order, cuts) if len(g) > 1]
 
 
+def keyed(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+    """Rows (id, text) whose `id` is a struct (no_id, id, tie, tie2): the order of documents, and all that tells two apart
+    where ids are missing or repeat. The ties are hashes of the text."""
+    rows = narrow(docs, id_col, text_col)
+    text = F.coalesce("text", F.lit(""))
+    own = F.struct(F.col("id").isNull().alias("no_id"), "id", F.xxhash64(text).alias("tie"), F.xxhash64(F.lit(1), text).alias("tie2"))
+    return rows.select(own.alias("id"), "text")
+
+
 def similar_classes(docs: DataFrame, id_col="doc_id", text_col="text", words=5, threshold=0.8, bits=256, radius=76) -> DataFrame:
-    """One row per document: id and component_id over links of a Jaccard similarity of `threshold` or more.
+    """One row per document: id, component_id and `key`, `first`, over links of a Jaccard similarity of `threshold` or more.
+
+    A document is an id with a text: rows without an id take part, and different texts under one id are different documents.
+    `key` is the struct of `keyed` for the row, `first` that of the document its class keeps; component_id is the id in it.
 
     SimHash over the set of shingles finds the candidates: at similarity 0.8 two 256-bit fingerprints differ in 39 bits
     on average with a deviation of 5.7 (48 and 6.2 for sets of four and five), unrelated ones in 128 with 8. A radius of
     76 is more than four deviations from each. The exact similarity decides. Only documents with a candidate bring their
-    shingle sets,
-    once per tile pair in which they have one.
+    shingle sets, once per tile pair in which they have one. Texts with one 256-bit fingerprint are taken for one set.
     """
     n_words = bits // 64
-    prints = written(fingerprints(docs, id_col, text_col, words, bits, distinct=True), "fingerprints")
+    rows = keyed(docs, id_col, text_col)
+    prints = written(_prints(rows, words, bits, distinct=True), "fingerprints")
     nodes = written(prints.groupBy("fp").agg(F.min("id").alias("first"), F.max("size").alias("size")), "nodes")
 
     def candidates(batches):
@@ -350,14 +367,17 @@ def similar_classes(docs: DataFrame, id_col="doc_id", text_col="text", words=5,
 
     pairs = tile_pairs(nodes, radius, parts_for(nodes.count(), bits, radius), threshold, WIDE_TILE)
     found = written(pairs.mapInArrow(candidates, "pair string, fp string"), "candidates")
-    wanted = written(found.select("fp").distinct().join(nodes.select("fp", F.col("first").alias("id")), "fp").where("id is not null"), "wanted")
+    wanted = written(found.select("fp").distinct().join(nodes.select("fp", F.col("first").alias("id")), "fp").select("fp", "id"), "wanted")
 
     def sets(batches):
         for batch in batches:
             out = [np.unique(shingle_hashes(data, words)).astype("<u8").tobytes() for data in texts_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["fp", "shingles"])
 
-    picked = narrow(docs, id_col, text_col).join(small_or_shuffled(wanted), "id").select("fp", "text")
+    ties = [F.col(f"id.{c}").alias(c) for c in ("tie", "tie2")]
+    near = small_or_shuffled(wanted.select("fp", F.col("id.id").alias("w_id"), *[t.alias(f"w_{n}") for n, t in zip(("tie", "tie2"), ties)]))
+    same = F.col("id.id").eqNullSafe(F.col("w_id")) & (F.col("id.tie") == F.col("w_tie")) & (F.col("id.tie2") == F.col("w_tie2"))
+    picked = rows.join(near, same).select("fp", "text")
     shingles = written(picked.mapInArrow(sets, "fp string, shingles binary").groupBy("fp").agg(F.max("shingles").alias("shingles")), "sets")
 
     def verify(table):
@@ -371,16 +391,19 @@ def similar_classes(docs: DataFrame, id_col="doc_id", text_col="text", words=5,
     linked = found.join(shingles, "fp").groupBy("pair").applyInArrow(verify, "a string, b string")
     roots = written(components(linked), "roots")
     named = written(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "named")
-    smallest = written(named.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
-    owner = written(named.join(smallest, "root").select("fp", "component_id"), "owner")
-    return prints.join(owner, "fp").select("id", "component_id")
+    smallest = written(named.groupBy("root").agg(F.min("first").alias("first")), "smallest")
+    owner = written(named.drop("first").join(smallest, "root").select("fp", "first"), "owner")
+    return prints.join(owner, "fp").select("id.id", F.col("first.id").alias("component_id"), F.col("id").alias("key"), "first")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:
-    """`docs` with one document of each class, the one with the smallest id; its columns are unchanged.
-
-    Rows without an id cannot be named as copies and stay.
-    """
-    found = similar_classes(docs, id_col, text_col, **options)
-    dropped = written(found.where("id <> component_id").select(F.col("id").alias(fresh(docs, "dropped_id"))).distinct(), "dropped")
-    return docs.join(small_or_shuffled(dropped), col(id_col) == F.col(dropped.columns[0]), "left_anti")
+    """`docs` with one document of each class, the one with the smallest id (null ids last, then by a hash of the text); its
+    columns are unchanged. Rows go by id and text, so another text under the same id is not affected; rows that repeat both
+    are one document and stay or go together."""
+    found = similar_classes(docs, id_col, text_col, **options).where("key <> first")
+    names = {n: fresh(docs, n) for n in ("own", "d_id", "d_tie", "d_tie2")}
+    dropped = found.select("key.id", "key.tie", "key.tie2").distinct().toDF(names["d_id"], names["d_tie"], names["d_tie2"])
+    text = F.coalesce(col(text_col).cast("string"), F.lit(""))
+    same = col(id_col).eqNullSafe(F.col(names["d_id"]))
+    same &= (F.xxhash64(text) == F.col(names["d_tie"])) & (F.xxhash64(F.lit(1), text) == F.col(names["d_tie2"]))
+    return docs.join(small_or_shuffled(written(dropped, "dropped")), same, "left_anti")
