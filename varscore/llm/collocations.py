@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from varscore.llm.common import col, small_or_shuffled, written
+from varscore.llm.common import col, small_or_shuffled, values_of, written
 
 #: Bytes of text of a row of R1, bytes held by a task over all languages, and bits of a bitmap at most.
 ROW_BYTES, HELD_BYTES, BITS = 2 << 20, 16 << 20, 1 << 27
@@ -59,7 +59,7 @@ def slices(data: bytes, context: int, limit: int):
 def relation_row(lang, data: bytes, own):
     """A row of R1 from translated text."""
     tokens = pc.split_pattern(pa.array([data.replace(b"\n", b" \n ")], pa.large_binary()), pattern=b" ").flatten().dictionary_encode()
-    codes, known = tokens.indices.to_numpy(), tokens.dictionary.to_pylist()
+    codes, known = tokens.indices.to_numpy(), values_of(tokens.dictionary)
     word = np.array([w not in (b"", b"\n") for w in known], bool)
     ends = np.array([w == b"\n" for w in known], bool)
     if not word.any():
@@ -137,7 +137,7 @@ class Level:
 
     def hashes(self) -> np.ndarray:
         seed = xxhash.xxh3_64_intdigest(self.lang.encode())
-        each = np.array([xxhash.xxh3_64_intdigest(w, seed) for w in self.vocabulary.cast(pa.binary()).to_pylist()], np.uint64)
+        each = np.array([xxhash.xxh3_64_intdigest(w, seed) for w in values_of(self.vocabulary.cast(pa.binary()))], np.uint64)
         h = each[self.words[:, 0]]
         for j in range(1, self.k):
             h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + each[self.words[:, j]]

@@ -89,6 +89,11 @@ def texts_of(column: pa.Array) -> list:
     return [b if b is not None else b"" for b in column.cast(pa.binary()).to_pylist()]
 
 
+def values_of(column: pa.Array) -> list:
+    """The bytes of each value of a binary Arrow array without nulls; much faster than `to_pylist`."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 class WordCache:
     """Values of words, kept in two generations: when the young one is full it becomes the old one.
 

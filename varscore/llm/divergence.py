@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from varscore.llm.common import col, small_or_shuffled, written
+from varscore.llm.common import col, small_or_shuffled, values_of, written
 
 #: Entries of the index in memory (terms of documents), terms of a chunk of a run, bytes of text for one hash shard.
 RUN_TERMS, CHUNK, SHARD_BYTES = 2_000_000, 4096, 16 << 20
@@ -68,7 +68,7 @@ class Chunk:
     def __init__(self, data: bytes):
         with pa.ipc.open_stream(data) as reader:
             (batch,) = reader
-        self.keys, self.docs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        self.keys, self.docs = values_of(batch.column(0)), batch.column(1).to_numpy().tolist()
         sources, counts = batch.column(2), batch.column(3)
         self.offsets, self.names = sources.offsets.to_numpy(), sources.values.dictionary.to_pylist()
         self.codes, self.counts = sources.values.indices.to_numpy(), counts.values.to_numpy()
@@ -102,7 +102,7 @@ class Index:
             return
         width, lang, source = len(coded.dictionary), langs.indices.to_numpy()[doc].astype(np.int64), sources.indices.to_numpy()[doc]
         pairs, where = distinct(lang * width + coded.indices.to_numpy(), len(langs.dictionary) * width)
-        names, words = langs.dictionary.to_pylist(), coded.dictionary.to_pylist()
+        names, words = values_of(langs.dictionary), values_of(coded.dictionary)
         keys = [names[p // width] + b"\0" + words[p % width] for p in pairs.tolist()]
         shard = np.fromiter((xxhash.xxh3_64_intdigest(k) % self.shards for k in keys), np.int64, len(keys))
         order = np.array(sorted(range(len(keys)), key=keys.__getitem__))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from varscore.llm.common import WordCache, pieces_by_bytes
+from varscore.llm.common import WordCache, pieces_by_bytes, values_of
 
 #: Bytes of an encoded batch, and of the texts whose parts are looked up together; parts longer than LONG are split further
 #: and not kept in the cache.
@@ -45,7 +45,7 @@ class Counter:
             parts = [t.split() for t in texts[a:b]]
             sizes = np.fromiter(map(len, parts), np.int64, len(parts))
             coded = pa.array([p for own in parts for p in own], pa.large_binary()).dictionary_encode()
-            different = coded.dictionary.to_pylist()
+            different = values_of(coded.dictionary)
             long = [i for i, p in enumerate(different) if len(p) > LONG]
             values = np.array(self.cache.values([p if len(p) <= LONG else b"" for p in different]), np.int64)
             cut = [_WITHIN.split(different[i]) for i in long]

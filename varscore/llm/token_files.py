@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varscore.llm.common import WordCache, narrow, pieces_by_bytes, shuffle_partitions, texts_of
+from varscore.llm.common import WordCache, narrow, pieces_by_bytes, shuffle_partitions, texts_of, values_of
 from varscore.runtime import scratch_path
 
 #: Ids of a block, ids at which a chunk is closed, and the id that ends a document.
@@ -34,6 +34,9 @@ BATCH_BYTES, LONG = 4 << 20, 256
 SCHEMA = "file int, chunk int, first long, n_ids long, doc_ids array<long>, doc_lengths array<long>, index binary, planes binary"
 _RUNS = [c + b" " for c in (b" ", b"\t", b"\n", b"\r", b"\x0b", b"\x0c")]
 _BEYOND = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80", b"\x1c", b"\x1d", b"\x1e", b"\x1f"]
+#: In front of a line end that stands between two words, where the tokenizer's pattern splits on both sides of it.
+_LINE = b"\x00\n"
+_LINE_RUNS = [x for c in (b" ", b"\t", b"\n", b"\r", b"\x0b", b"\x0c") for x in (c + b"\n", b"\n" + c)]
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
 _ODD_SPACE = re.compile(r"[^\S \t\n\r\x0b\x0c]")
 _PIECES = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
@@ -73,8 +76,8 @@ class Encoder:
     """Ids of a text under a byte-level tokenizer, from its parts between spaces.
 
     The tokenizer's pattern splits before a run of white space and before a space in front of a word, so texts are cut
-    there, and the ids of the parts, kept in a bounded cache, are the ids of the text. Texts with white space beyond
-    ASCII are encoded in one piece. A part under the key b" " + part stands without its leading space.
+    there, and at line ends between words; the ids of the parts, kept in a bounded cache, are the ids of the text. Texts
+    with a zero byte or white space beyond ASCII are encoded in one piece. A part under the key b" " + part stands without its leading space.
     """
 
     def __init__(self, path):
@@ -86,30 +89,34 @@ class Encoder:
         for token, i in self.tokenizer.get_vocab().items():
             led[i] = token.startswith("Ġ")
         self.led, self.cache = led, WordCache(self.fetch, CACHE)
+        self.line = np.arange(len(led)) == self.tokenizer.token_to_id("Ċ")
 
     def ids(self, texts: list) -> list:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def fetch(self, keys: list) -> list:
-        """Ids of space-led words are read off one text per batch, split where tokens begin with a space."""
+        """Ids of space-led words are read off one text per batch, split where tokens begin with a space; those of words at
+        the start of a line likewise, split at the line ends."""
         out = dict.fromkeys(keys)
-        plain = [k for k in keys if k and k[0] > 32]
-        for at in range(0, len(plain), 512):
-            part = plain[at : at + 512]
-            (found,) = self.tokenizer.encode_batch_fast([(b" " + b" ".join(part)).decode()], add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            cuts = np.flatnonzero(self.led[ids])
-            if len(cuts) == len(part) and cuts[0] == 0:
-                packed, ends = ids.tobytes(), [*(4 * cuts[1:]).tolist(), 4 * len(ids)]
-                out.update(zip(part, (packed[a:b] for a, b in zip([0, *ends], ends))))
+        plain, lines = [k for k in keys if k and k[0] > 32], [k for k in keys if k[:2] == _LINE]
+        for some, lead, begins in ((plain, b" ", self.led), (lines, b"", self.line)):
+            for at in range(0, len(some), 512):
+                part = some[at : at + 512]
+                text = (lead + lead.join(part)).replace(_LINE, b"\n").decode()
+                (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+                ids = np.array(found.ids, "<u4")
+                cuts = np.flatnonzero(begins[ids])
+                if len(cuts) == len(part) and cuts[0] == 0:
+                    packed, ends = ids.tobytes(), [*(4 * cuts[1:]).tolist(), 4 * len(ids)]
+                    out.update(zip(part, (packed[a:b] for a, b in zip([0, *ends], ends))))
         rest = [k for k in keys if out[k] is None]
-        out.update(zip(rest, self.ids([k.decode()[1:] if k[:1] == b" " else " " + k.decode() for k in rest])))
+        out.update(zip(rest, self.ids([k.decode()[1:] if k[:1] == b" " or k[:2] == _LINE else " " + k.decode() for k in rest])))
         return [out[k] for k in keys]
 
     def encode(self, data: bytes) -> bytes:
         if not data:
             return b""
-        if any(x in data for x in _BEYOND) and _ODD_SPACE.search(data.decode()):
+        if b"\x00" in data or any(x in data for x in _BEYOND) and _ODD_SPACE.search(data.decode()):
             return self.ids([data.decode()])[0]
         if any(x in data for x in _RUNS) and _UNSAFE.search(data.decode()):
             return b"".join(self.ids(_PIECES.findall(data.decode())))
@@ -125,7 +132,7 @@ class Encoder:
 
     def splits(self, data: bytes) -> bool:
         """Whether every space of the text is a safe boundary."""
-        if any(x in data for x in _BEYOND) and _ODD_SPACE.search(data.decode()):
+        if b"\x00" in data or any(x in data for x in _BEYOND) and _ODD_SPACE.search(data.decode()):
             return False
         return bool(data) and not (any(x in data for x in _RUNS) and _UNSAFE.search(data.decode()))
 
@@ -136,12 +143,17 @@ class Encoder:
         plain = [i for i, t in enumerate(texts) if self.splits(t)]
         for i in set(range(len(texts))).difference(plain):
             out[i] = self.encode(texts[i])
+        whole, texts = texts, list(texts)
+        for i in plain:
+            data = texts[i]
+            if b"\n" in data and data[:1] != b"\n" and data[-1:] != b"\n" and not any(x in data for x in _LINE_RUNS):
+                texts[i] = data.replace(b"\n", b" " + _LINE)
         for a, b in pieces_by_bytes([len(texts[i]) for i in plain], BATCH_BYTES):
             docs = plain[a:b]
             words = pc.split_pattern(pa.array([texts[i] for i in docs], pa.large_binary()), pattern=b" ")
             bounds = words.offsets.to_numpy()
             coded = words.flatten().dictionary_encode()
-            codes, different = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+            codes, different = coded.indices.to_numpy(), values_of(coded.dictionary)
             long = np.fromiter(map(len, different), np.int64, len(different)) > LONG
             values = self.cache.values([w if not x else b"" for w, x in zip(different, long.tolist())])
             sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
@@ -155,7 +167,7 @@ class Encoder:
             heavy = np.logical_or.reduceat(long[codes], bounds[:-1]).tolist()
             for k, i in enumerate(docs):
                 if heavy[k]:
-                    out[i] = self.encode(texts[i])
+                    out[i] = self.encode(whole[i])
                 else:
                     lead = first[k] if texts[i][:1] != b" " else b""
                     out[i] = lead + gathered[stops[k] : stops[k + 1]].tobytes()
