@@ -163,12 +163,12 @@ def _first(*more):
     return F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "tie", *more)).alias("best")
 
 
-def _spans(df: DataFrame) -> DataFrame:
-    """Window ranges (id, tie, at, last) gathered per document, with a hint to broadcast them if their size allows it."""
+def _spans(df: DataFrame, most: int) -> DataFrame:
+    """Window ranges (id, tie, at, last) gathered per document, with a hint to broadcast them up to `most` bytes."""
     out = written(df.groupBy("id", "tie").agg(F.collect_list(F.struct("at", "last")).alias("spans")), "spans")
     inside = out.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0] * 32
     out = out.select(F.col("id").alias("s_id"), F.col("tie").alias("s_tie"), "spans")
-    return F.broadcast(out) if measured_bytes(out) + inside <= BROADCAST_BYTES else out
+    return F.broadcast(out) if measured_bytes(out) + inside <= most else out
 
 
 def _same_document():
@@ -194,7 +194,7 @@ def without_repeats(docs: DataFrame, id_col="doc_id", text_col="text", window=WI
 
     found = written(anchors(base, window, seed), "anchors")
     seeds = written(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "seeds")
-    hits = written(found.join(small_or_shuffled(seeds), "h"), "hits")
+    hits = written(found.join(seeds, "h"), "hits")
     classes = hits.groupBy("h", "x").agg(_first("at", "last"), F.count("*").alias("n"))
     classes = written(classes.select("h", "x", "best.id", "best.tie", "best.at", "best.last", "n"), "classes")
     shared = classes.where("n > 1").select("h", "x", *[F.col(c).alias(f"first_{c}") for c in ("id", "tie", "at")])
@@ -203,12 +203,12 @@ def without_repeats(docs: DataFrame, id_col="doc_id", text_col="text", window=WI
 
     forks = written(classes.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "forks")
     extended = classes.join(small_or_shuffled(forks), "h").select("id", "tie", "at", "last")
-    windows = written(window_hashes(base.join(_spans(extended), own), window), "windows")
+    windows = written(window_hashes(base.join(_spans(extended, BROADCAST_BYTES), own), window), "windows")
     shared = windows.groupBy("w1", "w2").agg(_first("at"), F.count("*").alias("n")).where("n > 1")
     shared = written(shared.select("w1", "w2", *[F.col(f"best.{c}").alias(f"first_{c}") for c in ("id", "tie", "at")]), "shared")
     partly = windows.join(small_or_shuffled(shared), ["w1", "w2"]).where(~is_first).select("id", "tie", "at", F.col("at").alias("last"))
 
-    repeats = _spans(whole.unionByName(partly))
+    repeats = _spans(whole.unionByName(partly), 0)  # grows with the corpus, so texts are shuffled at any size
     kept = cut(base.join(repeats, own, "left"), window)
     nothing = F.array().cast("array<struct<at:int,last:int>>").alias("spans")
     gone = rows.join(near_copies, same, "left_semi").select("id", "text", nothing)
