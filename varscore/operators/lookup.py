@@ -115,9 +115,13 @@ def annotate(
     normalize_chrom: bool = False,
     order_col=None,
     broadcast_bytes: int = BROADCAST_BYTES,
+    place_col=None,
 ) -> DataFrame:
     """Left-join scores onto variant rows. The last alternative allele that has a score decides.
 
+    With `place_col`, a column of places in the input's order, the result has that order at any size: a broadcast join
+    keeps it, and after a shuffled one rows are dealt by ranges of places and sorted within them.
+
     The score depends on the key text alone, so distinct keys are resolved first and then joined back to all
     rows: no row numbers are needed, and copies of a row never meet in one group.
     """
@@ -135,7 +139,12 @@ def annotate(
         .agg(F.max_by("score", rank).alias("score"))
         .withColumnRenamed("alts", "ALT")
     )
-    return _restored(join_unique(rows, best, KEY, keys, "left", small), [*variants.columns, "score"])
+    found = _restored(join_unique(rows, best, KEY, keys, "left", small), [*variants.columns, "score"])
+    if place_col is None or small:
+        return found
+    # The range exchange samples its input, so the joined rows are kept.
+    partitions = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return checkpointed(found).repartitionByRange(partitions, place_col).sortWithinPartitions(place_col)
 
 
 def annotated_info(info_id: str = SCORE_INFO_ID):

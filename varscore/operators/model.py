@@ -8,9 +8,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from varscore.runtime import checkpointed, spread
+
 SCORED = "protein_id string, pos int, ref_aa string, logits array<double>"
 
 
@@ -36,3 +39,126 @@ def score_sequences(proteins: DataFrame, scorer_factory: Callable[[], Callable],
                     )
 
     return proteins.select("protein_id", "sequence").where(F.length("sequence") > 0).mapInPandas(run, SCORED)
+
+
+#: Residues of a model batch (sequences times the longest of them), batches gathered before they are sorted by length, and
+#: positions that neighbouring windows of a long sequence share.
+BATCH_RESIDUES, GATHERED, OVERLAP = 4096, 32, 64
+TOLERANT = SCORED + ", error string"
+_TOLERANT = pa.schema(
+    [("protein_id", pa.string()), ("pos", pa.int32()), ("ref_aa", pa.string()), ("logits", pa.list_(pa.float64())), ("error", pa.string())]
+)
+
+
+def windows(length: int, limit: int | None, overlap: int) -> list:
+    """Windows `(start, end, first, last)` of a sequence: the model sees [start, end), [first, last) is taken from it.
+
+    Neighbours share `overlap` positions and meet in the middle of them, so every position is taken once, from the window
+    in which it lies farther from a cut.
+    """
+    if limit is None or length <= limit:
+        return [(0, length, 0, length)]
+    if not 0 <= overlap < limit:
+        raise ValueError(f"an overlap of {overlap} does not fit windows of {limit}")
+    starts = [*range(0, length - limit, limit - overlap), length - limit]
+    cuts = [0, *[(a + limit + b) // 2 for a, b in zip(starts, starts[1:])], length]
+    return [(s, s + limit, a, b) for s, a, b in zip(starts, cuts, cuts[1:])]
+
+
+def budgeted(lengths: list, budget: int):
+    """Batches of indices by descending length: the number of sequences times the longest is `budget` at most (or one)."""
+    batch, longest = [], 0
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        if batch and (len(batch) + 1) * longest > budget:
+            yield batch
+            batch = []
+        longest = longest if batch else lengths[i]
+        batch.append(i)
+    if batch:
+        yield batch
+
+
+def tried(scorer: Callable, sequences: list) -> list:
+    """For each sequence its scores, or the text of the error that it raises on its own.
+
+    A batch that fails is halved until the faulty sequence stands alone, so one of n costs about 2 log n more calls.
+    """
+    try:
+        found = [np.asarray(x, dtype="float64") for x in scorer(list(sequences))]
+        if len(found) != len(sequences):
+            raise ValueError(f"{len(found)} results for {len(sequences)} sequences")
+        if len(sequences) > 1 or found[0].shape == (len(sequences[0]), 20):
+            return [x if x.shape == (len(s), 20) else tried(scorer, [s])[0] for s, x in zip(sequences, found)]
+        raise ValueError(f"scores of shape {found[0].shape} for {len(sequences[0])} residues")
+    except Exception as error:  # a scorer is the caller's code and may raise anything
+        if len(sequences) == 1:
+            return [f"{type(error).__name__}: {error}"]
+        half = len(sequences) // 2
+        return tried(scorer, sequences[:half]) + tried(scorer, sequences[half:])
+
+
+def score_tolerant(
+    proteins: DataFrame,
+    scorer_factory: Callable[[], Callable],
+    batch_residues: int = BATCH_RESIDUES,
+    max_length: int | None = None,
+    overlap: int = OVERLAP,
+):
+    """`(scores, rejects)`: as `score_sequences`, but a sequence on which the scorer fails does not end the job.
+
+    Sequences are batched by length under a budget of residues. Those above `max_length`, the model's limit, are scored
+    in overlapping windows that are stitched in the middle of their overlaps. Rejects are (protein_id, reason); a protein
+    with a window that fails is rejected as a whole. Proteins without residues have neither scores nor a reason. Both
+    results come from one pass, which is kept in the checkpoint folder.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = scorer_factory()
+
+        def flush(held):
+            pieces = [(k, w) for k, (_, sequence) in enumerate(held) for w in windows(len(sequence), max_length, overlap)]
+            missing, errors, parts = [0] * len(held), {}, {}
+            for k, _ in pieces:
+                missing[k] += 1
+            for batch in budgeted([w[1] - w[0] for _, w in pieces], batch_residues):
+                texts = [held[pieces[i][0]][1][pieces[i][1][0] : pieces[i][1][1]] for i in batch]
+                for i, result in zip(batch, tried(scorer, texts)):
+                    k, (start, _, first, last) = pieces[i]
+                    missing[k] -= 1
+                    if isinstance(result, str):
+                        errors.setdefault(k, result)
+                    else:
+                        parts.setdefault(k, []).append((first, result[first - start : last - start]))
+                done = sorted({pieces[i][0] for i in batch if not missing[pieces[i][0]]})
+                if done:
+                    yield rows([(held[k], sorted(parts.pop(k, []), key=lambda p: p[0]), errors.get(k)) for k in done])
+
+        def rows(done):
+            good = [(protein, sequence, np.concatenate([p for _, p in found])) for (protein, sequence), found, error in done if error is None]
+            bad = [(protein, error) for (protein, _), _, error in done if error is not None]
+            sizes, none = [len(s) for _, s, _ in good], [None] * len(bad)
+            values = np.concatenate([v for _, _, v in good]).ravel() if good else np.zeros(0)
+            offsets = pa.array([*range(0, len(values) + 1, 20), *[len(values)] * len(bad)], pa.int32())
+            arrays = [
+                pa.array([p for (p, _, _), n in zip(good, sizes) for _ in range(n)] + [p for p, _ in bad], pa.string()),
+                pa.array([i for n in sizes for i in range(n)] + none, pa.int32()),
+                pa.array([aa for _, s, _ in good for aa in s] + none, pa.string()),
+                pa.ListArray.from_arrays(offsets, pa.array(values)),
+                pa.array([None] * sum(sizes) + [error for _, error in bad], pa.string()),
+            ]
+            return pa.RecordBatch.from_arrays(arrays, schema=_TOLERANT)
+
+        held, size = [], 0
+        for batch in batches:
+            for protein, sequence in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.append((protein, sequence))
+                size += len(sequence)
+                if size >= GATHERED * batch_residues:
+                    yield from flush(held)
+                    held, size = [], 0
+        yield from flush(held)
+
+    wanted = proteins.select(F.col("protein_id").cast("string").alias("protein_id"), "sequence").where(F.length("sequence") > 0)
+    found = checkpointed(spread(wanted).mapInArrow(run, TOLERANT))
+    rejects = found.where("error IS NOT NULL").select("protein_id", F.col("error").alias("reason"))
+    return found.where("error IS NULL").drop("error"), rejects

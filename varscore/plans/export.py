@@ -18,8 +18,13 @@ def annotated_header(header: DataFrame, info_id: str = SCORE_INFO_ID, descriptio
 
 
 def annotated_lines(body: DataFrame, scores: DataFrame, info_id: str = SCORE_INFO_ID, **options) -> DataFrame:
-    """Body lines with the score appended to INFO; columns after INFO are carried along."""
+    """Body lines with the score appended to INFO; columns after INFO are carried along.
+
+    The lines keep the order of `body`, whether the join is broadcast or shuffled: each gets its place (partition and
+    number of the scan, whose splits are the same whenever a task runs again) before the join.
+    """
     tail = F.slice(F.split("value", "\t"), len(VCF_COLUMNS) + 1, F.size(F.split("value", "\t")))
-    rows = annotate(body.withColumn("_tail", tail), scores, **options)
+    placed = body.withColumn("_tail", tail).withColumn("_place", F.monotonically_increasing_id())
+    rows = annotate(placed, scores, place_col="_place", **options)
     fixed = [F.col(c).cast("string") for c in VCF_COLUMNS[:-1]]
     return rows.select(F.concat_ws("\t", *fixed, annotated_info(info_id), "_tail").alias("value"))

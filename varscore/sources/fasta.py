@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from varscore.runtime import checkpointed
+from varscore.sources.members import read_members
 
 CHUNK_BASES = 10_000
 
@@ -89,7 +90,13 @@ def chunk_sequence(pieces: DataFrame, bases: int = CHUNK_BASES) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str, bases: int = CHUNK_BASES) -> DataFrame:
-    """Read FASTA text into `(contig, bin, chunk)`."""
+    """Read FASTA text into `(contig, bin, chunk)`.
+
+    Gzip files are read by their members where they have blocks; one without is read by one task, but its lines come in
+    numbered blocks, so that it is placed block by block, not as a whole.
+    """
+    if path.endswith((".gz", ".bgz")):
+        return chunk_sequence(place_lines(checkpointed(read_members(spark, path))), bases)
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("split"),

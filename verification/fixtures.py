@@ -144,6 +144,33 @@ class Fixtures:
         )
         return cds.unionAll(mrna)
 
+    def deep_gff_lines(self) -> DataFrame:
+        """Genes above the transcripts; of three documents, the CDS of one stand below exons, of one below a peptide, and of
+        one below the mRNA itself."""
+        def line(chrom, kind, start, end, strand, attributes):
+            return rf"concat_ws('\t', {chrom}, 'sim', '{kind}', {start}, {end}, '.', {strand}, '.', {attributes}) AS value"
+
+        docs = self.table("documents").selectExpr(
+            "cast(doc_id AS string) AS d", "concat('c', cast(doc_id AS string)) AS chrom", "doc_id", "cast(n_chars AS string) AS n",
+            "CASE WHEN doc_id % 2 = 0 THEN '+' ELSE '-' END AS strand",
+        )
+        exons = self.regions().selectExpr(
+            "chrom", "strand", "transcript_id AS tx", "cast(start_pos AS string) AS a", "cast(end_pos AS string) AS b",
+            "cast(substr(transcript_id, 3) AS long) % 3 AS kind",
+        )
+        parent = "concat('Parent=', CASE kind WHEN 0 THEN concat('ex_', tx, '_', a) WHEN 1 THEN concat('pep_', tx) ELSE tx END)"
+        parts = [
+            docs.selectExpr(line("chrom", "gene", "'1'", "n", "strand", "concat('ID=g', d)")),
+            docs.selectExpr(line("chrom", "mRNA", "'1'", "n", "strand", "concat('ID=tx', d, ';Parent=g', d)")),
+            docs.where("doc_id % 3 = 1").selectExpr(line("chrom", "polypeptide", "'1'", "n", "strand", "concat('ID=pep_tx', d, ';Parent=tx', d)")),
+            exons.where("kind = 0").selectExpr(line("chrom", "exon", "a", "b", "strand", "concat('ID=ex_', tx, '_', a, ';Parent=', tx)")),
+            exons.selectExpr(line("chrom", "CDS", "a", "b", "strand", parent)),
+        ]
+        lines = parts[0]
+        for part in parts[1:]:
+            lines = lines.unionAll(part)
+        return lines
+
     def fasta_lines(self) -> DataFrame:
         """Contigs as FASTA lines of 60 bases, spread over files and splits as a text scan would give them."""
         return self.contig().select(

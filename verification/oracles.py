@@ -171,6 +171,21 @@ def _sql(body, *ctes):
     return f"WITH {', '.join(parts)} {body}" if parts else body
 
 
+def _deep(body):
+    """`body` over the hierarchy of features: edges, the CDS with their parents, and all paths upwards."""
+    doc = "CAST(doc_id AS VARCHAR)"
+    kind = "CAST(substr(transcript_id, 3) AS BIGINT) % 3"
+    exon = "concat('ex_', transcript_id, '_', CAST(start_pos AS VARCHAR))"
+    edges = f"""edges AS (SELECT concat('tx', {doc}) AS id, concat('g', {doc}) AS parent FROM documents
+UNION ALL SELECT concat('pep_tx', {doc}), concat('tx', {doc}) FROM documents WHERE doc_id % 3 = 1
+UNION ALL SELECT {exon}, transcript_id FROM fx_regions WHERE {kind} = 0)"""
+    cds = f"""cds AS (SELECT *, CASE {kind} WHEN 0 THEN {exon} WHEN 1 THEN concat('pep_', transcript_id) ELSE transcript_id END AS parent
+FROM fx_regions)"""
+    paths = """paths AS (SELECT id, parent AS ancestor, 1 AS hops FROM edges
+UNION ALL SELECT p.id, e.parent, hops + 1 FROM paths p JOIN edges e ON e.id = p.ancestor)"""
+    return _sql(body, edges, cds, paths).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def _ratio(a, b):
     return f"coalesce(CAST({a} AS DOUBLE) / nullif({b}, 0), 0)"
 
@@ -285,6 +300,7 @@ WHERE doc_id % 2 = 0 OR length(regexp_replace(translate(lower(text), 'abcdefghij
     "filter_stars": _sql(f"SELECT {FILTER_COLUMNS} FROM fx_annotated WHERE stars >= 3"),
     "filter_include": _sql(f"SELECT {FILTER_COLUMNS} FROM fx_annotated WHERE CLNSIG IN ('Pathogenic', 'Benign')"),
     "filter_exclude": _sql(f"SELECT {FILTER_COLUMNS} FROM fx_annotated WHERE CLNSIG <> 'Likely_benign'"),
+    "filter_default_exclude": _sql(f"SELECT {FILTER_COLUMNS} FROM fx_annotated WHERE CLNSIG IN {LABELS}"),
     "filter_snv": _sql(f"SELECT {FILTER_COLUMNS} FROM fx_annotated WHERE CLNVC = 'single_nucleotide_variant'"),
     "filter_clinvar": _sql(f"SELECT {FILTER_COLUMNS} FROM fx_kept"),
     "filter_by_score": _sql("SELECT * FROM fx_scores WHERE score BETWEEN -12 AND -3"),
@@ -507,4 +523,29 @@ FROM ({_binary_cells('s_test', 'x > (SELECT t FROM b_t)')}) b""",
 FROM (SELECT transcript_id, codon_idx, c.aa, ln(list_sum([exp(((codon_idx + 1) * i) % 13 / 4.0::DOUBLE) FOR i IN range(1, 21)])) AS z
   FROM fx_codons k JOIN fx_code c ON k.codon = c.codon) q"""
     ),
+    "score_tolerant": _sql(
+        """SELECT transcript_id AS protein_id, CASE WHEN bad THEN NULL ELSE n END AS n, CASE WHEN bad THEN NULL ELSE log_prob_sum END AS log_prob_sum,
+  CASE WHEN bad THEN 'ValueError: doubled tryptophan' END AS reason
+FROM (SELECT transcript_id, count(*) AS n, contains(string_agg(c.aa, '' ORDER BY codon_idx), 'WW') AS bad,
+    CAST(sum(CAST(round(1000 * ((codon_idx + 1) % 13 / 4.0::DOUBLE - ln(list_sum([exp(((codon_idx + 1) * i) % 13 / 4.0::DOUBLE) FOR i IN range(1, 21)])))) AS BIGINT)) AS BIGINT) AS log_prob_sum
+  FROM fx_codons k JOIN fx_code c ON k.codon = c.codon GROUP BY transcript_id) q"""
+    ),
+    "scan_vcf_members": _sql("SELECT CHROM, POS, '.' AS ID, REF, ALT, '.' AS QUAL, '.' AS FILTER, INFO FROM fx_clinvar"),
+    "fasta_gz_chunks": _sql(
+        f"""SELECT contig, bin, substr(seq, bin * {CHUNK} + 1, {CHUNK}) AS chunk
+FROM (SELECT contig, seq, unnest(range(0, (length(seq) - 1) // {CHUNK} + 1)) AS bin FROM fx_contig) b"""
+    ),
+    "feature_ancestors": _deep("SELECT id, ancestor, CAST(min(hops) AS BIGINT) AS hops FROM paths GROUP BY id, ancestor"),
+    "descendant_cds": _deep(
+        """SELECT DISTINCT ancestor AS transcript_id, chrom, start_pos, end_pos, strand, '.' AS phase
+FROM (SELECT c.*, c.parent AS ancestor FROM cds c UNION ALL SELECT c.*, p.ancestor FROM cds c JOIN paths p ON p.id = c.parent) q WHERE ancestor LIKE 'tx%'"""
+    ),
+    "gene_cds": _deep(
+        """SELECT ancestor AS gene_id, count(*) AS n, CAST(sum(end_pos - start_pos + 1) AS BIGINT) AS bases
+FROM cds c JOIN paths p ON p.id = c.parent WHERE ancestor LIKE 'g%' GROUP BY ancestor"""
+    ),
+    "published_scores": _sql("SELECT * FROM fx_scores"),
+    "batch_manifest": _sql(
+        "SELECT CASE WHEN POS % 2 = 0 THEN 'even' ELSE 'odd' END AS batch, count(*) AS n_rows FROM fx_scores GROUP BY batch"
+    ),
 }

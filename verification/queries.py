@@ -9,10 +9,10 @@ from varscore.operators import calibrate, clinvar, curves, evaluate, genome, loo
 from varscore.operators.split import stratified_split
 from varscore.plans import benchmark, export, scoring
 from varscore.runtime import scratch_path
-from varscore.sinks import tables, vcf as vcf_out
-from varscore.sources import fasta, gff, scores as score_source, vcf as vcf_in
+from varscore.sinks import batches, tables, vcf as vcf_out
+from varscore.sources import fasta, gff, members, scores as score_source, vcf as vcf_in
 from verification.fixtures import CHUNK, Fixtures
-from verification.toy_scorer import toy_scorer
+from verification.toy_scorer import faulty_scorer, toy_scorer
 
 QUERIES = {}
 
@@ -99,9 +99,68 @@ def fasta_chunks(fx):
     return fasta.chunk_sequence(fasta.place_lines(fx.fasta_lines()), CHUNK)
 
 
+@query
+def scan_vcf_members(fx):
+    """Block-compressed variant text, each file of many members and read in several ranges."""
+    path = scratch_path(fx.spark, "members") + ".vcf.gz"
+    lines = fx.vcf_lines()
+    members.write_members(vcf_out.merged_header(vcf_in.vcf_header(lines)).unionAll(lines.where("value NOT LIKE '#%'")), path)
+    return vcf_in.read_vcf(fx.spark, path, members=True, split_bytes=100_000)[1].drop("value")
+
+
+@query
+def fasta_gz_chunks(fx):
+    path = scratch_path(fx.spark, "contigs") + ".fa.gz"
+    header, text = F.array(F.concat(F.lit(">"), "contig", F.lit(" derived"))), F.regexp_extract_all("seq", F.lit(".{1,60}"), F.lit(0))
+    members.write_members(fx.contig().select(F.explode(F.concat(header, text)).alias("value")), path)
+    return fasta.read_fasta(fx.spark, path, CHUNK)
+
+
+@query
+def feature_ancestors(fx):
+    return gff.ancestors(gff.gff_features(fx.deep_gff_lines()))
+
+
+@query
+def descendant_cds(fx):
+    """CDS regions of each transcript, whatever stands between the two."""
+    return gff.descendant_cds(gff.gff_features(fx.deep_gff_lines()))
+
+
+@query
+def gene_cds(fx):
+    """The same per gene: regions and bases."""
+    cds = gff.descendant_cds(gff.gff_features(fx.deep_gff_lines()), "gene")
+    return cds.groupBy(F.col("transcript_id").alias("gene_id")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end_pos") - F.col("start_pos") + 1).alias("bases"))
+
+
 # ---- sinks -----------------------------------------------------------------
 
 
+def _published(fx):
+    """Two published batches, one of them begun before by a run that died, and one that never was published."""
+    root, rows = scratch_path(fx.spark, "batches"), fx.scores()
+    for batch, part in (("even", rows.where("POS % 2 = 0")), ("odd", rows.where("POS % 2 = 1"))):
+        keys = part.select("CHROM").distinct()
+        if batch == "odd":
+            batches.write_batch(part, keys, root, batch)
+        batches.append_batch(part, keys, root, batch)
+        batches.append_batch(part, keys, root, batch)
+    batches.write_batch(rows, rows.select("CHROM"), root, "lost")
+    return root
+
+
+@query
+def published_scores(fx):
+    return batches.read_rows(fx.spark, _published(fx), schemas.SCORES)
+
+
+@query
+def batch_manifest(fx):
+    return batches.manifest(fx.spark, _published(fx)).select("batch", "n_rows")
+
+
+
 @query
 def to_vcf_lines(fx):
     return vcf_out.to_vcf_lines(fx.scores())
@@ -191,7 +250,7 @@ EVERY_LABEL = ("Pathogenic", "Likely_pathogenic", "Benign", "Likely_benign", "Un
 
 @query
 def filter_stars(fx):
-    return clinvar.filter_clinvar(fx.clinvar(), 3, EVERY_LABEL, None, False).select(FILTERED)
+    return clinvar.filter_clinvar(fx.clinvar(), 3, EVERY_LABEL, (), False).select(FILTERED)
 
 
 @query
@@ -204,9 +263,15 @@ def filter_exclude(fx):
     return clinvar.filter_clinvar(fx.clinvar(), 0, EVERY_LABEL, ("Likely_benign",), False).select(FILTERED)
 
 
+@query
+def filter_default_exclude(fx):
+    """Every label wanted, and the labels that are excluded where none are named."""
+    return clinvar.filter_clinvar(fx.clinvar(), 0, EVERY_LABEL, None, False).select(FILTERED)
+
+
 @query
 def filter_snv(fx):
-    return clinvar.filter_clinvar(fx.clinvar(), 0, EVERY_LABEL, None, True).select(FILTERED)
+    return clinvar.filter_clinvar(fx.clinvar(), 0, EVERY_LABEL, (), True).select(FILTERED)
 
 
 @query
@@ -633,3 +698,19 @@ def score_sequences(fx):
     scored = model.score_sequences(proteins, toy_scorer)
     log_probs = [F.round(F.get("logits", F.lit(i)), 6).alias(f"log_prob_{aa}") for i, aa in enumerate(AMINO_ACIDS)]
     return scored.select("protein_id", "pos", "ref_aa", *log_probs)
+
+
+@query
+def score_tolerant(fx):
+    """Positions scored of each protein, or the reason why it is rejected, by a scorer that fails on some."""
+    proteins = fx.cds().select(
+        F.col("transcript_id").alias("protein_id"), sequence.translate_cds(F.col("cds")).alias("sequence")
+    )
+    scores, rejects = model.score_tolerant(proteins, faulty_scorer)
+    counted = scores.groupBy("protein_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.round(F.get("logits", F.lit(0)) * 1000).cast("long")).alias("log_prob_sum"),
+        F.lit(None).cast("string").alias("reason"),
+    )
+    none = F.lit(None).cast("long")
+    return counted.unionByName(rejects.select("protein_id", none.alias("n"), none.alias("log_prob_sum"), "reason"))

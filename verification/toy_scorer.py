@@ -13,3 +13,15 @@ def toy_scorer():
         return results
 
     return score
+
+
+def faulty_scorer():
+    """The same numbers, but it fails on sequences with a doubled tryptophan."""
+    score = toy_scorer()
+
+    def checked(sequences):
+        if any("WW" in sequence for sequence in sequences):
+            raise ValueError("doubled tryptophan")
+        return score(sequences)
+
+    return checked
