@@ -1,11 +1,13 @@
 """Collocations by set-oriented mining of occurrence relations (SETM).
 
 R1, the relation of all word occurrences (piece, place, word), is written sorted by piece and place; a row of the table holds
-the occurrences of whole pieces of one language, with their words as indices into the row's own vocabulary. Level by level:
+the occurrences of whole pieces of one language as packed columns, with their words as indices into the row's own vocabulary.
+Level by level:
 
 1. R(k) is the merge join of R(k-1) with itself on equal piece and adjacent place; pieces do not span rows, so it is a join
    of sorted arrays inside a task.
-2. Its groups are counted by 40-bit hashes, added up by Spark; those that reach `least` go into a bitmap of BITS bits at most.
+2. Its groups are counted by 40-bit hashes, which are dealt to ranges and added up range by range; those that reach `least` go
+   into a bitmap of BITS bits at most.
 3. The semi-join of R(k) with the bitmap is written: the relation that the next level extends. What the bitmap lets through
    by chance falls in the next step, so its size only matters for speed.
 4. The exact phrases of the written relation are counted per row, then over all rows; L(k) has those that reach `least`.
@@ -22,22 +24,25 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from varscore.llm.common import col, small_or_shuffled, values_of, written
 
 #: Bytes of text of a row of R1, bytes held by a task over all languages, and bits of a bitmap at most.
-ROW_BYTES, HELD_BYTES, BITS = 2 << 20, 16 << 20, 1 << 27
+ROW_BYTES, HELD_BYTES, BITS = 1 << 20, 8 << 20, 1 << 27
+#: Hashes, or phrases, that a task adds up before it passes them on, and occurrences in a range of hashes.
+GATHERED, RANGE = 1_000_000, 4_000_000
 #: Words of a phrase at most, occurrences of a phrase at least, and phrases listed per language.
 WORDS, LEAST, TOP = 3, 10, 2000
 #: Characters that end a piece, and the name of an unknown language.
 ENDS, UNKNOWN = b".,;:!?\n\x0b\x0c\r", "und"
 _HASH_BITS = 40
 _TABLE = bytes(10 if c in ENDS else 32 if c == 9 else c for c in bytes(range(256)).lower())
-_RELATION = "lang string, vocabulary array<string>, words array<int>, pieces array<int>, places array<int>, own int"
-_KINDS = [pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32()]
 _NAMES = ["lang", "vocabulary", "words", "pieces", "places", "own"]
+_KINDS = [pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int32()]
+_RELATION = "lang string, vocabulary binary, words binary, pieces binary, places binary, own int"
 
 
 def slices(data: bytes, context: int, limit: int):
@@ -69,8 +74,8 @@ def relation_row(lang, data: bytes, own):
     words = (np.cumsum(word) - 1)[codes[mine]].astype(np.int32)
     new = np.append(True, piece[1:] != piece[:-1])
     place = np.arange(len(piece)) - np.maximum.accumulate(np.where(new, np.arange(len(piece)), 0))
-    vocabulary = [w.decode("utf-8", "replace") for w, x in zip(known, word.tolist()) if x]
-    return lang, vocabulary, words, piece, place.astype(np.int32), len(words) if own is None else own
+    vocabulary = b"\n".join(w for w, x in zip(known, word.tolist()) if x)
+    return lang, vocabulary, words.tobytes(), piece.tobytes(), place.astype(np.int32).tobytes(), len(words) if own is None else own
 
 
 def batch_of(rows: list) -> pa.RecordBatch:
@@ -116,9 +121,9 @@ class Level:
     @staticmethod
     def of(batch, k):
         for r in range(batch.num_rows):
-            lang, own = batch.column(0)[r].as_py(), batch.column(5)[r].as_py()
-            words, pieces, places = (batch.column(c)[r].values.to_numpy() for c in (2, 3, 4))
-            yield Level(lang, batch.column(1)[r].values, words, pieces, places, own, k)
+            lang, vocabulary, own = (batch.column(c)[r].as_py() for c in (0, 1, 5))
+            words, pieces, places = (np.frombuffer(batch.column(c)[r].as_buffer(), np.int32) for c in (2, 3, 4))
+            yield Level(lang, vocabulary.split(b"\n"), words, pieces, places, own, k)
 
     def where(self, keep):
         out = object.__new__(Level)
@@ -137,7 +142,7 @@ class Level:
 
     def hashes(self) -> np.ndarray:
         seed = xxhash.xxh3_64_intdigest(self.lang.encode())
-        each = np.array([xxhash.xxh3_64_intdigest(w, seed) for w in values_of(self.vocabulary.cast(pa.binary()))], np.uint64)
+        each = np.array([xxhash.xxh3_64_intdigest(w, seed) for w in self.vocabulary], np.uint64)
         h = each[self.words[:, 0]]
         for j in range(1, self.k):
             h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + each[self.words[:, j]]
@@ -156,8 +161,9 @@ class Level:
 
     def row(self):
         used, words = np.unique(self.words, return_inverse=True)
-        vocabulary = self.vocabulary.take(pa.array(used)).to_pylist()
-        return self.lang, vocabulary, words.ravel().astype(np.int32), (self.key >> 32).astype(np.int32), self.key.astype(np.int32), self.own
+        vocabulary = b"\n".join(map(self.vocabulary.__getitem__, used.tolist()))
+        columns = (x.astype(np.int32).tobytes() for x in (words.ravel(), self.key >> 32, self.key & 0xFFFFFFFF))
+        return self.lang, vocabulary, *columns, self.own
 
 
 def slots(h: np.ndarray, bits: int):
@@ -183,38 +189,98 @@ def bitmap_of(hashes: DataFrame) -> np.ndarray:
     return out
 
 
-def level(relation: DataFrame, k: int, known, stage: str) -> DataFrame:
-    """One pass over R(k-1) (over R1 for k = 1). `known` is the pair of the bitmaps of levels k - 1 (only needed for R1) and k.
+def _summed(h, n):
+    """Different hashes in order, and the sums of their counts."""
+    order = np.argsort(h, kind="stable")
+    h, n = h[order], n[order]
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))[: len(h)]
+    return h[first], np.add.reduceat(n, first) if len(h) else n
 
-    Stage `hashes`: (h, n) of its groups; `relation`: the semi-joined R(k); `phrases`: (lang, phrase, n) of the relation R(k).
+
+def passes(relation: DataFrame, k: int, known, whole: bool):
+    """A function from Arrow batches of a relation to the occurrences of phrases of `k` words.
+
+    The relation is R(k) if `whole`, else R(k-1), which is extended. `known` is the pair of the bitmaps of the relation as it
+    is (needed for R1 only) and of the result.
     """
     before, now = known
 
-    def joined(batch):
-        for rows in Level.of(batch, k if k == 1 or stage == "phrases" else k - 1):
-            if before is not None:
-                rows = rows.where(inside(rows.hashes(), before.value))
-            yield rows if k == 1 or stage == "phrases" else rows.extended()
+    def occurrences_of(batches):
+        for batch in batches:
+            for rows in Level.of(batch, k if whole else k - 1):
+                if before is not None:
+                    rows = rows.where(inside(rows.hashes(), before.value))
+                rows = rows if whole else rows.extended()
+                yield rows if now is None else rows.where(inside(rows.hashes(), now.value))
+
+    return occurrences_of
+
+
+def frequent_hashes(relation: DataFrame, occurrences_of, ranges: int, least: int) -> DataFrame:
+    """Hashes (h) of the groups that occur `least` times (or that share a hash with others)."""
+
+    def dealt(batches):
+        held, size = [], 0
+
+        def flush():
+            h, n = _summed(*[np.concatenate(x) for x in zip(*held)])
+            cuts = np.searchsorted(h, (np.arange(ranges + 1) << _HASH_BITS) // ranges).tolist()
+            full = [(r, a, b) for r, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+            blobs = [zstandard.compress(np.diff(h[a:b], prepend=0).tobytes() + n[a:b].tobytes(), 1) for _, a, b in full]
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _, _ in full], pa.int32()), pa.array(blobs, pa.binary())], names=["r", "data"])
+
+        for rows in occurrences_of(batches):
+            held.append(np.unique(rows.hashes()[: rows.own], return_counts=True))
+            size += len(held[-1][0])
+            if size >= GATHERED:
+                yield from flush()
+                held, size = [], 0
+        if size:
+            yield from flush()
+
+    def add(table):
+        parts = [np.frombuffer(zstandard.decompress(x), np.int64).reshape(2, -1) for x in table.column("data").to_pylist()]
+        h, n = _summed(np.concatenate([np.cumsum(p[0]) for p in parts]), np.concatenate([p[1] for p in parts]))
+        return pa.table({"h": h[n >= least]})
+
+    return relation.mapInArrow(dealt, "r int, data binary").groupBy("r").applyInArrow(add, "h long")
+
+
+def extended_relation(relation: DataFrame, occurrences_of) -> DataFrame:
+    """R(k), semi-joined with its frequent groups."""
 
     def run(batches):
-        for batch in batches:
-            for rows in joined(batch):
-                if stage == "hashes":
-                    h, n = np.unique(rows.hashes()[: rows.own], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], names=["h", "n"])
-                    continue
-                if now is not None:
-                    rows = rows.where(inside(rows.hashes(), now.value))
-                if stage == "relation" and len(rows.words):
-                    yield batch_of([rows.row()])
-                elif stage == "phrases" and rows.own:
-                    words, n = rows.counted()
-                    parts = [rows.vocabulary.take(pa.array(words[:, j])) for j in range(k)]
-                    phrase = pc.binary_join_element_wise(*parts, " ") if k > 1 else parts[0]
-                    yield pa.RecordBatch.from_arrays([pa.array([rows.lang] * len(n), pa.string()), phrase, pa.array(n)], names=["lang", "phrase", "n"])
-
-    schema = {"hashes": "h long, n long", "relation": _RELATION, "phrases": "lang string, phrase string, n long"}[stage]
-    return relation.mapInArrow(run, schema)
+        for rows in occurrences_of(batches):
+            if len(rows.words):
+                yield batch_of([rows.row()])
+
+    return relation.mapInArrow(run, _RELATION)
+
+
+def exact_counts(relation: DataFrame, occurrences_of, k: int) -> DataFrame:
+    """(lang, phrase, n) of the owned occurrences."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def flush():
+            table = pa.concat_tables(held).group_by(["lang", "phrase"]).aggregate([("n", "sum")])
+            return table.select(["lang", "phrase", "n_sum"]).rename_columns(["lang", "phrase", "n"]).to_batches(max_chunksize=10_000)
+
+        for rows in occurrences_of(batches):
+            words, n = rows.counted()
+            known = pa.array(rows.vocabulary, pa.binary())
+            parts = [known.take(pa.array(words[:, j])) for j in range(k)]
+            phrase = pc.binary_join_element_wise(*parts, b" ") if k > 1 else parts[0]
+            held.append(pa.table([pa.array([rows.lang] * len(n), pa.string()), phrase.cast(pa.string()), pa.array(n)], names=["lang", "phrase", "n"]))
+            size += len(n)
+            if size >= GATHERED:
+                yield from flush()
+                held, size = [], 0
+        if held:
+            yield from flush()
+
+    return relation.mapInArrow(run, "lang string, phrase string, n long")
 
 
 def frequent(docs: DataFrame, words=WORDS, least=LEAST, row_bytes=ROW_BYTES):
@@ -222,14 +288,16 @@ def frequent(docs: DataFrame, words=WORDS, least=LEAST, row_bytes=ROW_BYTES):
     context = docs.sparkSession.sparkContext
     first = written(occurrences(docs, words - 1, row_bytes), "occurrences")
     totals = written(first.groupBy("lang").agg(F.sum("own").cast("long").alias("n")), "totals")
+    ranges = max(1, -(-(totals.agg(F.sum("n")).first()[0] or 0) // RANGE))
     out, relation, before = None, first, None
     for k in range(1, words + 1):
-        hashes = level(relation, k, (before, None), "hashes").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        now = context.broadcast(bitmap_of(written(hashes.select("h"), "hashes")))
+        hashes = frequent_hashes(relation, passes(relation, k, (before, None), k == 1), ranges, least)
+        now = context.broadcast(bitmap_of(written(hashes, "hashes")))
         if k > 1:
-            relation = written(level(relation, k, (before, now), "relation"), "relation")
-        phrases = level(relation, k, (None, now if k == 1 else None), "phrases").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
-        phrases = written(phrases.where(F.col("f") >= least).select("lang", F.lit(k).alias("k"), "phrase", "f"), "phrases")
+            relation = written(extended_relation(relation, passes(relation, k, (before, now), False)), "relation")
+        phrases = exact_counts(relation, passes(relation, k, (None, now if k == 1 else None), True), k)
+        phrases = phrases.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+        phrases = written(phrases.select("lang", F.lit(k).alias("k"), "phrase", "f"), "phrases")
         out = phrases if out is None else out.unionByName(phrases)
         before = now if k == 1 else None  # relations after R1 are already semi-joined
     return out, totals
