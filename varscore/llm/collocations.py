@@ -33,16 +33,15 @@ from varscore.llm.common import col, small_or_shuffled, values_of, written
 #: Bytes of text of a row of R1, bytes held by a task over all languages, and bits of a bitmap at most.
 ROW_BYTES, HELD_BYTES, BITS = 1 << 20, 8 << 20, 1 << 27
 #: Hashes, or phrases, that a task adds up before it passes them on, and occurrences in a range of hashes.
-GATHERED, RANGE = 1_000_000, 4_000_000
+GATHERED, RANGE = 400_000, 4_000_000
 #: Words of a phrase at most, occurrences of a phrase at least, and phrases listed per language.
 WORDS, LEAST, TOP = 3, 10, 2000
 #: Characters that end a piece, and the name of an unknown language.
 ENDS, UNKNOWN = b".,;:!?\n\x0b\x0c\r", "und"
 _HASH_BITS = 40
 _TABLE = bytes(10 if c in ENDS else 32 if c == 9 else c for c in bytes(range(256)).lower())
-_NAMES = ["lang", "vocabulary", "words", "pieces", "places", "own"]
-_KINDS = [pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int32()]
-_RELATION = "lang string, vocabulary binary, words binary, pieces binary, places binary, own int"
+_NAMES, _KINDS = ["lang", "vocabulary", "occurrences", "own"], [pa.string(), pa.binary(), pa.binary(), pa.int32()]
+_RELATION = "lang string, vocabulary binary, occurrences binary, own int"
 
 
 def slices(data: bytes, context: int, limit: int):
@@ -74,8 +73,22 @@ def relation_row(lang, data: bytes, own):
     words = (np.cumsum(word) - 1)[codes[mine]].astype(np.int32)
     new = np.append(True, piece[1:] != piece[:-1])
     place = np.arange(len(piece)) - np.maximum.accumulate(np.where(new, np.arange(len(piece)), 0))
-    vocabulary = b"\n".join(w for w, x in zip(known, word.tolist()) if x)
-    return lang, vocabulary, words.tobytes(), piece.tobytes(), place.astype(np.int32).tobytes(), len(words) if own is None else own
+    vocabulary = [w for w, x in zip(known, word.tolist()) if x]
+    return packed_row(lang, vocabulary, words, piece, place, len(words) if own is None else own)
+
+
+def packed_row(lang, vocabulary, words, pieces, places, own):
+    """A row of a relation: its words in order, piece and place of each occurrence, compressed."""
+    columns = (np.asarray(x, np.int32).tobytes() for x in (np.diff(pieces, prepend=0), places, words.ravel()))
+    return lang, zstandard.compress(b"\n".join(vocabulary), 1), zstandard.compress(np.int64(len(places)).tobytes() + b"".join(columns), 1), own
+
+
+def unpacked_row(vocabulary: bytes, occurrences: bytes):
+    """(vocabulary, words, pieces, places) of a row."""
+    data = zstandard.decompress(occurrences)
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    numbers = np.frombuffer(data, np.int32, offset=8)
+    return zstandard.decompress(vocabulary).split(b"\n"), numbers[2 * n :], np.cumsum(numbers[:n]), numbers[n : 2 * n]
 
 
 def batch_of(rows: list) -> pa.RecordBatch:
@@ -121,9 +134,8 @@ class Level:
     @staticmethod
     def of(batch, k):
         for r in range(batch.num_rows):
-            lang, vocabulary, own = (batch.column(c)[r].as_py() for c in (0, 1, 5))
-            words, pieces, places = (np.frombuffer(batch.column(c)[r].as_buffer(), np.int32) for c in (2, 3, 4))
-            yield Level(lang, vocabulary.split(b"\n"), words, pieces, places, own, k)
+            lang, vocabulary, occurrences, own = (column[r].as_py() for column in batch.columns)
+            yield Level(lang, *unpacked_row(vocabulary, occurrences), own, k)
 
     def where(self, keep):
         out = object.__new__(Level)
@@ -161,9 +173,7 @@ class Level:
 
     def row(self):
         used, words = np.unique(self.words, return_inverse=True)
-        vocabulary = b"\n".join(map(self.vocabulary.__getitem__, used.tolist()))
-        columns = (x.astype(np.int32).tobytes() for x in (words.ravel(), self.key >> 32, self.key & 0xFFFFFFFF))
-        return self.lang, vocabulary, *columns, self.own
+        return packed_row(self.lang, [self.vocabulary[i] for i in used.tolist()], words, self.key >> 32, self.key & 0xFFFFFFFF, self.own)
 
 
 def slots(h: np.ndarray, bits: int):
