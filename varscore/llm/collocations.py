@@ -10,7 +10,8 @@ Level by level:
    into a bitmap of BITS bits at most.
 3. The semi-join of R(k) with the bitmap is written: the relation that the next level extends. What the bitmap lets through
    by chance falls in the next step, so its size only matters for speed.
-4. The exact phrases of the written relation are counted per row, then over all rows; L(k) has those that reach `least`.
+4. The exact phrases of the written relation are counted per row, then range by range of their hashes over all rows; L(k) has
+   those that reach `least`.
 
 Text is lower-cased (A-Z), cut into pieces at ASCII punctuation and line ends, and into words at spaces and tabs; null text is
 empty, a null language is `und`. Rows that repeat are counted singly; doc_id plays no part. An empty table gives no rows. A very
@@ -152,6 +153,12 @@ class Level:
         out.words, out.key = np.concatenate([self.words[mine], self.words[after[mine], -1:]], axis=1), self.key[mine]
         return out
 
+    def of_words(self, words: np.ndarray):
+        """The same row with other phrases, which have no places."""
+        out = object.__new__(Level)
+        out.lang, out.vocabulary, out.k, out.own, out.words, out.key = self.lang, self.vocabulary, self.k, len(words), words, None
+        return out
+
     def hashes(self) -> np.ndarray:
         seed = xxhash.xxh3_64_intdigest(self.lang.encode())
         each = np.array([xxhash.xxh3_64_intdigest(w, seed) for w in self.vocabulary], np.uint64)
@@ -207,7 +214,7 @@ def _summed(h, n):
     return h[first], np.add.reduceat(n, first) if len(h) else n
 
 
-def passes(relation: DataFrame, k: int, known, whole: bool):
+def passes(k: int, known, whole: bool):
     """A function from Arrow batches of a relation to the occurrences of phrases of `k` words.
 
     The relation is R(k) if `whole`, else R(k-1), which is extended. `known` is the pair of the bitmaps of the relation as it
@@ -267,22 +274,36 @@ def extended_relation(relation: DataFrame, occurrences_of) -> DataFrame:
     return relation.mapInArrow(run, _RELATION)
 
 
-def exact_counts(relation: DataFrame, occurrences_of, k: int) -> DataFrame:
-    """(lang, phrase, n) of the owned occurrences."""
+def exact_phrases(relation: DataFrame, occurrences_of, k: int, ranges: int, least: int) -> DataFrame:
+    """(lang, phrase, f) of the phrases whose owned occurrences reach `least`, each range of their hashes on its own."""
 
-    def run(batches):
+    def dealt(batches):
         held, size = [], 0
 
         def flush():
-            table = pa.concat_tables(held).group_by(["lang", "phrase"]).aggregate([("n", "sum")])
-            return table.select(["lang", "phrase", "n_sum"]).rename_columns(["lang", "phrase", "n"]).to_batches(max_chunksize=10_000)
+            table = pa.concat_tables(held).group_by(["r", "lang", "phrase"]).aggregate([("n", "sum")])
+            table = table.select(["r", "lang", "phrase", "n_sum"]).rename_columns(["r", "lang", "phrase", "n"])
+            table = table.sort_by([("r", "ascending"), ("lang", "ascending"), ("phrase", "ascending")]).combine_chunks()
+            r = table.column("r").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(r)) + 1).tolist(), len(r)]
+            blobs = []
+            for a, b in zip(cuts, cuts[1:]):
+                part, sink = table.slice(a, b - a).drop_columns(["r"]), pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                    writer.write_table(part)
+                blobs.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(r[cuts[:-1]], pa.int32()), pa.array(blobs, pa.binary())], names=["r", "data"])
 
         for rows in occurrences_of(batches):
+            if not rows.own:
+                continue
             words, n = rows.counted()
             known = pa.array(rows.vocabulary, pa.binary())
             parts = [known.take(pa.array(words[:, j])) for j in range(k)]
             phrase = pc.binary_join_element_wise(*parts, b" ") if k > 1 else parts[0]
-            held.append(pa.table([pa.array([rows.lang] * len(n), pa.string()), phrase.cast(pa.string()), pa.array(n)], names=["lang", "phrase", "n"]))
+            h = rows.of_words(words).hashes()
+            lang = pa.array([rows.lang] * len(n), pa.string())
+            held.append(pa.table([pa.array((h * ranges >> _HASH_BITS).astype(np.int32)), lang, phrase, pa.array(n)], names=["r", "lang", "phrase", "n"]))
             size += len(n)
             if size >= GATHERED:
                 yield from flush()
@@ -290,7 +311,13 @@ def exact_counts(relation: DataFrame, occurrences_of, k: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return relation.mapInArrow(run, "lang string, phrase string, n long")
+    def add(table):
+        parts = [pa.ipc.open_stream(x).read_all() for x in table.column("data").to_pylist()]
+        total = pa.concat_tables(parts).group_by(["lang", "phrase"]).aggregate([("n", "sum")])
+        total = total.filter(pc.greater_equal(total.column("n_sum"), least))
+        return pa.table([total.column("lang"), total.column("phrase").cast(pa.string()), total.column("n_sum")], names=["lang", "phrase", "f"])
+
+    return relation.mapInArrow(dealt, "r int, data binary").groupBy("r").applyInArrow(add, "lang string, phrase string, f long")
 
 
 def frequent(docs: DataFrame, words=WORDS, least=LEAST, row_bytes=ROW_BYTES):
@@ -301,12 +328,11 @@ def frequent(docs: DataFrame, words=WORDS, least=LEAST, row_bytes=ROW_BYTES):
     ranges = max(1, -(-(totals.agg(F.sum("n")).first()[0] or 0) // RANGE))
     out, relation, before = None, first, None
     for k in range(1, words + 1):
-        hashes = frequent_hashes(relation, passes(relation, k, (before, None), k == 1), ranges, least)
+        hashes = frequent_hashes(relation, passes(k, (before, None), k == 1), ranges, least)
         now = context.broadcast(bitmap_of(written(hashes, "hashes")))
         if k > 1:
-            relation = written(extended_relation(relation, passes(relation, k, (before, now), False)), "relation")
-        phrases = exact_counts(relation, passes(relation, k, (None, now if k == 1 else None), True), k)
-        phrases = phrases.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+            relation = written(extended_relation(relation, passes(k, (before, now), False)), "relation")
+        phrases = exact_phrases(relation, passes(k, (None, now if k == 1 else None), True), k, 4 * ranges, least)
         phrases = written(phrases.select("lang", F.lit(k).alias("k"), "phrase", "f"), "phrases")
         out = phrases if out is None else out.unionByName(phrases)
         before = now if k == 1 else None  # relations after R1 are already semi-joined
@@ -330,7 +356,7 @@ def collocations(docs: DataFrame, text_col="text", lang_col="lang", words=WORDS,
     cuts = named.withColumn("cut", F.explode(F.sequence(F.lit(1), F.col("k") - 1)))
     cuts = cuts.select("lang", "k", "phrase", F.col("f").alias("a"), "cut", _part(F.lit(0), F.col("cut")).alias("left"), _part(F.col("cut"), F.col("k") - F.col("cut")).alias("right"))
     for side, name in (("left", "l"), ("right", "r")):
-        known = small_or_shuffled(phrases.select("lang", F.col("phrase").alias(side), F.col("f").alias(name)))
+        known = phrases.select("lang", F.col("phrase").alias(side), F.col("f").alias(name))
         cuts = cuts.join(known, ["lang", side])
     a, l, r = (F.col(c).cast("decimal(19,0)") for c in ("a", "l", "r"))
     cuts = cuts.withColumn("score", F.call_function("div", a * a * F.lit(1_000_000), l * r).cast("long"))
