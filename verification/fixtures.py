@@ -117,11 +117,15 @@ class Fixtures:
         )
 
     def regions(self) -> DataFrame:
-        """Exons along the whole of each contig that can hold one: one every 280 bases, 45 to 47 bases long."""
-        exons = self.contig().where("length(seq) >= 57").select(
-            "contig", "doc_id", F.explode(F.expr("sequence(0L, (length(seq) - 57) div 280)")).alias("i")
-        )
-        return exons.selectExpr(
+        """Exons of two transcripts of each contig, on opposite strands, that cover every base once: `tx` has an exon of 45 to
+        47 bases every 280 bases (none on contigs below 57), and the exons of `in` are all that lies between."""
+        sized = self.contig().selectExpr(
+            "contig", "doc_id", "cast(length(seq) AS long) AS size",
+            "CASE WHEN length(seq) >= 57 THEN (length(seq) - 57) div 280 + 1 ELSE 0L END AS n",
+        )
+        exons = sized.where("n > 0").select("*", F.explode(F.expr("sequence(0L, n - 1)")).alias("i"))
+        between = sized.select("*", F.explode(F.expr("sequence(0L, n)")).alias("i"))
+        own = exons.selectExpr(
             "concat('tx', cast(doc_id AS string)) AS transcript_id",
             "contig AS chrom",
             "i * 280 + 11 AS start_pos",
@@ -129,18 +133,27 @@ class Fixtures:
             "CASE WHEN doc_id % 2 = 0 THEN '+' ELSE '-' END AS strand",
             "'0' AS phase",
         )
+        rest = between.selectExpr(
+            "concat('in', cast(doc_id AS string)) AS transcript_id",
+            "contig AS chrom",
+            "CASE WHEN i = 0 THEN 1L ELSE (i - 1) * 280 + 56 + (i - 1) % 3 END AS start_pos",
+            "CASE WHEN i = n THEN size ELSE i * 280 + 10 END AS end_pos",
+            "CASE WHEN doc_id % 2 = 0 THEN '-' ELSE '+' END AS strand",
+            "'0' AS phase",
+        )
+        return own.unionAll(rest.where("start_pos <= end_pos"))
 
     def gff_lines(self) -> DataFrame:
-        """One mRNA line per document (some have no CDS) and one CDS line per exon."""
+        """Two mRNA lines per document (some have no CDS) and one CDS line per exon."""
         cds = self.regions().selectExpr(
             r"""concat_ws('\t', chrom, 'sim', 'CDS', cast(start_pos AS string), cast(end_pos AS string), '.', strand,
                 phase, concat('ID=cds_', transcript_id, '_', cast(start_pos AS string), ';Parent=', transcript_id))
                 AS value"""
         )
-        mrna = self.table("documents").selectExpr(
+        mrna = self.table("documents").selectExpr("*", "explode(array('tx', 'in')) AS kind").selectExpr(
             r"""concat_ws('\t', concat('c', cast(doc_id AS string)), 'sim', 'mRNA', '1', cast(n_chars AS string), '.',
-                CASE WHEN doc_id % 2 = 0 THEN '+' ELSE '-' END, '.', concat('ID=tx', cast(doc_id AS string)))
-                AS value"""
+                CASE WHEN (doc_id % 2 = 0) = (kind = 'tx') THEN '+' ELSE '-' END, '.',
+                concat('ID=', kind, cast(doc_id AS string))) AS value"""
         )
         return cds.unionAll(mrna)
 
@@ -154,6 +167,7 @@ class Fixtures:
             "cast(doc_id AS string) AS d", "concat('c', cast(doc_id AS string)) AS chrom", "doc_id", "cast(n_chars AS string) AS n",
             "CASE WHEN doc_id % 2 = 0 THEN '+' ELSE '-' END AS strand",
         )
+        mrna = docs.selectExpr("*", "explode(array(concat('tx', d), concat('in', d))) AS tx")
         exons = self.regions().selectExpr(
             "chrom", "strand", "transcript_id AS tx", "cast(start_pos AS string) AS a", "cast(end_pos AS string) AS b",
             "cast(substr(transcript_id, 3) AS long) % 3 AS kind",
@@ -161,8 +175,8 @@ class Fixtures:
         parent = "concat('Parent=', CASE kind WHEN 0 THEN concat('ex_', tx, '_', a) WHEN 1 THEN concat('pep_', tx) ELSE tx END)"
         parts = [
             docs.selectExpr(line("chrom", "gene", "'1'", "n", "strand", "concat('ID=g', d)")),
-            docs.selectExpr(line("chrom", "mRNA", "'1'", "n", "strand", "concat('ID=tx', d, ';Parent=g', d)")),
-            docs.where("doc_id % 3 = 1").selectExpr(line("chrom", "polypeptide", "'1'", "n", "strand", "concat('ID=pep_tx', d, ';Parent=tx', d)")),
+            mrna.selectExpr(line("chrom", "mRNA", "'1'", "n", "strand", "concat('ID=', tx, ';Parent=g', d)")),
+            mrna.where("doc_id % 3 = 1").selectExpr(line("chrom", "polypeptide", "'1'", "n", "strand", "concat('ID=pep_', tx, ';Parent=', tx)")),
             exons.where("kind = 0").selectExpr(line("chrom", "exon", "a", "b", "strand", "concat('ID=ex_', tx, '_', a, ';Parent=', tx)")),
             exons.selectExpr(line("chrom", "CDS", "a", "b", "strand", parent)),
         ]

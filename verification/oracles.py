@@ -70,7 +70,18 @@ SELECT concat('c', CAST(doc_id AS VARCHAR)) AS contig, doc_id, seq FROM (
     "fx_regions": """
 SELECT concat('tx', CAST(doc_id AS VARCHAR)) AS transcript_id, contig AS chrom, i * 280 + 11 AS start_pos, i * 280 + 55 + i % 3 AS end_pos,
   CASE WHEN doc_id % 2 = 0 THEN '+' ELSE '-' END AS strand, '0' AS phase
-FROM (SELECT doc_id, contig, unnest(range(0, (length(seq) - 57) // 280 + 1)) AS i FROM fx_contig WHERE length(seq) >= 57) e""",
+FROM (SELECT doc_id, contig, unnest(range(0, (length(seq) - 57) // 280 + 1)) AS i FROM fx_contig WHERE length(seq) >= 57) e
+UNION ALL SELECT * FROM (SELECT concat('in', CAST(doc_id AS VARCHAR)), contig,
+    CASE WHEN i = 0 THEN 1 ELSE (i - 1) * 280 + 56 + (i - 1) % 3 END AS a, CASE WHEN i = n THEN size ELSE i * 280 + 10 END AS b,
+    CASE WHEN doc_id % 2 = 0 THEN '-' ELSE '+' END, '0'
+  FROM (SELECT *, unnest(range(0, n + 1)) AS i
+    FROM (SELECT doc_id, contig, length(seq) AS size, CASE WHEN length(seq) >= 57 THEN (length(seq) - 57) // 280 + 1 ELSE 0 END AS n FROM fx_contig) f) g) h
+WHERE a <= b""",
+    "fx_transcripts": """
+SELECT kind || CAST(doc_id AS VARCHAR) AS transcript_id, (doc_id % 2 = 0) = (kind = 'tx') AS forward,
+  length(regexp_replace(translate(lower(coalesce(text, '')), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), '[^ACGT]', '', 'g'))
+    < CASE kind WHEN 'tx' THEN 57 ELSE 1 END AS bare
+FROM documents, (VALUES ('tx'), ('in')) v(kind)""",
     "fx_exons": """
 SELECT *, CAST(coalesce(sum(end_pos - start_pos + 1) OVER (PARTITION BY transcript_id
   ORDER BY CASE WHEN strand = '-' THEN -end_pos ELSE start_pos END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cds_start
@@ -176,8 +187,8 @@ def _deep(body):
     doc = "CAST(doc_id AS VARCHAR)"
     kind = "CAST(substr(transcript_id, 3) AS BIGINT) % 3"
     exon = "concat('ex_', transcript_id, '_', CAST(start_pos AS VARCHAR))"
-    edges = f"""edges AS (SELECT concat('tx', {doc}) AS id, concat('g', {doc}) AS parent FROM documents
-UNION ALL SELECT concat('pep_tx', {doc}), concat('tx', {doc}) FROM documents WHERE doc_id % 3 = 1
+    edges = f"""edges AS (SELECT concat(kind, {doc}) AS id, concat('g', {doc}) AS parent FROM documents, (VALUES ('tx'), ('in')) v(kind)
+UNION ALL SELECT concat('pep_', kind, {doc}), concat(kind, {doc}) FROM documents, (VALUES ('tx'), ('in')) v(kind) WHERE doc_id % 3 = 1
 UNION ALL SELECT {exon}, transcript_id FROM fx_regions WHERE {kind} = 0)"""
     cds = f"""cds AS (SELECT *, CASE {kind} WHEN 0 THEN {exon} WHEN 1 THEN concat('pep_', transcript_id) ELSE transcript_id END AS parent
 FROM fx_regions)"""
@@ -286,8 +297,7 @@ FROM {SCORED_CLINVAR.format('LEFT')} UNION ALL SELECT '##fileformat=VCFv4.2' UNI
   ',"total_P":' || "total_P" || ',"total_B":' || "total_B" || '}}' AS value FROM ({_three('fx_labeled', '-11.6::DOUBLE', '-8.5::DOUBLE')}) r""",
         LABELED_POINTS,
     ),
-    "resume_remaining": """SELECT concat('tx', CAST(doc_id AS VARCHAR)) AS transcript_id FROM documents
-WHERE doc_id % 2 = 0 OR length(regexp_replace(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), '[^ACGT]', '', 'g')) < 57""",
+    "resume_remaining": _sql("SELECT transcript_id FROM fx_transcripts WHERE forward OR bare"),
     "test_predictions": _sql(
         "SELECT CHROM, POS, REF, ALT, CLNSIG, score, y FROM s_split WHERE split = 'test'",
         LABELED_SPLIT.format(frac=0.8),
@@ -362,7 +372,7 @@ FROM fx_code c WHERE c.codon IN (SELECT codon FROM fx_codons) GROUP BY c.aa"""
     "variant_llr": _sql(
         f"""SELECT m.transcript_id, m.protein_pos, m.ref_aa, m.alt_aa, m.ord,
   CASE WHEN k.aa = m.ref_aa THEN round(e.lg[instr({AAS}, m.alt_aa)] - e.lg[instr({AAS}, m.ref_aa)], 6) END AS llr
-FROM (SELECT concat('tx', CAST(ord % (SELECT count(*) FROM documents) AS VARCHAR)) AS transcript_id, protein_pos, ref_aa, alt_aa, ord,
+FROM (SELECT concat(CASE protein_pos % 2 WHEN 0 THEN 'tx' ELSE 'in' END, CAST(ord % (SELECT count(*) FROM documents) AS VARCHAR)) AS transcript_id, protein_pos, ref_aa, alt_aa, ord,
     ord % (SELECT count(*) FROM embeddings) AS vec_id FROM fx_mutations) m
 JOIN fx_cds t ON t.transcript_id = m.transcript_id JOIN fx_logits e ON e.vec_id = m.vec_id
 LEFT JOIN (SELECT transcript_id, codon_idx, aa FROM fx_codons JOIN fx_code USING (codon)) k
@@ -433,7 +443,7 @@ UNION ALL SELECT NULL, CAST(1 AS DOUBLE), CAST(0 AS DOUBLE)""",
         """SELECT round(quantile_cont(x, 0.15), 9) AS q0, round(quantile_cont(x, 0.2), 9) AS q1, round(quantile_cont(x, 0.8), 9) AS q2,
   round(quantile_cont(x, 0.85), 9) AS q3 FROM fx_labeled"""
     ),
-    "all_transcripts": "SELECT concat('tx', CAST(doc_id AS VARCHAR)) AS transcript_id FROM documents",
+    "all_transcripts": _sql("SELECT transcript_id FROM fx_transcripts"),
     "extract_cds": _sql("SELECT transcript_id, strand, cds FROM fx_cds"),
     "mutation_matrix": _sql(
         f"SELECT transcript_id, codon_idx, ref_aa, {MATRIX_COLUMNS} FROM fx_positions WHERE ref_aa <> '*'"
@@ -487,8 +497,7 @@ FROM (SELECT (SELECT {{'t': threshold, 'tpr': tpr, 'fpr': fpr}} FROM c_roc
         "SELECT transcript_id, codon_idx, cds_pos, codon, ref_aa, alt_aa, CHROM, POS, REF, ALT FROM fx_placed_snvs"
     ),
     "generate_scores": _sql(f"SELECT {GENERATED} FROM fx_generated"),
-    "score_rejects": """SELECT concat('tx', CAST(doc_id AS VARCHAR)) AS transcript_id, 'no_cds' AS reason FROM documents
-WHERE length(regexp_replace(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), '[^ACGT]', '', 'g')) < 57""",
+    "score_rejects": _sql("SELECT transcript_id, 'no_cds' AS reason FROM fx_transcripts WHERE bare"),
     "resume_scores": _sql(f"SELECT {GENERATED} FROM fx_generated WHERE strand = '+'"),
     "union_scores": _sql(
         "SELECT transcript_id, count(*) AS n, CAST(sum(POS) AS BIGINT) AS pos_sum FROM fx_placed_snvs GROUP BY transcript_id"
@@ -538,7 +547,7 @@ FROM (SELECT contig, seq, unnest(range(0, (length(seq) - 1) // {CHUNK} + 1)) AS
     "feature_ancestors": _deep("SELECT id, ancestor, CAST(min(hops) AS BIGINT) AS hops FROM paths GROUP BY id, ancestor"),
     "descendant_cds": _deep(
         """SELECT DISTINCT ancestor AS transcript_id, chrom, start_pos, end_pos, strand, '.' AS phase
-FROM (SELECT c.*, c.parent AS ancestor FROM cds c UNION ALL SELECT c.*, p.ancestor FROM cds c JOIN paths p ON p.id = c.parent) q WHERE ancestor LIKE 'tx%'"""
+FROM (SELECT c.*, c.parent AS ancestor FROM cds c UNION ALL SELECT c.*, p.ancestor FROM cds c JOIN paths p ON p.id = c.parent) q WHERE ancestor LIKE 'tx%' OR ancestor LIKE 'in%'"""
     ),
     "gene_cds": _deep(
         """SELECT ancestor AS gene_id, count(*) AS n, CAST(sum(end_pos - start_pos + 1) AS BIGINT) AS bases

@@ -402,7 +402,8 @@ def variant_llr(fx):
     one = F.count(F.lit(1))
     doc = F.col("ord") % fx.table("documents").agg(one).scalar()
     vec = F.col("ord") % fx.table("embeddings").agg(one).scalar()
-    named = fx.mutations().withColumns({"transcript_id": F.concat(F.lit("tx"), doc.cast("string")), "vec_id": vec})
+    kind = F.when(F.col("protein_pos") % 2 == 0, "tx").otherwise("in")
+    named = fx.mutations().withColumns({"transcript_id": F.concat(kind, doc.cast("string")), "vec_id": vec})
     rows = named.join(proteins, "transcript_id").join(fx.logits(), "vec_id")
     score = llr.variant_llr(
         F.col("protein"), F.col("protein_pos"), F.col("ref_aa"), F.col("alt_aa"), F.col("logits")
