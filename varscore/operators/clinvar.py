@@ -1,6 +1,6 @@
 """Clinically labelled variants: records, filters, labels and counts."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from varscore.constants import BENIGN_LABELS, IGNORED_LABELS, PATHOGENIC_LABELS, SNV_CLASS
@@ -60,6 +60,19 @@ def filter_summary(body: DataFrame, **parameters) -> DataFrame:
     return with_annotations(body).agg(F.count(F.lit(1)).alias("total"), kept)
 
 
+def observed_filter(body: DataFrame, **parameters):
+    """`(kept, seen, passed)`: the filtered rows, and two observations that are filled when the rows are used.
+
+    `seen` holds the total and the count of each label before the filter, `passed` the rows kept, so a job that writes
+    the rows reports its counts without parsing anything again. They are filled by the first action on the rows.
+    """
+    seen, passed = Observation(), Observation()
+    labels = [F.count_if(F.col("CLNSIG") == label).alias(label) for label in LABELS]
+    parsed = with_annotations(body).observe(seen, F.count(F.lit(1)).alias("total"), *labels)
+    kept = parsed.where(keep_condition(**parameters)).observe(passed, F.count(F.lit(1)).alias("kept"))
+    return kept, seen, passed
+
+
 def count_clinsig(df: DataFrame) -> DataFrame:
     """Rows per label, the four labels always present."""
     counts = df.agg(*[F.count_if(F.col("CLNSIG") == label).alias(label) for label in LABELS])

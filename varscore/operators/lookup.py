@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from varscore.constants import KEY_COLUMNS, SCORE_INFO_ID
 from varscore.functions.info import score_info, strip_chr
 from varscore.operators.joins import key_counts, join_unique
+from varscore.operators.prune import possible_matches
 from varscore.runtime import BROADCAST_BYTES, checkpointed, measured_bytes
 
 KEY = list(KEY_COLUMNS)
@@ -50,20 +51,22 @@ def _normalised(df: DataFrame, normalize_chrom: bool) -> DataFrame:
     return df.withColumn("CHROM", strip_chr(F.col("CHROM"))) if normalize_chrom else df
 
 
-def _candidates(scores, order_col, small):
+def _candidates(scores, keys, order_col, small):
     """The score rows to match against keys, and the column that still orders rows of one key.
 
-    Small key tables filter the score rows as they are. Otherwise both sides are shuffled by key, and reducing
-    the scores in the same shuffle costs nothing and collapses copies of a key before it.
+    Small key tables filter the score rows as they are. Otherwise both sides are shuffled by key: a filter of the
+    keys, of fixed size, takes out most score rows that no key wants, and reducing the rest in the same shuffle costs
+    nothing and collapses copies of a key before it.
     """
+    table = scores.select(*KEY, "score", *([order_col] if order_col else []))
     if not small:
-        return dedupe_scores(scores, order_col), None
-    return scores.select(*KEY, "score", *([order_col] if order_col else [])), order_col
+        return dedupe_scores(possible_matches(table, keys, KEY), order_col), None
+    return table, order_col
 
 
 def _matched(scores, keys, order_col, small):
     """Scores of the wanted keys, one row per key."""
-    table, order_col = _candidates(scores, order_col, small)
+    table, order_col = _candidates(scores, keys, order_col, small)
     wanted = keys.select(*KEY)
     hits = table.join(F.broadcast(wanted) if small else wanted, KEY, "inner")
     return hits.groupBy(*KEY).agg(last_score(order_col)) if small else hits
@@ -78,12 +81,12 @@ def lookup_scores(
 ) -> DataFrame:
     """Scores of the given variants: `(CHROM, POS, REF, ALT, score)`, each key once, under the caller's CHROM."""
     own = checkpointed(_keyed(variants.select(*KEY), normalize_chrom).distinct())
-    keys = checkpointed(key_counts(own.select(*KEY), KEY))
-    small = measured_bytes(keys) <= broadcast_bytes
-    matched = _matched(_normalised(scores, normalize_chrom), keys, order_col, small)
-    if not normalize_chrom:
-        return matched
-    return _restored(matched.join(own, KEY), [*KEY, "score"])
+    small = measured_bytes(own) <= broadcast_bytes
+    table, order_col = _candidates(_normalised(scores, normalize_chrom), own, order_col, small)
+    hits = table.join(F.broadcast(own) if small else own, KEY)
+    if small:  # otherwise the scores have been reduced, and a key has one row for each name of its CHROM
+        hits = hits.groupBy(*KEY, _OWN_CHROM).agg(last_score(order_col))
+    return _restored(hits, [*KEY, "score"])
 
 
 def score_variants(
@@ -131,7 +134,7 @@ def annotate(
     alleles = keys.select(
         "CHROM", "POS", "REF", F.col("ALT").alias("alts"), F.posexplode(F.split("ALT", ",")).alias("i", "ALT")
     )
-    table, order_col = _candidates(_normalised(scores, normalize_chrom), order_col, small)
+    table, order_col = _candidates(_normalised(scores, normalize_chrom), alleles, order_col, small)
     hits = table.join(F.broadcast(alleles) if small else alleles, KEY, "inner")
     rank = F.struct("i", *([order_col] if order_col else []), "score")
     best = (

@@ -14,8 +14,8 @@ COLUMNS = ["CHROM", "POS", "REF", "ALT", "CLNSIG", "score"]
 
 
 def scored_labels(body: DataFrame, scores: DataFrame, min_stars: int = 1) -> DataFrame:
-    """Filtered variants with a score, a label `y` and `x`."""
-    kept = filter_clinvar(body, min_stars=min_stars).select("CHROM", "POS", "REF", "ALT", "CLNSIG")
+    """Filtered variants with a score, a label `y` and `x`. The narrow rows are kept: they are read twice, and parsed once."""
+    kept = checkpointed(filter_clinvar(body, min_stars=min_stars).select("CHROM", "POS", "REF", "ALT", "CLNSIG"))
     return with_label(score_variants(kept, scores).where(F.col("score").isNotNull()).select(*COLUMNS))
 
 

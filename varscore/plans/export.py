@@ -1,11 +1,12 @@
-"""Annotation of variant text: rows in, text lines out."""
+"""Annotated and filtered variant text: rows in, text lines or files out."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varscore.constants import SCORE_DESCRIPTION, SCORE_INFO_ID, VCF_COLUMNS
+from varscore.operators.clinvar import observed_filter
 from varscore.operators.lookup import annotate, annotated_info
-from varscore.sinks.vcf import info_header
+from varscore.sinks.vcf import info_header, write_vcf_lines
 
 
 def annotated_header(header: DataFrame, info_id: str = SCORE_INFO_ID, description: str = SCORE_DESCRIPTION):
@@ -28,3 +29,10 @@ def annotated_lines(body: DataFrame, scores: DataFrame, info_id: str = SCORE_INF
     rows = annotate(placed, scores, place_col="_place", **options)
     fixed = [F.col(c).cast("string") for c in VCF_COLUMNS[:-1]]
     return rows.select(F.concat_ws("\t", *fixed, annotated_info(info_id), "_tail").alias("value"))
+
+
+def filter_file(header: DataFrame, body: DataFrame, path: str, compress: bool = True, mode="error", **parameters) -> dict:
+    """Write the filtered lines below their header; returns total, kept and the count of each label, gathered meanwhile."""
+    kept, seen, passed = observed_filter(body, **parameters)
+    write_vcf_lines(header, kept, path, compress, mode)
+    return {**seen.get, **passed.get}

@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
 from varscore import schemas
 
@@ -12,13 +13,29 @@ def write_split(split: DataFrame, path: str, mode="error"):
     split.select(*columns, "split").write.mode(mode).partitionBy("split").csv(path, header=True)
 
 
-def report_json(report: DataFrame) -> DataFrame:
-    """A one-row report as JSON text; an infinite threshold is written as a string."""
-    return report.select(F.to_json(F.struct("*")).alias("value"))
+def _fixed(column, kind, decimals):
+    """Doubles, also inside sections, as numbers of fixed decimals; what is not finite as null."""
+    if isinstance(kind, StructType):
+        return F.struct(*[_fixed(column[f.name], f.dataType, decimals).alias(f.name) for f in kind.fields])
+    if isinstance(kind, DoubleType):
+        finite = ~F.isnan(column) & (F.abs(column) != float("inf"))
+        return F.when(finite, column).try_cast(f"decimal(38,{decimals})")
+    return column
 
 
-def write_report(report: DataFrame, path: str, mode="error"):
-    report_json(report).write.mode(mode).text(path)
+def report_json(report: DataFrame, decimals=None) -> DataFrame:
+    """A one-row report as JSON text, sections as nested objects; an infinite threshold is written as a string.
+
+    With `decimals` every fraction has that many places, so the text is the same whatever prints it; an infinite
+    threshold is null then. Missing values are written as null.
+    """
+    fields = report.schema.fields
+    values = ["*"] if decimals is None else [_fixed(F.col(f.name), f.dataType, decimals).alias(f.name) for f in fields]
+    return report.select(F.to_json(F.struct(*values), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def write_report(report: DataFrame, path: str, mode="error", decimals=None):
+    report_json(report, decimals).write.mode(mode).text(path)
 
 
 def append_scores(scores: DataFrame, path: str):

@@ -101,7 +101,7 @@ class Fixtures:
         from varscore.operators.lookup import score_variants
 
         rows = with_label(with_annotations(self.clinvar())).select("CHROM", "POS", "REF", "ALT", "CLNSIG", "y")
-        return with_x(score_variants(rows, self.scores()))
+        return with_x(score_variants(checkpointed(rows), self.scores()))
 
     def contig(self) -> DataFrame:
         named = self.table("documents").selectExpr("concat('c', cast(doc_id AS string)) AS contig", "doc_id", "text")

@@ -197,6 +197,34 @@ UNION ALL SELECT p.id, e.parent, hops + 1 FROM paths p JOIN edges e ON e.id = p.
     return _sql(body, edges, cds, paths).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
+def _json(fields):
+    """SQL text of a JSON object: names of columns by kind (`f` six decimals, `i` integer or boolean, `s` text) or sections."""
+    items = []
+    for name, kind in fields.items():
+        if isinstance(kind, dict):
+            value = _json(kind)
+        elif kind == "s":
+            value = f"""'"' || "{name}" || '"'"""
+        else:
+            value = f"""CAST({f'CAST("{name}" AS DECIMAL(38,6))' if kind == "f" else f'"{name}"'} AS VARCHAR)"""
+        items.append(f"""'"{name}":' || {value}""")
+    return "'{' || " + " || ',' || ".join(items) + " || '}'"
+
+
+def _kinds(text):
+    """`name` is a fraction, `name:i` and `name:s` are others."""
+    return {item.split(":")[0]: (item.split(":") + ["f"])[1] for item in text.split()}
+
+
+THREE_SECTIONS = {
+    "thresholds": _kinds("p_threshold b_threshold"),
+    "predictions": _kinds("predicted_P:i predicted_B:i VUS:i"),
+    "true_labels_in_prediction": _kinds("true_P_predicted_P:i true_P_in_VUS:i true_B_predicted_B:i true_B_in_VUS:i"),
+    "performance": _kinds("AUC PPV_P NPV_B sensitivity_P specificity_B coverage_P coverage_B"),
+    "totals": _kinds("total_P:i total_B:i"),
+}
+
+
 def _ratio(a, b):
     return f"coalesce(CAST({a} AS DOUBLE) / nullif({b}, 0), 0)"
 
@@ -293,8 +321,8 @@ UNION ALL SELECT {BODY_LINE.format('INFO')} AS value FROM fx_kept"""
 FROM {SCORED_CLINVAR.format('LEFT')} UNION ALL SELECT '##fileformat=VCFv4.2' UNION ALL SELECT {HEADER} UNION ALL SELECT {COLUMN_LINE}"""
     ),
     "report_json": _sql(
-        f"""SELECT '{{"predicted_P":' || "predicted_P" || ',"predicted_B":' || "predicted_B" || ',"VUS":' || "VUS" ||
-  ',"total_P":' || "total_P" || ',"total_B":' || "total_B" || '}}' AS value FROM ({_three('fx_labeled', '-11.6::DOUBLE', '-8.5::DOUBLE')}) r""",
+        f"""SELECT {_json({k: v for section in THREE_SECTIONS.values() for k, v in section.items()})} AS value
+FROM ({_three('fx_labeled', '-11.6::DOUBLE', '-8.5::DOUBLE')}) r""",
         LABELED_POINTS,
     ),
     "resume_remaining": _sql("SELECT transcript_id FROM fx_transcripts WHERE forward OR bare"),
@@ -558,3 +586,43 @@ FROM cds c JOIN paths p ON p.id = c.parent WHERE ancestor LIKE 'g%' GROUP BY anc
         "SELECT CASE WHEN POS % 2 = 0 THEN 'even' ELSE 'odd' END AS batch, count(*) AS n_rows FROM fx_scores GROUP BY batch"
     ),
 }
+
+
+def _report(fields, source, extra="0 AS unused"):
+    """A report as JSON text over the rows of another query."""
+    return f"SELECT {_json(fields)} AS value FROM (SELECT *, {extra} FROM ({ORACLES[source]}) r) q"
+
+
+ORACLES |= {
+    "report_nested": _report(_kinds("p_threshold b_threshold") | THREE_SECTIONS, "evaluate_three_class"),
+    "report_binary": _report(
+        _kinds("threshold") | {"metrics": _kinds("auc sensitivity specificity precision npv tp:i tn:i fp:i fn:i")},
+        "evaluate_binary",
+        "-10.0::DOUBLE AS threshold",
+    ),
+    "report_specificity": _report(
+        _kinds("threshold threshold_negated specificity")
+        | {"metrics": _kinds("target_specificity actual_specificity sensitivity_at_threshold")},
+        "calibrate_specificity",
+        "0 - calibrated_threshold AS threshold, calibrated_threshold AS threshold_negated, target_specificity AS specificity",
+    ),
+    "report_three_class": _report(
+        _kinds("p_threshold b_threshold specificity specificity_b")
+        | {"metrics": _kinds("target_specificity p_actual_specificity p_sensitivity target_specificity_b b_actual_specificity b_sensitivity adjusted:i")},
+        "calibrate_three",
+        "target_specificity AS specificity, target_specificity_b AS specificity_b",
+    ),
+    "report_precision": _report(
+        _kinds("p_threshold b_threshold ppv_target npv_target")
+        | {"metrics": _kinds("method:s target_ppv actual_ppv target_npv actual_npv adjusted:i")},
+        "calibrate_precision",
+        "target_ppv AS ppv_target, target_npv AS npv_target",
+    ),
+    "filter_counts": _sql(
+        """SELECT count(*) AS total, count(*) FILTER (WHERE CLNSIG = 'Pathogenic') AS "Pathogenic",
+  count(*) FILTER (WHERE CLNSIG = 'Likely_pathogenic') AS "Likely_pathogenic", count(*) FILTER (WHERE CLNSIG = 'Benign') AS "Benign",
+  count(*) FILTER (WHERE CLNSIG = 'Likely_benign') AS "Likely_benign", (SELECT count(*) FROM fx_kept) AS kept FROM fx_annotated"""
+    ),
+    "filtered_vcf_file": ORACLES["filter_clinvar_lines"],
+    "lookup_scores_shuffled": ORACLES["lookup_scores"],
+}

@@ -7,7 +7,7 @@ from varscore.constants import AMINO_ACIDS
 from varscore.functions import info, llr, sequence
 from varscore.operators import calibrate, clinvar, curves, evaluate, genome, lookup, matrix, model, mutations
 from varscore.operators.split import stratified_split
-from varscore.plans import benchmark, export, scoring
+from varscore.plans import benchmark, export, reports, scoring
 from varscore.runtime import scratch_path
 from varscore.sinks import batches, tables, vcf as vcf_out
 from varscore.sources import fasta, gff, members, scores as score_source, vcf as vcf_in
@@ -190,13 +190,49 @@ def annotate_lines(fx):
 
 @query
 def report_json(fx):
-    return tables.report_json(_integer_report(fx))
+    """All fields of the flat three-class report, with fixed decimals: such text is the same in every engine."""
+    return tables.report_json(evaluate.evaluate_three_class(fx.labeled(), -11.6, -8.5), decimals=6)
 
 
-def _integer_report(fx):
-    """Integer part of the three-class report: its text form is the same in every engine."""
-    report = evaluate.evaluate_three_class(fx.labeled(), -11.6, -8.5)
-    return report.select("predicted_P", "predicted_B", "VUS", "total_P", "total_B")
+@query
+def report_nested(fx):
+    return tables.report_json(reports.three_class_evaluation_report(fx.labeled(), -11.6, -8.5), decimals=6)
+
+
+@query
+def report_binary(fx):
+    return tables.report_json(reports.binary_evaluation_report(fx.labeled(), -10.0), decimals=6)
+
+
+@query
+def report_specificity(fx):
+    return tables.report_json(reports.specificity_report(fx.labeled(), 0.95), decimals=6)
+
+
+@query
+def report_three_class(fx):
+    return tables.report_json(reports.three_class_report(fx.labeled(), 0.95, 0.95), decimals=6)
+
+
+@query
+def report_precision(fx):
+    return tables.report_json(reports.precision_report(fx.labeled(), 0.90, 0.90), decimals=6)
+
+
+@query
+def filter_counts(fx):
+    """What the job that writes the filtered lines reports about them."""
+    lines = fx.vcf_lines()
+    counts = export.filter_file(vcf_in.vcf_header(lines), vcf_in.vcf_body(lines), scratch_path(fx.spark, "filtered"))
+    return fx.spark.createDataFrame([tuple(counts.values())], ", ".join(f"{name} long" for name in counts))
+
+
+@query
+def filtered_vcf_file(fx):
+    """The filtered file, read back."""
+    lines, path = fx.vcf_lines(), scratch_path(fx.spark, "filtered")
+    export.filter_file(vcf_in.vcf_header(lines), vcf_in.vcf_body(lines), path)
+    return fx.spark.read.text(path).select("value")
 
 
 @query
@@ -426,6 +462,12 @@ def lookup_scores(fx):
     return lookup.lookup_scores(fx.scores(), fx.clinvar())
 
 
+@query
+def lookup_scores_shuffled(fx):
+    """The same beyond the broadcast limit: the score rows pass a filter of the keys and both sides are shuffled."""
+    return lookup.lookup_scores(fx.raw_scores(), fx.clinvar(), broadcast_bytes=0)
+
+
 @query
 def annotate(fx):
     rows = lookup.annotate(fx.clinvar(), fx.scores(), normalize_chrom=True)
