@@ -624,5 +624,11 @@ ORACLES |= {
   count(*) FILTER (WHERE CLNSIG = 'Likely_benign') AS "Likely_benign", (SELECT count(*) FROM fx_kept) AS kept FROM fx_annotated"""
     ),
     "filtered_vcf_file": ORACLES["filter_clinvar_lines"],
+    "single_vcf_file": _sql("SELECT value FROM fx_vcf_lines"),
+    "clustered_files": _sql(
+        "SELECT CHROM, min(POS) AS min_pos, max(POS) AS max_pos, count(*) AS n_rows FROM fx_raw_scores GROUP BY CHROM"
+    ),
+    "clustered_interval": _sql("SELECT * FROM fx_scores WHERE CHROM = 'chr5' AND POS BETWEEN 2000 AND 40000"),
+    "clustered_lookup": ORACLES["lookup_scores"],
     "lookup_scores_shuffled": ORACLES["lookup_scores"],
 }

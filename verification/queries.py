@@ -9,7 +9,7 @@ from varscore.operators import calibrate, clinvar, curves, evaluate, genome, loo
 from varscore.operators.split import stratified_split
 from varscore.plans import benchmark, export, reports, scoring
 from varscore.runtime import scratch_path
-from varscore.sinks import batches, tables, vcf as vcf_out
+from varscore.sinks import batches, clustered, member_file, tables, vcf as vcf_out
 from varscore.sources import fasta, gff, members, scores as score_source, vcf as vcf_in
 from verification.fixtures import CHUNK, Fixtures
 from verification.toy_scorer import faulty_scorer, toy_scorer
@@ -235,6 +235,39 @@ def filtered_vcf_file(fx):
     return fx.spark.read.text(path).select("value")
 
 
+@query
+def single_vcf_file(fx):
+    """All lines in one block-compressed file, read back in ranges."""
+    lines, path = fx.vcf_lines(), scratch_path(fx.spark, "single") + ".vcf.gz"
+    member_file.write_vcf_file(vcf_in.vcf_header(lines), lines.where("value NOT LIKE '#%'"), path)
+    return members.read_members(fx.spark, path, 1 << 20).select("value")
+
+
+def _clustered(fx, scores):
+    path = scratch_path(fx.spark, "clustered")
+    clustered.write_clustered(scores, path, 64)
+    return path
+
+
+@query
+def clustered_files(fx):
+    """What the files of the store hold, added up for each contig."""
+    files = clustered.file_table(fx.spark, _clustered(fx, fx.raw_scores()))
+    sums = [F.min("min_pos").alias("min_pos"), F.max("max_pos").alias("max_pos"), F.sum("n_rows").alias("n_rows")]
+    return files.groupBy("CHROM").agg(*sums)
+
+
+@query
+def clustered_interval(fx):
+    return clustered.in_interval(fx.spark, _clustered(fx, fx.scores()), "chr5", 2_000, 40_000)
+
+
+@query
+def clustered_lookup(fx):
+    """Scores of all variants from a store that keeps repeated keys."""
+    return clustered.lookup_scores(fx.spark, _clustered(fx, fx.raw_scores()), fx.clinvar())
+
+
 @query
 def resume_remaining(fx):
     """Transcripts left when those on the minus strand are done."""
