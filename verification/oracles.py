@@ -630,5 +630,9 @@ ORACLES |= {
     ),
     "clustered_interval": _sql("SELECT * FROM fx_scores WHERE CHROM = 'chr5' AND POS BETWEEN 2000 AND 40000"),
     "clustered_lookup": ORACLES["lookup_scores"],
+    "sketch_percentiles": _sql(
+        """SELECT CAST(q AS DOUBLE) AS q, count(x) > 0 AS all_rows, count(x) > 0 AS within
+FROM fx_labeled, (VALUES (0.15), (0.2), (0.5), (0.8), (0.85)) v(q) GROUP BY q"""
+    ),
     "lookup_scores_shuffled": ORACLES["lookup_scores"],
 }

@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 from varscore import schemas
 from varscore.constants import AMINO_ACIDS
 from varscore.functions import info, llr, sequence
-from varscore.operators import calibrate, clinvar, curves, evaluate, genome, lookup, matrix, model, mutations
+from varscore.operators import calibrate, clinvar, curves, evaluate, genome, lookup, matrix, model, mutations, sketches
 from varscore.operators.split import stratified_split
 from varscore.plans import benchmark, export, reports, scoring
-from varscore.runtime import scratch_path
+from varscore.runtime import checkpointed, scratch_path
 from varscore.sinks import batches, clustered, member_file, tables, vcf as vcf_out
 from varscore.sources import fasta, gff, members, scores as score_source, vcf as vcf_in
 from verification.fixtures import CHUNK, Fixtures
@@ -620,6 +620,18 @@ def score_percentiles(fx):
     return rows.select([F.round(c, 9).alias(c) for c in rows.columns])
 
 
+@query
+def sketch_percentiles(fx):
+    """Percentiles from the merged sketches of all contigs, and whether their exact ranks lie within twice the stated error."""
+    quantiles, k = [0.15, 0.2, 0.5, 0.8, 0.85], 1024
+    rows = checkpointed(fx.labeled().select("CHROM", "x"))
+    found = sketches.sketched_percentiles(sketches.sketches(rows, ["CHROM"], k=k), quantiles).first()
+    ranks = [F.struct(F.lit(q).alias("q"), F.mean((F.col("x") < found[f"q{i}"]).cast("int")).alias("low"), F.mean((F.col("x") <= found[f"q{i}"]).cast("int")).alias("high")) for i, q in enumerate(quantiles)]
+    error = 2 * sketches.rank_error(k)
+    seen = rows.agg(F.count("x").alias("exact"), F.array(*ranks).alias("ranks")).select("exact", F.explode("ranks").alias("r"))
+    return seen.select("r.q", (F.col("exact") == found["n"]).alias("all_rows"), ((F.col("r.low") <= F.col("r.q") + error) & (F.col("r.high") >= F.col("r.q") - error)).alias("within"))
+
+
 @query
 def all_transcripts(fx):
     return gff.all_transcripts(gff.gff_features(fx.gff_lines()))
