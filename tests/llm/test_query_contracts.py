@@ -1,5 +1,6 @@
 """The registered queries on the given tables: their columns, and plain computations of what they report."""
 
+import hashlib
 import os
 import random
 import re
@@ -60,6 +61,27 @@ def test_shards_report_sizes_and_checksums(spark, docs):
     assert sorted(slots) == list(range(8)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_order_minhash_report(spark, docs):
+    """Edited texts from the next document, and likeness as the share of equal sketches of two fingerprints."""
+    texts = [r.text or "" for r in docs.orderBy("doc_id").collect()]
+    rows = sorted(queries.op10_order_minhash(spark, SF).collect(), key=lambda r: r.doc_id)
+
+    def near(a, b):
+        a, b = (set(map(int, x.split())) for x in (a, b))
+        either = {c >> 16 for c in a} | {c >> 16 for c in b}
+        return len(a & b) / len(either) if either else 1.0
+
+    same = defaultdict(set)
+    for i, r in enumerate(rows):
+        after, quarter = (i + 1) % len(rows), len(texts[i]) // 4
+        edited = texts[i][: len(texts[i]) - quarter] + texts[after][:quarter]
+        assert (r.n_chars, r.edited_sha256) == (len(texts[i]), hashlib.sha256(edited.encode()).hexdigest())
+        assert r.near_edited == pytest.approx(near(r.fingerprint, r.edited_fingerprint))
+        assert r.near_next == pytest.approx(near(r.fingerprint, rows[after].fingerprint))
+        same[texts[i]].add(r.fingerprint)
+    assert all(len(prints) == 1 for prints in same.values())
+
+
 def test_quality_on_labels_that_were_held_out(spark):
     rows = queries.op2_quality(spark, LARGER).collect()
     for r in rows:
