@@ -219,3 +219,16 @@ def test_scorer_runs_in_tasks(spark):
     ]
     total = scored.select(F.aggregate("logits", F.lit(0.0), lambda a, v: a + F.exp(v)).alias("t"))
     assert all(abs(r.t - 1) < 1e-9 for r in total.collect())
+
+
+def test_ranges_of_offsets_give_what_single_offsets_give(spark, monkeypatch):
+    """Exons shorter and longer than a bucket, ranges beyond the coding sequence and empty ones."""
+    regions = [("t", "c", a, b, "-", "0") for a, b in ((1, 3), (5, 5), (9, 40))] + [("u", "c", 2, 2, "+", "0"), ("u", "c", 7, 30, "+", "0")]
+    exons = genome.exon_offsets(spark.createDataFrame(regions, REGIONS))
+    ranges = [("t", 0, 35), ("t", 3, 4), ("u", 1, 99), ("u", 5, 4), ("gone", 0, 9)]
+    single = spark.createDataFrame([(t, i) for t, a, b in ranges for i in range(a, b + 1)], "transcript_id string, cds_offset long")
+    spans = spark.createDataFrame(ranges, "transcript_id string, first_offset long, last_offset long")
+    monkeypatch.setattr(genome, "_OFFSET_BUCKET", 4)
+    expected = rows(genome.cds_to_genome(single, exons))
+    monkeypatch.setattr(genome, "_RANGE_BUCKET", 7)
+    assert len(expected) == 36 + 2 + 24 and rows(genome.ranges_to_genome(spans, exons)) == expected
