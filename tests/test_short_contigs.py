@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from check import TABLES, difference
+from verification.fixtures import Fixtures
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,3 +26,11 @@ def test_sequences_without_a_whole_codon_have_no_protein(spark, short_documents)
     ours = contract.queries()["translate_cds"](spark, short_documents).toPandas()
     assert sorted(ours["transcript_id"]) == ["in2", "in4", "tx4"]
     assert difference(ours, connection.execute(contract.oracle_sql()["translate_cds"]).fetch_df()) is None
+
+
+def test_regions_go_through_the_texts_once(spark, short_documents):
+    fixtures = Fixtures(spark, short_documents)
+    for _ in range(2):
+        plan = fixtures.regions()._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp" not in plan and "Relation" in plan
+    assert fixtures.regions().count() == 6
