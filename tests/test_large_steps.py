@@ -5,11 +5,12 @@ import random
 
 import duckdb
 import pandas as pd
+import pyarrow as pa
 from conftest import rows
 from pyspark.sql import functions as F
 
 from varscore.functions.numbers import rounded
-from varscore.operators import matrix
+from varscore.operators import matrix, model
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,3 +36,31 @@ def test_conservation_of_rows_with_and_without_numbers(spark):
     found = matrix.conservation(given, ["k"])
     assert rows(found) == [(1, 2.0), (2, None), (3, None)]
     assert "lambda" not in plan(found)
+
+
+def test_scored_columns(spark):
+    columns = model._columns(["p", "q", "r"], ["AC", "", "Dé"], [[[1.0] * 20, [2.0] * 20], [[]][:0] or pd.DataFrame(index=[], columns=range(20)).to_numpy(), [[3.0] * 20] * 2])
+    assert pa.table(columns[:3], names=["a", "b", "c"]).to_pylist() == [
+        {"a": "p", "b": 0, "c": "A"}, {"a": "p", "b": 1, "c": "C"}, {"a": "r", "b": 0, "c": "D"}, {"a": "r", "b": 1, "c": "é"},
+    ]
+    assert [x[0] for x in columns[3].to_pylist()] == [1.0, 2.0, 3.0, 3.0]
+
+
+def test_sequences_are_scored_without_frames(spark):
+    def scorer():
+        return lambda sequences: [[[float(i)] * 20 for i in range(len(s))] for s in sequences]
+
+    proteins = spark.createDataFrame([(f"p{n}", "ACDEFW"[: n % 7]) for n in range(20)], "protein_id string, sequence string")
+    scored = model.score_sequences(proteins, scorer)
+    assert "MapInPandas" not in plan(scored)
+    wanted = sorted((f"p{n}", i, aa, float(i)) for n in range(20) for i, aa in enumerate("ACDEFW"[: n % 7]))
+    assert rows(scored.select("protein_id", "pos", "ref_aa", F.get("logits", F.lit(19)))) == wanted
+
+
+def test_scores_of_the_tolerant_scorer_are_kept_as_columns(spark):
+    def scorer():
+        return lambda sequences: [[[0.0] * 20] * len(s) for s in sequences]
+
+    proteins = spark.createDataFrame([("p", "AC")], "protein_id string, sequence string")
+    scores, rejects = model.score_tolerant(proteins, scorer)
+    assert "parquet" in plan(scores) and scores.count() == 2 and rejects.count() == 0

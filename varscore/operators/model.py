@@ -7,14 +7,41 @@ in the fixed amino-acid order, with the position masked. One pass per position y
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varscore.runtime import checkpointed, spread
+from varscore.runtime import spread, stored
 
 SCORED = "protein_id string, pos int, ref_aa string, logits array<double>"
+_SCORED = pa.schema([("protein_id", pa.string()), ("pos", pa.int32()), ("ref_aa", pa.string()), ("logits", pa.list_(pa.float64()))])
+#: Positions of an Arrow batch of `score_sequences`, at the least, except for the last of a task.
+ROWS = 16_384
+
+
+def _letters(sequences: list) -> pa.Array:
+    """The characters of all sequences, in one pass over their bytes where each is one byte."""
+    text = "".join(sequences)
+    if not text.isascii():
+        return pa.array(list(text), pa.string())
+    places = np.arange(len(text) + 1, dtype="int32")
+    return pa.StringArray.from_buffers(len(text), pa.py_buffer(places), pa.py_buffer(text.encode()))
+
+
+def _columns(proteins: list, sequences: list, values: list) -> list:
+    """The columns of `SCORED` for proteins with their scores, without a Python object per position."""
+    sizes = np.array([len(s) for s in sequences], dtype="int64")
+    total = int(sizes.sum())
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    flat = np.concatenate(values).astype("float64", copy=False).ravel() if values else np.zeros(0)
+    if len(flat) != total * 20:
+        raise ValueError(f"{len(flat)} scores for {total} residues")
+    return [
+        pa.array(proteins, pa.string()).take(pa.array(owner)),
+        pa.array((np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype("int32")),
+        _letters(sequences),
+        pa.ListArray.from_arrays(pa.array(np.arange(0, total * 20 + 1, 20, dtype="int32")), pa.array(flat)),
+    ]
 
 
 def score_sequences(proteins: DataFrame, scorer_factory: Callable[[], Callable], batch_size: int = 4) -> DataFrame:
@@ -23,22 +50,25 @@ def score_sequences(proteins: DataFrame, scorer_factory: Callable[[], Callable],
     The factory runs once per task, so a model is loaded once and then used for all batches of the partition.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_factory()
-        for frame in frames:
-            for start in range(0, len(frame), batch_size):
-                batch = frame.iloc[start : start + batch_size]
-                for protein, sequence, scores in zip(batch["protein_id"], batch["sequence"], scorer(list(batch["sequence"]))):
-                    yield pd.DataFrame(
-                        {
-                            "protein_id": protein,
-                            "pos": np.arange(len(sequence), dtype="int32"),
-                            "ref_aa": list(sequence),
-                            "logits": list(np.asarray(scores, dtype="float64")),
-                        }
-                    )
-
-    return proteins.select("protein_id", "sequence").where(F.length("sequence") > 0).mapInPandas(run, SCORED)
+        held, size = ([], [], []), 0
+        for rows in batches:
+            names, texts = rows.column(0).to_pylist(), rows.column(1).to_pylist()
+            for start in range(0, len(texts), batch_size):
+                batch = texts[start : start + batch_size]
+                for name, text, scores in zip(names[start : start + batch_size], batch, scorer(list(batch))):
+                    for column, value in zip(held, (name, text, np.asarray(scores, dtype="float64"))):
+                        column.append(value)
+                    size += len(text)
+                if size >= ROWS:
+                    yield pa.RecordBatch.from_arrays(_columns(*held), schema=_SCORED)
+                    held, size = ([], [], []), 0
+        if size:
+            yield pa.RecordBatch.from_arrays(_columns(*held), schema=_SCORED)
+
+    wanted = proteins.select(F.col("protein_id").cast("string").alias("protein_id"), "sequence")
+    return wanted.where(F.length("sequence") > 0).mapInArrow(run, SCORED)
 
 
 #: Residues of a model batch (sequences times the longest of them), batches gathered before they are sorted by length, and
@@ -136,17 +166,12 @@ def score_tolerant(
         def rows(done):
             good = [(protein, sequence, np.concatenate([p for _, p in found])) for (protein, sequence), found, error in done if error is None]
             bad = [(protein, error) for (protein, _), _, error in done if error is not None]
-            sizes, none = [len(s) for _, s, _ in good], [None] * len(bad)
-            values = np.concatenate([v for _, _, v in good]).ravel() if good else np.zeros(0)
-            offsets = pa.array([*range(0, len(values) + 1, 20), *[len(values)] * len(bad)], pa.int32())
-            arrays = [
-                pa.array([p for (p, _, _), n in zip(good, sizes) for _ in range(n)] + [p for p, _ in bad], pa.string()),
-                pa.array([i for n in sizes for i in range(n)] + none, pa.int32()),
-                pa.array([aa for _, s, _ in good for aa in s] + none, pa.string()),
-                pa.ListArray.from_arrays(offsets, pa.array(values)),
-                pa.array([None] * sum(sizes) + [error for _, error in bad], pa.string()),
-            ]
-            return pa.RecordBatch.from_arrays(arrays, schema=_TOLERANT)
+            columns = _columns([p for p, _, _ in good], [s for _, s, _ in good], [v for _, _, v in good])
+            rejected = [pa.array([p for p, _ in bad], pa.string()), pa.nulls(len(bad), pa.int32()), pa.nulls(len(bad), pa.string())]
+            rejected += [pa.array([[]] * len(bad), pa.list_(pa.float64()))]
+            arrays = [pa.concat_arrays(pair) for pair in zip(columns, rejected)]
+            errors = pa.concat_arrays([pa.nulls(len(columns[0]), pa.string()), pa.array([error for _, error in bad], pa.string())])
+            return pa.RecordBatch.from_arrays([*arrays, errors], schema=_TOLERANT)
 
         held, size = [], 0
         for batch in batches:
@@ -159,6 +184,8 @@ def score_tolerant(
         yield from flush(held)
 
     wanted = proteins.select(F.col("protein_id").cast("string").alias("protein_id"), "sequence").where(F.length("sequence") > 0)
-    found = checkpointed(spread(wanted).mapInArrow(run, TOLERANT))
+    # Proteins are kept before they are spread, as counting their tasks would run all that makes them; positions are kept as
+    # columns, which take a fraction of what checkpointed rows do.
+    found = stored(spread(stored(wanted, "proteins")).mapInArrow(run, TOLERANT), "scored")
     rejects = found.where("error IS NOT NULL").select("protein_id", F.col("error").alias("reason"))
     return found.where("error IS NULL").drop("error"), rejects
