@@ -9,8 +9,10 @@ import pyarrow as pa
 from conftest import rows
 from pyspark.sql import functions as F
 
+from varscore.functions.info import parse_info
 from varscore.functions.numbers import rounded
 from varscore.operators import matrix, model
+from verification.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -64,3 +66,11 @@ def test_scores_of_the_tolerant_scorer_are_kept_as_columns(spark):
     proteins = spark.createDataFrame([("p", "AC")], "protein_id string, sequence string")
     scores, rejects = model.score_tolerant(proteins, scorer)
     assert "parquet" in plan(scores) and scores.count() == 2 and rejects.count() == 0
+
+
+def test_info_is_split_once(spark):
+    given = spark.createDataFrame([("A=1;B=2;A=3;FLAG;C=x=y;B=",), ("",), (None,)], "INFO string")
+    parsed = given.select(parse_info(F.col("INFO")).alias("m"))
+    assert [r["m"] for r in parsed.collect()] == [{"A": "3", "C": "x=y", "B": ""}, {}, None]
+    assert plan(parsed).count("split(") == 1
+    assert plan(QUERIES["parse_info"](spark, SF)).count("split(") == 1
