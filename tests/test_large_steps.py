@@ -10,6 +10,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from varscore.functions.info import parse_info
+from varscore.functions.llr import residue_matches
 from varscore.functions.numbers import rounded
 from varscore.operators import matrix, model
 from verification.queries import QUERIES
@@ -74,3 +75,9 @@ def test_info_is_split_once(spark):
     assert [r["m"] for r in parsed.collect()] == [{"A": "3", "C": "x=y", "B": ""}, {}, None]
     assert plan(parsed).count("split(") == 1
     assert plan(QUERIES["parse_info"](spark, SF)).count("split(") == 1
+
+
+def test_residues_are_compared_before_logits_are_met(spark):
+    given = spark.createDataFrame([("ACD", 1, "C"), ("ACD", 1, "A"), ("ACD", 3, "A"), ("ACD", -1, "A")], "s string, p int, r string")
+    found = given.select(residue_matches(F.col("s"), F.col("p"), F.col("r")).alias("m"))
+    assert [r["m"] for r in found.collect()] == [True, False, False, False]
