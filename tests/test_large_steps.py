@@ -13,6 +13,7 @@ from varscore.functions.info import parse_info
 from varscore.functions.llr import residue_matches
 from varscore.functions.numbers import rounded
 from varscore.operators import matrix, model
+from varscore.sources import gff
 from verification.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -81,3 +82,10 @@ def test_residues_are_compared_before_logits_are_met(spark):
     given = spark.createDataFrame([("ACD", 1, "C"), ("ACD", 1, "A"), ("ACD", 3, "A"), ("ACD", -1, "A")], "s string, p int, r string")
     found = given.select(residue_matches(F.col("s"), F.col("p"), F.col("r")).alias("m"))
     assert [r["m"] for r in found.collect()] == [True, False, False, False]
+
+
+def test_features_are_read_once_for_hierarchies(spark):
+    lines = [("c\ts\tgene\t1\t9\t.\t+\t.\tID=g",), ("c\ts\tmRNA\t1\t9\t.\t+\t.\tID=t;Parent=g",), ("c\ts\tCDS\t1\t9\t.\t+\t0\tID=x;Parent=t",)]
+    cds = gff.descendant_cds(gff.gff_features(spark.createDataFrame(lines, "value string")), "gene")
+    assert rows(cds.select("transcript_id", "start_pos", "end_pos")) == [("g", 1, 9)]
+    assert "split(value" not in plan(cds)
