@@ -9,11 +9,14 @@ import pyarrow as pa
 from conftest import rows
 from pyspark.sql import functions as F
 
+from varscore.constants import codon_table, codon_text
 from varscore.functions.info import parse_info
 from varscore.functions.llr import residue_matches
 from varscore.functions.numbers import rounded
-from varscore.operators import matrix, model
+from varscore.functions.sequence import codon_aa
+from varscore.operators import genome, matrix, model
 from varscore.sources import gff
+from verification.fixtures import Fixtures
 from verification.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -34,6 +37,31 @@ def test_rounded_is_the_rounding_of_the_sql(spark):
         assert (r is None and values[i] is None) or r == theirs[i]
 
 
+def test_amino_acids_are_found_by_one_search(spark):
+    text, letters = codon_text()
+    assert len(text) == 66 and {text[i : i + 3]: letters[i] for i in range(64)} == codon_table()
+    odd = ["", "A", "AC", "NNN", "ACGT", "A G", None]
+    given = spark.createDataFrame([(c,) for c in [*codon_table(), "atg", *odd]], "codon string")
+    found = dict(given.select("codon", codon_aa(F.col("codon"))).collect())
+    assert found == {**codon_table(), "atg": "M", **dict.fromkeys(odd)}
+
+
+def test_texts_are_translated_once_for_regions_and_chunks(spark):
+    fixtures = Fixtures(spark, SF)
+    for df in (fixtures.regions(), fixtures.chunks(), fixtures.contig()):
+        assert "lower(" not in plan(df)
+
+
+def test_left_over_bases_are_not_sorted(spark):
+    pieces = spark.createDataFrame(
+        [("t", "c", "+", 1, 4, 0, 1, 4, "ATGG"), ("t", "c", "+", 7, 8, 4, 7, 8, "CC")],
+        "transcript_id string, chrom string, strand string, start_pos long, end_pos long, cds_start long, piece_start long, piece_end long, seq string",
+    )
+    codons = genome.placed_codons(pieces)
+    assert rows(codons.select("codon_idx", "codon", "p0", "p1", "p2")) == [(0, "ATG", 1, 2, 3), (1, "GCC", 4, 7, 8)]
+    assert "SortAggregate" not in codons._jdf.queryExecution().executedPlan().toString()
+
+
 def test_conservation_of_rows_with_and_without_numbers(spark):
     row = [0.0, -1.0, None, 3.0] + [None] * 16
     given = spark.createDataFrame([(1, row), (2, None), (3, [0.0] + [None] * 19)], "k int, llr array<double>")
@@ -78,14 +106,14 @@ def test_info_is_split_once(spark):
     assert plan(QUERIES["parse_info"](spark, SF)).count("split(") == 1
 
 
-def test_residues_are_compared_before_logits_are_met(spark):
-    given = spark.createDataFrame([("ACD", 1, "C"), ("ACD", 1, "A"), ("ACD", 3, "A"), ("ACD", -1, "A")], "s string, p int, r string")
-    found = given.select(residue_matches(F.col("s"), F.col("p"), F.col("r")).alias("m"))
-    assert [r["m"] for r in found.collect()] == [True, False, False, False]
-
-
 def test_features_are_read_once_for_hierarchies(spark):
     lines = [("c\ts\tgene\t1\t9\t.\t+\t.\tID=g",), ("c\ts\tmRNA\t1\t9\t.\t+\t.\tID=t;Parent=g",), ("c\ts\tCDS\t1\t9\t.\t+\t0\tID=x;Parent=t",)]
     cds = gff.descendant_cds(gff.gff_features(spark.createDataFrame(lines, "value string")), "gene")
     assert rows(cds.select("transcript_id", "start_pos", "end_pos")) == [("g", 1, 9)]
     assert "split(value" not in plan(cds)
+
+
+def test_residues_are_compared_before_logits_are_met(spark):
+    given = spark.createDataFrame([("ACD", 1, "C"), ("ACD", 1, "A"), ("ACD", 3, "A"), ("ACD", -1, "A")], "s string, p int, r string")
+    found = given.select(residue_matches(F.col("s"), F.col("p"), F.col("r")).alias("m"))
+    assert [r["m"] for r in found.collect()] == [True, False, False, False]
