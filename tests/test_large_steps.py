@@ -14,7 +14,7 @@ from varscore.functions.info import parse_info
 from varscore.functions.llr import residue_matches
 from varscore.functions.numbers import rounded
 from varscore.functions.sequence import codon_aa
-from varscore.operators import genome, matrix, model
+from varscore.operators import clinvar, evaluate, genome, lookup, matrix, model
 from varscore.sources import gff
 from verification.fixtures import Fixtures
 from verification.queries import QUERIES
@@ -117,3 +117,37 @@ def test_residues_are_compared_before_logits_are_met(spark):
     given = spark.createDataFrame([("ACD", 1, "C"), ("ACD", 1, "A"), ("ACD", 3, "A"), ("ACD", -1, "A")], "s string, p int, r string")
     found = given.select(residue_matches(F.col("s"), F.col("p"), F.col("r")).alias("m"))
     assert [r["m"] for r in found.collect()] == [True, False, False, False]
+
+
+def test_evaluations_go_through_the_rows_once(spark):
+    rows_seen = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            rows_seen.add(batch.num_rows)
+            yield batch
+
+    given = [(-12.0, 1), (-12.0, 0), (-9.0, 0), (-3.0, 0), (None, 1), (-13.0, 1), (-12.0, 1), (-1.0, None)]
+    df = spark.createDataFrame(given, "score double, y int").mapInArrow(seen, "score double, y int")
+    found = evaluate.evaluate_binary(df, -10.0).first()
+    assert (found["tp"], found["tn"], found["fp"], found["fn"]) == (3, 2, 1, 0) and abs(found["auc"] - 8 / 9) < 1e-12
+    assert rows_seen.value == len(given)
+    found = evaluate.evaluate_three_class(df, -11.6, -8.5).first()
+    assert (found["predicted_P"], found["predicted_B"], found["VUS"], found["total_P"], found["total_B"]) == (4, 2, 2, 4, 3)
+    assert rows_seen.value == 2 * len(given)
+    empty = evaluate.evaluate_binary(df.where("y = 7"), -10.0).first()
+    assert (empty["tp"], empty["tn"], empty["fp"], empty["fn"], empty["auc"]) == (0, 0, 0, 0, None)
+
+
+def test_shuffled_lookups_join_the_scores_once(spark):
+    scores = spark.createDataFrame([("chr1", 1, "A", "C", -1.0), ("chr1", 1, "A", "C", -0.5), ("chr2", 5, "G", "T", -2.0)], "CHROM string, POS long, REF string, ALT string, score double")
+    variants = spark.createDataFrame([("1", 1, "A", "C"), ("1", 1, "A", "C"), ("3", 1, "A", "C")], "CHROM string, POS long, REF string, ALT string")
+    found = lookup.score_variants(variants, scores, broadcast_bytes=0)
+    assert rows(found) == [("1", 1, "A", "C", -0.5)] * 2
+    joins = [line for line in plan(found).splitlines() if "Join Inner" in line and "bucket_" not in line]
+    assert len(joins) == 1
+
+
+def test_significance_alone(spark):
+    body = spark.createDataFrame([("CLNSIG=Benign;X=1",), ("X=1",), (None,)], "INFO string")
+    assert [r["CLNSIG"] for r in clinvar.with_significance(body).collect()] == ["Benign", "", ""]

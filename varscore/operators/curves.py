@@ -11,18 +11,24 @@ from pyspark.sql import functions as F
 from varscore.runtime import checkpointed
 
 
-def curve_points(df: DataFrame, x: str = "x", y: str = "y", ranges: int | None = None) -> DataFrame:
+def rows_where(condition: Column, n: str | None = None) -> Column:
+    """Number of rows under a condition; with `n`, of rows that stand for so many each."""
+    return F.count_if(condition) if n is None else F.coalesce(F.sum(F.when(condition, F.col(n))), F.lit(0))
+
+
+def curve_points(df: DataFrame, x: str = "x", y: str = "y", ranges: int | None = None, n: str | None = None) -> DataFrame:
     """One row per distinct `x`: its positives and negatives, totals including it (`tp`, `fp`), the grand
     totals (`P`, `N`), whether it is the first or last point, and the counts of the next lower point.
 
-    Rows whose label is not 0 or 1, or whose `x` is null or not a number, are left out.
+    Rows whose label is not 0 or 1, or whose `x` is null or not a number, are left out. `n` names a column of counts, for
+    rows that stand for several.
     """
     spark = df.sparkSession
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     counted = (
         df.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double")) & F.col(y).isin(0, 1))
         .groupBy(F.col(x).alias("x"))
-        .agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
+        .agg(rows_where(F.col(y) == 1, n).alias("pos"), rows_where(F.col(y) == 0, n).alias("neg"))
     )
     ranged = checkpointed(
         counted.repartitionByRange(ranges, F.desc("x")).withColumn("range", F.spark_partition_id())
@@ -117,8 +123,8 @@ def auc_from_points(points: DataFrame) -> DataFrame:
     return points.agg(F.try_divide(won, pairs).alias("auc"))
 
 
-def roc_auc(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
-    return auc_from_points(curve_points(df, x, y))
+def roc_auc(df: DataFrame, x: str = "x", y: str = "y", n: str | None = None) -> DataFrame:
+    return auc_from_points(curve_points(df, x, y, n=n))
 
 
 def pr_curve(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:

@@ -1,10 +1,15 @@
-"""Predictions and evaluation reports. Each report is one aggregate over the rows plus the area under the curve."""
+"""Predictions and evaluation reports.
+
+A report goes through the rows once: they are counted by score and label, and the counts of the predictions and the area under
+the curve are both taken from the counted rows.
+"""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varscore.operators.clinvar import with_x
-from varscore.operators.curves import roc_auc, safe_ratio
+from varscore.operators.curves import roc_auc, rows_where, safe_ratio
+from varscore.runtime import stored
 
 
 def _column(value) -> Column:
@@ -30,11 +35,16 @@ def predict_three(df: DataFrame, p_threshold, b_threshold) -> DataFrame:
     return df.withColumn("prediction", F.when(x < b, 0).when(x > p, 1).otherwise(-1))
 
 
-def confusion(df: DataFrame) -> DataFrame:
-    """tn, fp, fn, tp of `prediction` against `y`; a class that never occurs counts 0."""
+def _counted(df: DataFrame, *columns) -> DataFrame:
+    """The rows counted by the given columns and the label, as `n`, and kept."""
+    return stored(df.groupBy(*dict.fromkeys([*columns, "y"])).agg(F.count(F.lit(1)).alias("n")), "counted")
+
+
+def confusion(df: DataFrame, n: str | None = None) -> DataFrame:
+    """tn, fp, fn, tp of `prediction` against `y`; a class that never occurs counts 0. `n`: see `curve_points`."""
 
     def cell(y, prediction):
-        return F.count_if((F.col("y") == y) & (F.col("prediction") == prediction))
+        return rows_where((F.col("y") == y) & (F.col("prediction") == prediction), n)
 
     return df.agg(
         cell(0, 0).alias("tn"), cell(0, 1).alias("fp"), cell(1, 0).alias("fn"), cell(1, 1).alias("tp")
@@ -44,8 +54,9 @@ def confusion(df: DataFrame) -> DataFrame:
 def evaluate_binary(df: DataFrame, threshold, positive_when: str = "lt", on: str = "score") -> DataFrame:
     """AUC, sensitivity, specificity, precision, NPV and the confusion counts, in one row."""
     tp, tn, fp, fn = (F.col(c) for c in ("tp", "tn", "fp", "fn"))
-    return confusion(predict_binary(df, threshold, positive_when, on)).select(
-        roc_auc(with_x(df)).scalar().alias("auc"),
+    counted = _counted(df, "score", on)
+    return confusion(predict_binary(counted, threshold, positive_when, on), "n").select(
+        roc_auc(with_x(counted), n="n").scalar().alias("auc"),
         safe_ratio(tp, tp + fn).alias("sensitivity"),
         safe_ratio(tn, tn + fp).alias("specificity"),
         safe_ratio(tp, tp + fp).alias("precision"),
@@ -62,9 +73,10 @@ def evaluate_three_class(df: DataFrame, p_threshold, b_threshold) -> DataFrame:
 
     def cell(prediction, y=None):
         condition = F.col("prediction") == prediction
-        return F.count_if(condition if y is None else condition & (F.col("y") == y))
+        return rows_where(condition if y is None else condition & (F.col("y") == y), "n")
 
-    counts = predict_three(df, p_threshold, b_threshold).agg(
+    counted = _counted(df, "score")
+    counts = predict_three(counted, p_threshold, b_threshold).agg(
         cell(1).alias("predicted_P"),
         cell(0).alias("predicted_B"),
         cell(-1).alias("VUS"),
@@ -72,15 +84,15 @@ def evaluate_three_class(df: DataFrame, p_threshold, b_threshold) -> DataFrame:
         cell(-1, 1).alias("true_P_in_VUS"),
         cell(0, 0).alias("true_B_predicted_B"),
         cell(-1, 0).alias("true_B_in_VUS"),
-        F.count_if(F.col("y") == 1).alias("total_P"),
-        F.count_if(F.col("y") == 0).alias("total_B"),
+        rows_where(F.col("y") == 1, "n").alias("total_P"),
+        rows_where(F.col("y") == 0, "n").alias("total_B"),
     )
     c = {name: F.col(name) for name in counts.columns}
     return counts.select(
         _column(p_threshold).alias("p_threshold"),
         _column(b_threshold).alias("b_threshold"),
         *counts.columns[:7],
-        roc_auc(with_x(df)).scalar().alias("AUC"),
+        roc_auc(with_x(counted), n="n").scalar().alias("AUC"),
         safe_ratio(c["true_P_predicted_P"], c["predicted_P"]).alias("PPV_P"),
         safe_ratio(c["true_B_predicted_B"], c["predicted_B"]).alias("NPV_B"),
         safe_ratio(c["true_P_predicted_P"], c["total_P"]).alias("sensitivity_P"),
