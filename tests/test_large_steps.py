@@ -148,6 +148,11 @@ def test_shuffled_lookups_join_the_scores_once(spark):
     assert len(joins) == 1
 
 
+def test_variant_text_is_derived_once(spark):
+    lines = Fixtures(spark, SF).vcf_lines()
+    assert "Join" not in plan(lines) and lines.where("value LIKE '#%'").count() == 2
+
+
 def test_significance_alone(spark):
     body = spark.createDataFrame([("CLNSIG=Benign;X=1",), ("X=1",), (None,)], "INFO string")
     assert [r["CLNSIG"] for r in clinvar.with_significance(body).collect()] == ["Benign", "", ""]
