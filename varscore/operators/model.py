@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from varscore.functions.numbers import rounded_array
 from varscore.runtime import spread, stored
 
 SCORED = "protein_id string, pos int, ref_aa string, logits array<double>"
@@ -28,7 +29,7 @@ def _letters(sequences: list) -> pa.Array:
     return pa.StringArray.from_buffers(len(text), pa.py_buffer(places), pa.py_buffer(text.encode()))
 
 
-def _columns(proteins: list, sequences: list, values: list) -> list:
+def _columns(proteins: list, sequences: list, values: list, digits: int | None = None) -> list:
     """The columns of `SCORED` for proteins with their scores, without a Python object per position."""
     sizes = np.array([len(s) for s in sequences], dtype="int64")
     total = int(sizes.sum())
@@ -36,6 +37,7 @@ def _columns(proteins: list, sequences: list, values: list) -> list:
     flat = np.concatenate(values).astype("float64", copy=False).ravel() if values else np.zeros(0)
     if len(flat) != total * 20:
         raise ValueError(f"{len(flat)} scores for {total} residues")
+    flat = flat if digits is None else rounded_array(flat, digits)
     return [
         pa.array(proteins, pa.string()).take(pa.array(owner)),
         pa.array((np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype("int32")),
@@ -44,11 +46,30 @@ def _columns(proteins: list, sequences: list, values: list) -> list:
     ]
 
 
-def score_sequences(proteins: DataFrame, scorer_factory: Callable[[], Callable], batch_size: int = 4) -> DataFrame:
+def score_sequences(
+    proteins: DataFrame,
+    scorer_factory: Callable[[], Callable],
+    batch_size: int = 4,
+    digits: int | None = None,
+    columns: list | None = None,
+) -> DataFrame:
     """`(protein_id, sequence)` -> one row per position with its twenty log-probabilities.
 
-    The factory runs once per task, so a model is loaded once and then used for all batches of the partition.
+    The factory runs once per task, so a model is loaded once and then used for all batches of the partition. With `digits`
+    the numbers are rounded as `functions.numbers.rounded` does; with `columns` they come under these twenty names and not as
+    `logits`. Both happen on arrays in the task, as expressions on twenty elements of a row take longer than the rest.
     """
+    schema, ddl = _SCORED, SCORED
+    if columns:
+        schema = pa.schema([*list(_SCORED)[:3], *[(name, pa.float64()) for name in columns]])
+        ddl = SCORED.rsplit(",", 1)[0] + "".join(f", `{name}` double" for name in columns)
+
+    def batch_of(held) -> pa.RecordBatch:
+        *places, numbers = _columns(*held, digits)
+        if columns:
+            values = [pa.array(column) for column in np.ascontiguousarray(numbers.values.to_numpy().reshape(-1, len(columns)).T)]
+            return pa.RecordBatch.from_arrays([*places, *values], schema=schema)
+        return pa.RecordBatch.from_arrays([*places, numbers], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_factory()
@@ -62,13 +83,13 @@ def score_sequences(proteins: DataFrame, scorer_factory: Callable[[], Callable],
                         column.append(value)
                     size += len(text)
                 if size >= ROWS:
-                    yield pa.RecordBatch.from_arrays(_columns(*held), schema=_SCORED)
+                    yield batch_of(held)
                     held, size = ([], [], []), 0
         if size:
-            yield pa.RecordBatch.from_arrays(_columns(*held), schema=_SCORED)
+            yield batch_of(held)
 
     wanted = proteins.select(F.col("protein_id").cast("string").alias("protein_id"), "sequence")
-    return wanted.where(F.length("sequence") > 0).mapInArrow(run, SCORED)
+    return wanted.where(F.length("sequence") > 0).mapInArrow(run, ddl)
 
 
 #: Residues of a model batch (sequences times the longest of them), batches gathered before they are sorted by length, and

@@ -4,15 +4,11 @@
 def toy_scorer():
     import numpy as np
 
-    def score(sequences):
-        results = []
-        for sequence in sequences:
-            place = np.arange(1, len(sequence) + 1)[:, None]
-            logits = (place * np.arange(1, 21)[None, :]) % 13 / 4.0
-            results.append(logits - np.log(np.exp(logits).sum(axis=1, keepdims=True)))
-        return results
-
-    return score
+    # Places thirteen apart have the same numbers.
+    logits = (np.arange(1, 14)[:, None] * np.arange(1, 21)[None, :]) % 13 / 4.0
+    rows = logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+
+    return lambda sequences: [rows[np.arange(len(sequence)) % 13] for sequence in sequences]
 
 
 def faulty_scorer():
