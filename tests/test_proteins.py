@@ -10,7 +10,7 @@ from varscore.functions.numbers import rounded, rounded_array
 from varscore.functions.sequence import translate_cds
 from varscore.operators import genome, model, proteins
 from verification.queries import QUERIES
-from verification.toy_scorer import toy_scorer
+from verification.toy_scorer import faulty_scorer, toy_scorer
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,3 +60,16 @@ def test_scores_are_rounded_in_the_scorer(spark):
     named = model.score_sequences(given, scorer, digits=3, columns=[f"c {i}" for i in range(20)])
     assert rows(named) == [("p", 0, "A", *[-1.235] * 20), ("p", 1, "C", *[-1.235] * 20)]
     assert "FLOOR" not in plan(QUERIES["score_sequences"](spark, SF)).split("MapInArrow")[0]
+
+
+def test_scores_and_rejects_of_one_pass_that_is_not_kept(spark):
+    given = [(f"p{i}", "ACDWFG"[: i % 7] * (i % 4)) for i in range(40)] + [("bad", "AWWA"), ("none", None)]
+    sequences = spark.createDataFrame(given, "protein_id string, sequence string")
+    scores, rejects = model.score_tolerant(sequences, faulty_scorer, batch_residues=30, max_length=8, overlap=4)
+    found = model.tolerant_rows(sequences, faulty_scorer, batch_residues=30, max_length=8, overlap=4)
+    assert rows(found.where("error IS NULL").drop("error")) == rows(scores) != []
+    assert rows(found.where("error IS NOT NULL")) == [("bad", None, None, [], "ValueError: doubled tryptophan")]
+    assert rows(rejects) == [("bad", "ValueError: doubled tryptophan")]
+    tolerant = QUERIES["score_tolerant"](spark, SF)
+    assert plan(tolerant).count("MapInArrow") == 2 and "instr(" not in plan(tolerant)
+    assert "SortAggregate" not in tolerant._jdf.queryExecution().executedPlan().toString()

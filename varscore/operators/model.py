@@ -148,19 +148,19 @@ def tried(scorer: Callable, sequences: list) -> list:
         return tried(scorer, sequences[:half]) + tried(scorer, sequences[half:])
 
 
-def score_tolerant(
+def tolerant_rows(
     proteins: DataFrame,
     scorer_factory: Callable[[], Callable],
     batch_residues: int = BATCH_RESIDUES,
     max_length: int | None = None,
     overlap: int = OVERLAP,
-):
-    """`(scores, rejects)`: as `score_sequences`, but a sequence on which the scorer fails does not end the job.
+) -> DataFrame:
+    """Scores and rejects of one lazy pass: the rows of `score_sequences` with a null `error`, and a row without position,
+    letter and numbers for each rejected protein. For uses that go through all rows once; nothing is kept.
 
     Sequences are batched by length under a budget of residues. Those above `max_length`, the model's limit, are scored
-    in overlapping windows that are stitched in the middle of their overlaps. Rejects are (protein_id, reason); a protein
-    with a window that fails is rejected as a whole. Proteins without residues have neither scores nor a reason. Both
-    results come from one pass, which is kept in the checkpoint folder.
+    in overlapping windows that are stitched in the middle of their overlaps. A protein with a window that fails is rejected
+    as a whole, with the error as its reason. Proteins without residues have neither scores nor a reason.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,8 +205,23 @@ def score_tolerant(
         yield from flush(held)
 
     wanted = proteins.select(F.col("protein_id").cast("string").alias("protein_id"), "sequence").where(F.length("sequence") > 0)
-    # Proteins are kept before they are spread, as counting their tasks would run all that makes them; positions are kept as
-    # columns, which take a fraction of what checkpointed rows do.
-    found = stored(spread(stored(wanted, "proteins")).mapInArrow(run, TOLERANT), "scored")
+    return wanted.mapInArrow(run, TOLERANT)
+
+
+def score_tolerant(
+    proteins: DataFrame,
+    scorer_factory: Callable[[], Callable],
+    batch_residues: int = BATCH_RESIDUES,
+    max_length: int | None = None,
+    overlap: int = OVERLAP,
+):
+    """`(scores, rejects)`: as `score_sequences`, but a sequence on which the scorer fails does not end the job.
+
+    Rejects are (protein_id, reason). Both results come from one pass of `tolerant_rows`, which is kept in the checkpoint folder
+    as columns.
+    """
+    # Proteins are kept before they are spread, as counting their tasks would run all that makes them.
+    kept = spread(stored(proteins.select("protein_id", "sequence"), "proteins"))
+    found = stored(tolerant_rows(kept, scorer_factory, batch_residues, max_length, overlap), "scored")
     rejects = found.where("error IS NOT NULL").select("protein_id", F.col("error").alias("reason"))
     return found.where("error IS NULL").drop("error"), rejects
