@@ -16,7 +16,7 @@ from varscore.runtime import spread, stored
 
 SCORED = "protein_id string, pos int, ref_aa string, logits array<double>"
 _SCORED = pa.schema([("protein_id", pa.string()), ("pos", pa.int32()), ("ref_aa", pa.string()), ("logits", pa.list_(pa.float64()))])
-#: Positions of an Arrow batch of `score_sequences`, at the least, except for the last of a task.
+#: Positions of an Arrow batch of scores, at the least, except for the last of a task or, in tolerant passes, of a gathering.
 ROWS = 16_384
 
 
@@ -99,6 +99,8 @@ TOLERANT = SCORED + ", error string"
 _TOLERANT = pa.schema(
     [("protein_id", pa.string()), ("pos", pa.int32()), ("ref_aa", pa.string()), ("logits", pa.list_(pa.float64())), ("error", pa.string())]
 )
+SUMMARIES = "protein_id string, n long, summary long, error string"
+_SUMMARIES = pa.schema([("protein_id", pa.string()), ("n", pa.int64()), ("summary", pa.int64()), ("error", pa.string())])
 
 
 def windows(length: int, limit: int | None, overlap: int) -> list:
@@ -148,20 +150,9 @@ def tried(scorer: Callable, sequences: list) -> list:
         return tried(scorer, sequences[:half]) + tried(scorer, sequences[half:])
 
 
-def tolerant_rows(
-    proteins: DataFrame,
-    scorer_factory: Callable[[], Callable],
-    batch_residues: int = BATCH_RESIDUES,
-    max_length: int | None = None,
-    overlap: int = OVERLAP,
-) -> DataFrame:
-    """Scores and rejects of one lazy pass: the rows of `score_sequences` with a null `error`, and a row without position,
-    letter and numbers for each rejected protein. For uses that go through all rows once; nothing is kept.
-
-    Sequences are batched by length under a budget of residues. Those above `max_length`, the model's limit, are scored
-    in overlapping windows that are stitched in the middle of their overlaps. A protein with a window that fails is rejected
-    as a whole, with the error as its reason. Proteins without residues have neither scores nor a reason.
-    """
+def _tolerant(proteins: DataFrame, scorer_factory: Callable, batch_residues: int, max_length: int | None, overlap: int, emit: Callable, ddl: str):
+    """What `emit` makes of scored and rejected proteins `(protein_id, sequence, parts, error)`, whose scores are the parts one
+    after the other. See `tolerant_rows`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_factory()
@@ -171,6 +162,7 @@ def tolerant_rows(
             missing, errors, parts = [0] * len(held), {}, {}
             for k, _ in pieces:
                 missing[k] += 1
+            done, size = [], 0
             for batch in budgeted([w[1] - w[0] for _, w in pieces], batch_residues):
                 texts = [held[pieces[i][0]][1][pieces[i][1][0] : pieces[i][1][1]] for i in batch]
                 for i, result in zip(batch, tried(scorer, texts)):
@@ -180,19 +172,15 @@ def tolerant_rows(
                         errors.setdefault(k, result)
                     else:
                         parts.setdefault(k, []).append((first, result[first - start : last - start]))
-                done = sorted({pieces[i][0] for i in batch if not missing[pieces[i][0]]})
-                if done:
-                    yield rows([(held[k], sorted(parts.pop(k, []), key=lambda p: p[0]), errors.get(k)) for k in done])
-
-        def rows(done):
-            good = [(protein, sequence, np.concatenate([p for _, p in found])) for (protein, sequence), found, error in done if error is None]
-            bad = [(protein, error) for (protein, _), _, error in done if error is not None]
-            columns = _columns([p for p, _, _ in good], [s for _, s, _ in good], [v for _, _, v in good])
-            rejected = [pa.array([p for p, _ in bad], pa.string()), pa.nulls(len(bad), pa.int32()), pa.nulls(len(bad), pa.string())]
-            rejected += [pa.array([[]] * len(bad), pa.list_(pa.float64()))]
-            arrays = [pa.concat_arrays(pair) for pair in zip(columns, rejected)]
-            errors = pa.concat_arrays([pa.nulls(len(columns[0]), pa.string()), pa.array([error for _, error in bad], pa.string())])
-            return pa.RecordBatch.from_arrays([*arrays, errors], schema=_TOLERANT)
+                for k in sorted({pieces[i][0] for i in batch if not missing[pieces[i][0]]}):
+                    found = [p for _, p in sorted(parts.pop(k, []), key=lambda p: p[0])]
+                    done.append((*held[k], found, errors.get(k)))
+                    size += len(held[k][1])
+                if size >= ROWS:
+                    yield emit(done)
+                    done, size = [], 0
+            if done:
+                yield emit(done)
 
         held, size = [], 0
         for batch in batches:
@@ -205,7 +193,58 @@ def tolerant_rows(
         yield from flush(held)
 
     wanted = proteins.select(F.col("protein_id").cast("string").alias("protein_id"), "sequence").where(F.length("sequence") > 0)
-    return wanted.mapInArrow(run, TOLERANT)
+    return wanted.mapInArrow(run, ddl)
+
+
+def tolerant_rows(
+    proteins: DataFrame,
+    scorer_factory: Callable[[], Callable],
+    batch_residues: int = BATCH_RESIDUES,
+    max_length: int | None = None,
+    overlap: int = OVERLAP,
+) -> DataFrame:
+    """Scores and rejects of one lazy pass: the rows of `score_sequences` with a null `error`, and a row without position,
+    letter and numbers for each rejected protein. For uses that go through all rows once; nothing is kept.
+
+    Sequences are batched by length under a budget of residues. Those above `max_length`, the model's limit, are scored
+    in overlapping windows that are stitched in the middle of their overlaps. A protein with a window that fails is rejected
+    as a whole, with the error as its reason. Proteins without residues have neither scores nor a reason.
+    """
+
+    def rows(done):
+        good = [(protein, sequence, found) for protein, sequence, found, error in done if error is None]
+        bad = [(protein, error) for protein, _, _, error in done if error is not None]
+        columns = _columns([p for p, _, _ in good], [s for _, s, _ in good], [v for _, _, found in good for v in found])
+        rejected = [pa.array([p for p, _ in bad], pa.string()), pa.nulls(len(bad), pa.int32()), pa.nulls(len(bad), pa.string())]
+        rejected += [pa.array([[]] * len(bad), pa.list_(pa.float64()))]
+        arrays = [pa.concat_arrays(pair) for pair in zip(columns, rejected)]
+        errors = pa.concat_arrays([pa.nulls(len(columns[0]), pa.string()), pa.array([error for _, error in bad], pa.string())])
+        return pa.RecordBatch.from_arrays([*arrays, errors], schema=_TOLERANT)
+
+    return _tolerant(proteins, scorer_factory, batch_residues, max_length, overlap, rows, TOLERANT)
+
+
+def tolerant_summaries(
+    proteins: DataFrame,
+    scorer_factory: Callable[[], Callable],
+    summary: Callable[[np.ndarray], int],
+    batch_residues: int = BATCH_RESIDUES,
+    max_length: int | None = None,
+    overlap: int = OVERLAP,
+) -> DataFrame:
+    """As `tolerant_rows`, with one row per protein: its positions scored and the number that `summary` makes of their scores,
+    an array of shape (length, 20); or the error.
+
+    For uses that reduce the scores of a protein: twenty numbers for every position need not leave the task for that.
+    """
+
+    def rows(done):
+        good = [None if error is not None else found[0] if len(found) == 1 else np.concatenate(found) for _, _, found, error in done]
+        names, reasons = ([row[i] for row in done] for i in (0, 3))
+        found = [[None if scores is None else value(scores) for scores in good] for value in (len, summary)]
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip([names, *found, reasons], _SUMMARIES.types)], schema=_SUMMARIES)
+
+    return _tolerant(proteins, scorer_factory, batch_residues, max_length, overlap, rows, SUMMARIES)
 
 
 def score_tolerant(

@@ -21,3 +21,10 @@ def faulty_scorer():
         return score(sequences)
 
     return checked
+
+
+def thousandths(scores):
+    """The sum of a protein's first log-probabilities, each rounded to thousandths."""
+    from varscore.functions.numbers import rounded_array
+
+    return int(rounded_array(scores[:, 0] * 1000, 0).astype("int64").sum())
